@@ -38,7 +38,7 @@ ORDER = 4
 #: Bits of the hash space of the grams of each order, and of their contexts.
 BITS = {1: 18, 2: 18, 3: 20, 4: 22}
 #: Half the width of a band, in robust standard deviations, and at least so much.
-WIDTH, LEAST_WIDTH = 8.0, 0.35
+WIDTH, LEAST_WIDTH = 8.0, 0.42
 #: Characters under which the band of a text is widened.
 SHORT = 400
 #: Bins of the histogram of log-perplexities, for each unit.
