@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, perplexity, pii, simhash, token_counts
+from . import language, packing, permutation_index, perplexity, pii, sharding, simhash, site_tree, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,14 +22,28 @@ def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"))
+    return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return permutation_index.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.clusters(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -45,8 +59,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_perplexity": op1_perplexity,
+    "op2_site_tree": op2_site_tree,
     "op3_packing": op3_packing,
+    "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
+    "op7_permutation_index": op7_permutation_index,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,
