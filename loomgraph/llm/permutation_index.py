@@ -33,6 +33,8 @@ from . import common
 PIVOTS, PREFIX, SHARE, NEAREST = 128, 128, 0.15, 10
 #: Rows of a segment, queries of a block.
 SEGMENT, BLOCK = 8192, 512
+#: Tasks over which the segments that one block meets are spread.
+SPREAD = 16
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -146,7 +148,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEAREST, pivots: int =
                     names=["query_id", "vec_id", "score"],
                 )
 
-    pairs = segments.withColumn("block", F.explode(F.array(*(F.lit(b).cast("long") for b in names)) if names else F.array().cast("array<bigint>")))
-    met = pairs.join(blocks, "block").select("ids", "vectors", "query_ids", "queries").mapInArrow(found, "query_id long, vec_id long, score double")
+    # a few copies of each block spread the segments that it meets over tasks
+    salt = F.pmod(F.xxhash64("segment"), F.lit(SPREAD)).cast("int")
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    pairs = segments.withColumn("salt", salt).withColumn("block", F.explode(F.array(*(F.lit(b).cast("long") for b in names)) if names else F.array().cast("array<bigint>")))
+    met = pairs.join(blocks, ["block", "salt"]).select("ids", "vectors", "query_ids", "queries").mapInArrow(found, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
