@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import CALL_KINDS, Graph
 
-one = F.lit(1)
+
 
 
 def stats(g: Graph) -> DataFrame:
     """One row: nodes, edges and files, with a map of counts for each grouping."""
 
     def total(df: DataFrame, by: str, count: str, name: str) -> DataFrame:
-        each = df.groupBy(by).agg(F.count(one).alias("n"))
+        each = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
         return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(count), F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "n")))).alias(name))
 
     n = total(g.nodes, "kind", "node_count", "nodes_by_kind")
@@ -25,7 +25,7 @@ def stats(g: Graph) -> DataFrame:
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(one).alias("n"))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def last_indexed(files: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def co_importers(g: Graph, paths: list[str]) -> DataFrame:
 def dominant_file(g: Graph, least: int = 20, top: int = 20) -> DataFrame:
     """At most one row: the file with the most edges inside it, and the next one's
     count. Low-value files are left out of the ``top``; under ``least`` edges none."""
-    inside = edge_files(g, without=()).filter("source_file = target_file").groupBy(F.col("source_file").alias("file_path")).agg(F.count(one).alias("edge_count"))
+    inside = edge_files(g, without=()).filter("source_file = target_file").groupBy(F.col("source_file").alias("file_path")).agg(F.count(F.lit(1)).alias("edge_count"))
     ranked = inside.orderBy(F.desc("edge_count"), "file_path").limit(top).filter(~X.is_low_value("file_path"))
     w = Window.orderBy(F.desc("edge_count"), "file_path")  # over ``top`` rows
     return ranked.withColumn("next_edge_count", F.lead("edge_count").over(w)).orderBy(F.desc("edge_count"), "file_path").limit(1).filter(F.col("edge_count") >= least)
@@ -91,7 +91,7 @@ def dominant_file(g: Graph, least: int = 20, top: int = 20) -> DataFrame:
 def top_route_file(g: Graph, top: int = 20) -> DataFrame:
     """The file with the most routes: of three at least, with a share of 30 % at
     least of what the ``top`` files have after low-value ones are left out."""
-    routes = g.nodes.filter(F.col("kind") == "route").groupBy("file_path").agg(F.count(one).alias("routes"))
+    routes = g.nodes.filter(F.col("kind") == "route").groupBy("file_path").agg(F.count(F.lit(1)).alias("routes"))
     rows = routes.orderBy(F.desc("routes"), "file_path").limit(top).filter(~X.is_low_value("file_path"))
     rows = rows.withColumn("total", F.sum("routes").over(Window.partitionBy()))  # over ``top`` rows
     best = rows.orderBy(F.desc("routes"), "file_path").limit(1)
@@ -106,7 +106,7 @@ def routing_manifest(g: Graph, limit: int = 200, least: int = 3) -> DataFrame:
     e = g.edges.filter(F.col("kind").isin("references", "calls")).select("source", "target")
     rows = e.join(r, "source").join(h, "target").select("route", "handler", "handler_kind", "file_path", "line").distinct()
     rows = rows.orderBy("route", "handler", "file_path", "line").limit(limit).filter(~X.is_low_value("file_path"))
-    return rows.withColumn("_n", F.count(one).over(Window.partitionBy())).filter(F.col("_n") >= least).drop("_n")  # over ``limit`` rows
+    return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())).filter(F.col("_n") >= least).drop("_n")  # over ``limit`` rows
 
 
 def node_metrics(g: Graph, ids: DataFrame | None = None) -> DataFrame:
@@ -126,13 +126,13 @@ def modules(files: DataFrame) -> DataFrame:
 
 
 def by_language(files: DataFrame) -> DataFrame:
-    return files.groupBy("language").agg(F.count(one).alias("n"), F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.desc("n"), "language")
+    return files.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.desc("n"), "language")
 
 
 def grouped_by_file(rows: DataFrame) -> DataFrame:
     """Nodes of a result by their file."""
     item = F.struct("start_line", "name", "kind", "id")
-    return rows.groupBy("file_path").agg(F.count(one).alias("n"), F.sort_array(F.collect_list(item)).alias("symbols"))
+    return rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("symbols"))
 
 
 def distinct_symbols_per_file(hits: DataFrame) -> DataFrame:
@@ -147,11 +147,11 @@ def term_hits(hits: DataFrame) -> DataFrame:
 
 def failed_tails(refs: DataFrame, most: int = 500) -> DataFrame:
     """Name tails of failed references, but those that too many have."""
-    return refs.filter((F.col("status") == "failed") & (F.col("name_tail") != "")).groupBy("name_tail").agg(F.count(one).alias("n")).filter(F.col("n") <= most)
+    return refs.filter((F.col("status") == "failed") & (F.col("name_tail") != "")).groupBy("name_tail").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most)
 
 
 def resolution_stats(resolved: DataFrame) -> DataFrame:
-    return resolved.groupBy("resolved_by").agg(F.count(one).alias("n"))
+    return resolved.groupBy("resolved_by").agg(F.count(F.lit(1)).alias("n"))
 
 
 def blast_radius(g: Graph, ids: DataFrame | None = None) -> DataFrame:
@@ -162,7 +162,7 @@ def blast_radius(g: Graph, ids: DataFrame | None = None) -> DataFrame:
     c = g.nodes.select(F.col("id").alias("source"), "file_path")
     c = c.withColumn("test", X.is_test("file_path"))
     path = F.col("file_path")
-    return e.join(c, "source").groupBy("id").agg(F.count(one).alias("callers"), F.count_distinct(F.when(~F.col("test"), path)).alias("files"), F.count_distinct(F.when(F.col("test"), path)).alias("test_files"))
+    return e.join(c, "source").groupBy("id").agg(F.count(F.lit(1)).alias("callers"), F.count_distinct(F.when(~F.col("test"), path)).alias("files"), F.count_distinct(F.when(F.col("test"), path)).alias("test_files"))
 
 
 def file_scores(nodes: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def dead_code(g: Graph) -> DataFrame:
 def polymorphic(g: Graph, least: int = 3) -> DataFrame:
     """Ids whose supertype has ``least`` subtypes or more."""
     up = g.edges.filter(F.col("kind").isin("extends", "implements")).select(F.col("source").alias("id"), "target").distinct()
-    wide = up.groupBy("target").agg(F.count(one).alias("n")).filter(F.col("n") >= least)
+    wide = up.groupBy("target").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return up.join(wide, "target", "left_semi").select("id").distinct()
 
 
@@ -207,11 +207,11 @@ def evaluation(found: DataFrame, cases: DataFrame, edges: DataFrame | None = Non
     want = cases.select("case_id", F.explode("expected").alias("e"))
     best = found.groupBy("case_id", "name").agg(F.min("rank").alias("rank"))
     got = want.join(best, (want["case_id"] == best["case_id"]) & (want["e"]["name"] == best["name"]), "left").select(want["case_id"], "rank")
-    score = got.groupBy("case_id").agg((F.count("rank") / F.count(one)).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("mrr"))
-    size = found.groupBy("case_id").agg(F.count(one).alias("node_count"))
+    score = got.groupBy("case_id").agg((F.count("rank") / F.count(F.lit(1))).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("mrr"))
+    size = found.groupBy("case_id").agg(F.count(F.lit(1)).alias("node_count"))
     out = score.join(size, "case_id", "left").fillna(0, ["node_count"]).withColumn("pass", F.col("recall") >= passing)
     if edges is not None:
-        out = out.join(edges.groupBy("case_id").agg(F.count(one).alias("edge_count")), "case_id", "left").fillna(0, ["edge_count"])
+        out = out.join(edges.groupBy("case_id").agg(F.count(F.lit(1)).alias("edge_count")), "case_id", "left").fillna(0, ["edge_count"])
         out = out.withColumn("edge_density", F.when(F.col("node_count") > 0, F.col("edge_count") / F.col("node_count")).otherwise(0.0))
     return out
 

@@ -8,18 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODES = T._parse_datatype_string(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType()), "map": T.MapType(T.StringType(), T.StringType())}
+
+
+def _struct(columns: str) -> T.StructType:
+    """``name type`` pairs; a session is not needed."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in columns.split(","))])
+
+
+NODES = _struct(
     "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, "
     "start_column int, end_column int, docstring string, signature string, visibility string, is_exported boolean, is_async boolean, "
-    "is_static boolean, is_abstract boolean, is_declaration boolean, decorators array<string>, type_parameters array<string>, return_type string, updated_at bigint"
+    "is_static boolean, is_abstract boolean, is_declaration boolean, decorators strings, type_parameters strings, return_type string, updated_at bigint"
 )
-EDGES = T._parse_datatype_string("source string, target string, kind string, metadata map<string,string>, line int, col int, provenance string")
-FILES = T._parse_datatype_string(
-    "path string, content_hash string, language string, size bigint, modified_at bigint, indexed_at bigint, node_count int, "
-    "errors array<struct<message: string, file_path: string, line: int, column: int, severity: string, code: string>>"
+EDGES = _struct("source string, target string, kind string, metadata map, line int, col int, provenance string")
+FILES = _struct("path string, content_hash string, language string, size bigint, modified_at bigint, indexed_at bigint, node_count int").add(
+    "errors", T.ArrayType(_struct("message string, file_path string, line int, column int, severity string, code string"))
 )
-REFS = T._parse_datatype_string(
-    "ref_id bigint, from_node_id string, reference_name string, reference_kind string, line int, col int, candidates array<string>, "
+REFS = _struct(
+    "ref_id bigint, from_node_id string, reference_name string, reference_kind string, line int, col int, candidates strings, "
     "file_path string, language string, status string, name_tail string"
 )
 
