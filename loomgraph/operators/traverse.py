@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CALL_KINDS, CONTAINERS, HIERARCHY_KINDS, Graph
@@ -243,10 +243,5 @@ def affected_tests(g: Graph, changed: Iterable[str], test: Column | None = None,
     pairs = cut(file_pairs(g)).select(F.col("target_file").alias("a"), F.col("source_file").alias("b"))
     test = X.is_test("id") if test is None else test
     start = seed(g, changed)
-    found = levels(start, pairs, depth, expand=~test)
-    begun = found.filter((F.col("depth") > 0) | test)
-    stop = start.filter(test).count()
-    if stop:  # a changed test is not gone on from either
-        found = levels(start.filter(~test), pairs, depth, expand=~test)
-        begun = found.filter((F.col("depth") > 0)).select("id").unionByName(start.filter(test)).distinct()
-    return begun.select(F.col("id").alias("path"), F.expr("true").alias("_"), test.alias("test")).drop("_").distinct()
+    found = levels(start.filter(~test), pairs, depth, expand=~test).filter("depth > 0").select("id")
+    return found.unionByName(start.filter(test)).distinct().select(F.col("id").alias("path"), test.alias("test"))

@@ -132,13 +132,13 @@ def _(spark, sf):
     return A.dominant_file(graph(spark, sf))
 
 
-_ROUTES = "routes AS (SELECT page_id, regexp_extract(url,'^[a-z]+://([^/?#]*)',1) AS file_path, regexp_extract(url,'^[a-z]+://[^/?#]*([^?#]*)',1) AS route FROM pages)"
+_ROUTES = "routes AS (SELECT page_id, regexp_extract(url,'^[a-z]+://[^/]*/([^/?#]*)',1) AS file_path, regexp_extract(url,'^[a-z]+://[^/?#]*([^?#]*)',1) AS route FROM pages)"
 
 
 def _routes(spark, sf):
     from ..schema import EDGES, NODES, conform
 
-    p = T.read(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("file_path"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("route"))
+    p = T.read(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*/([^/?#]*)", 1).alias("file_path"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("route"))
     r = p.select(F.concat(F.lit("route:"), F.col("page_id").cast("string")).alias("id"), F.lit("route").alias("kind"), F.col("route").alias("name"), "file_path")
     h = p.select(F.concat(F.lit("function:"), F.col("page_id").cast("string")).alias("id"), F.lit("function").alias("kind"), F.concat(F.lit("handle_"), F.col("page_id").cast("string")).alias("name"), "file_path", F.col("page_id").cast("int").alias("start_line"))
     e = p.select(F.concat(F.lit("route:"), F.col("page_id").cast("string")).alias("source"), F.concat(F.lit("function:"), F.col("page_id").cast("string")).alias("target"), F.lit("references").alias("kind"))
@@ -257,13 +257,13 @@ def _(spark, sf):
 
 @query("g1_bfs", f"{reach('r', 'method:1', 'in', 4, ('extends',))} SELECT id, min(depth) AS depth FROM r GROUP BY 1")
 def _(spark, sf):
-    return V.bfs(graph(spark, sf, "extends"), "method:1", 4, ("extends",), direction="incoming", limit=None).select("id", F.col("depth").cast("long").alias("depth"))
+    return V.bfs(graph(spark, sf, "extends"), "method:1", 4, ("extends",), direction="incoming", limit=None).select("id", "depth")
 
 
 @query("g1_bfs_node_kinds", f"{reach('r', 'namespace:3', 'out', 3, (), ' JOIN nodes n ON n.id=e.target AND n.kind IN (' + chr(39) + 'class' + chr(39) + ',' + chr(39) + 'function' + chr(39) + ',' + chr(39) + 'namespace' + chr(39) + ')')} SELECT id, min(depth) AS depth FROM r WHERE depth>0 GROUP BY 1")
 def _(spark, sf):
     out = V.bfs(graph(spark, sf), "namespace:3", 3, node_kinds=("class", "function", "namespace"), limit=None, include_start=False)
-    return out.select("id", F.col("depth").cast("long").alias("depth"))
+    return out.select("id", "depth")
 
 
 @query("g2_dfs", f"{reach('r', 'method:3', 'in', 30, ('extends',))} SELECT DISTINCT id FROM r")
@@ -279,7 +279,7 @@ def _(spark, sf):
 
 @query("g3_callers_depth_2", f"{reach('r', 'interface:3', 'in', 2, ('calls', 'references', 'imports'))} SELECT id, min(depth) AS depth FROM r WHERE id<>'interface:3' GROUP BY 1")
 def _(spark, sf):
-    return V.callers(graph(spark, sf, "calls", "references", "imports"), "interface:3", 2).select("id", F.col("depth").cast("long").alias("depth"))
+    return V.callers(graph(spark, sf, "calls", "references", "imports"), "interface:3", 2).select("id", "depth")
 
 
 @query("g4_callees", f"SELECT n.id, n.name, e.kind AS edge_kind, e.line AS edge_line FROM edges e JOIN nodes n ON n.id=e.target WHERE e.source='method:2' AND e.kind IN {CALLS} AND e.source<>e.target")
@@ -294,12 +294,12 @@ def _(spark, sf):
 
 @query("g6_hierarchy", f"{reach('u', 'method:5', 'out', 40, ('extends', 'implements'))}, {reach('d', 'method:5', 'in', 40, ('extends', 'implements'))} SELECT id, min(depth) AS depth FROM u GROUP BY 1 UNION SELECT id, -min(depth) FROM d GROUP BY 1")
 def _(spark, sf):
-    return V.hierarchy(graph(spark, sf, "extends"), "method:5").select("id", F.col("depth").cast("long").alias("depth"))
+    return V.hierarchy(graph(spark, sf, "extends"), "method:5").select("id", "depth")
 
 
 @query("g6_hierarchy_up", f"{reach('u', 'method:150', 'out', 40, ('extends', 'implements'))} SELECT id, min(depth) AS depth FROM u GROUP BY 1")
 def _(spark, sf):
-    return V.hierarchy(graph(spark, sf, "extends"), "method:150", "up").select("id", F.col("depth").cast("long").alias("depth"))
+    return V.hierarchy(graph(spark, sf, "extends"), "method:150", "up").select("id", "depth")
 
 
 @query("g7_usages", "SELECT n.id, n.kind, e.kind AS edge_kind FROM edges e JOIN nodes n ON n.id=e.source WHERE e.target='interface:3'")
@@ -309,28 +309,28 @@ def _(spark, sf):
 
 @query("g8_impact", "m AS (SELECT e.source AS a, e.target AS b FROM edges e JOIN nodes n ON n.id=e.source AND n.kind IN ('class','interface','struct','trait','protocol','module','enum') WHERE e.kind='contains'), r(id, depth) AS (SELECT 'interface:3', 0 UNION SELECT x.b, r.depth+x.w FROM r JOIN (SELECT a, b, 0 AS w FROM m UNION ALL SELECT target, source, 1 FROM edges WHERE kind<>'contains') x ON x.a=r.id WHERE r.depth+x.w<=2) SELECT id, min(depth) AS depth FROM r GROUP BY 1")
 def _(spark, sf):
-    return V.impact(graph(spark, sf), "interface:3", 2).select("id", F.col("depth").cast("long").alias("depth"))
+    return V.impact(graph(spark, sf), "interface:3", 2).select("id", "depth")
 
 
 @query("g8_impact_container", "m AS (SELECT e.source AS a, e.target AS b FROM edges e JOIN nodes n ON n.id=e.source AND n.kind IN ('class','interface','struct','trait','protocol','module','enum') WHERE e.kind='contains'), r(id, depth) AS (SELECT 'module:2', 0 UNION SELECT x.b, r.depth+x.w FROM r JOIN (SELECT a, b, 0 AS w FROM m UNION ALL SELECT target, source, 1 FROM edges WHERE kind<>'contains') x ON x.a=r.id WHERE r.depth+x.w<=3) SELECT id, min(depth) AS depth FROM r GROUP BY 1")
 def _(spark, sf):
-    return V.impact(graph(spark, sf), "module:2").select("id", F.col("depth").cast("long").alias("depth"))
+    return V.impact(graph(spark, sf), "module:2").select("id", "depth")
 
 
 @query("g9_path", f"{reach('u', 'method:150', 'out', 40, ('extends',))} SELECT min(depth) AS step, id FROM u GROUP BY 2 HAVING min(depth)<=(SELECT min(depth) FROM u WHERE id='method:2')")
 def _(spark, sf):
-    return V.path(graph(spark, sf, "extends"), "method:150", "method:2", ("extends",)).select(F.col("step").cast("long").alias("step"), "id")
+    return V.path(graph(spark, sf, "extends"), "method:150", "method:2", ("extends",)).select("step", "id")
 
 
-@query("g9_path_none", "SELECT CAST(0 AS BIGINT) AS step, id FROM nodes WHERE false")
+@query("g9_path_none", "SELECT CAST(0 AS INT) AS step, id FROM nodes WHERE false")
 def _(spark, sf):
-    return V.path(graph(spark, sf, "extends"), "method:2", "method:150", ("extends",)).select(F.col("step").cast("long").alias("step"), "id")
+    return V.path(graph(spark, sf, "extends"), "method:2", "method:150", ("extends",)).select("step", "id")
 
 
 @query("g10_ancestors", "r(\"of\", id, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind='function' AND start_line<50 UNION ALL SELECT r.\"of\", e.source, r.depth+1 FROM r JOIN edges e ON e.target=r.id AND e.kind='contains') SELECT \"of\", id, depth FROM r WHERE depth>0")
 def _(spark, sf):
     g = graph(spark, sf, "contains")
-    return V.ancestors(g, g.nodes.filter("kind = 'function' and start_line < 50")).select("of", "id", F.col("depth").cast("long").alias("depth"))
+    return V.ancestors(g, g.nodes.filter("kind = 'function' and start_line < 50")).select("of", "id", "depth")
 
 
 @query("g11_children", "SELECT n.id, n.name FROM edges e JOIN nodes n ON n.id=e.target WHERE e.kind='contains' AND e.source='namespace:3'")
@@ -388,7 +388,7 @@ def _(spark, sf):
 def _(spark, sf):
     g = graph(spark, sf, "imports")
     calls = g.with_edges(g.edges.withColumn("kind", F.lit("calls")))
-    return G.flow(calls, ["namespace:1", "namespace:2", "namespace:5"]).select("id", F.col("depth").cast("long").alias("depth"))
+    return G.flow(calls, ["namespace:1", "namespace:2", "namespace:5"]).select("id", "depth")
 
 
 @query("g20_chains", "p AS (SELECT source AS a, target AS b FROM edges WHERE kind='imports'), r(path, last) AS (SELECT [x], x FROM (VALUES ('namespace:1'),('namespace:2')) v(x) UNION ALL SELECT list_append(path, b), b FROM r JOIN p ON p.a=r.last WHERE len(path)<6 AND NOT list_contains(path, b)), g AS (SELECT DISTINCT path FROM r WHERE len(path)>=3 AND list_contains(path,'namespace:1') AND list_contains(path,'namespace:2')) SELECT array_to_string(path, '>') AS path FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE len(h.path)>len(g.path) AND contains('>'||array_to_string(h.path,'>')||'>', '>'||array_to_string(g.path,'>')||'>')) ORDER BY len(g.path) DESC, 1 LIMIT 3")
@@ -402,13 +402,13 @@ def _(spark, sf):
 def _(spark, sf):
     g = graph(spark, sf, "extends")
     over = g.with_edges(g.edges.withColumn("kind", F.lit("overrides")))
-    return G.dispatch_family(over, "method:3").select("id", F.col("depth").cast("long").alias("depth"))
+    return G.dispatch_family(over, "method:3").select("id", "depth")
 
 
 @query("g22_definitions", f"q AS (SELECT source AS a, target AS b FROM edges WHERE kind='imports' UNION ALL SELECT target, source FROM edges WHERE kind='imports'), r(id, depth) AS (SELECT 'namespace:4', 0 UNION SELECT q.b, r.depth+1 FROM r JOIN q ON q.a=r.id WHERE r.depth<26) SELECT id, min(depth) AS depth FROM r GROUP BY 1")
 def _(spark, sf):
     g = graph(spark, sf, "imports")
-    return G.definitions(g.with_edges(g.edges.withColumn("kind", F.lit("defines"))), "namespace:4").select("id", F.col("depth").cast("long").alias("depth"))
+    return G.definitions(g.with_edges(g.edges.withColumn("kind", F.lit("defines"))), "namespace:4").select("id", "depth")
 
 
 @query("g23_polymorphic", "u AS (SELECT DISTINCT source, target FROM edges WHERE kind='extends') SELECT DISTINCT source AS id FROM u WHERE target IN (SELECT target FROM u GROUP BY 1 HAVING count(*)>=2)")

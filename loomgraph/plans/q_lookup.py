@@ -198,9 +198,11 @@ def _(spark, sf):
     return L.of_lower_name(T.graph(spark, sf), "AsIa").select(SHORT)
 
 
-@query("f9_f10_symbol", f"SELECT {SN} FROM nodes WHERE name='order_7' AND (qualified_name LIKE '%::order_7' AND list_contains(string_split(qualified_name,'::'), string_split(qualified_name,'::')[1])) AND (string_split(file_path,'/')[1]='asia' OR qualified_name='asia::order_7') OR name='asia/order_7' UNION SELECT {SN} FROM nodes WHERE name='order_7' AND list_contains(string_split(file_path,'/'), 'asia')")
+@query("f9_f10_symbol", f"SELECT {SN} FROM nodes WHERE name=(SELECT min(name) FROM nodes WHERE kind='function' AND file_path LIKE 'asia/%') AND list_contains(string_split(file_path,'/'),'asia')")
 def _(spark, sf):
-    return L.of_symbol(T.graph(spark, sf), "asia/order_7").select(SHORT)
+    g = T.graph(spark, sf)
+    first = g.nodes.filter("kind = 'function' and file_path like 'asia/%'").agg(F.min("name")).first()[0]
+    return L.of_symbol(g, f"asia/{first}").select(SHORT)
 
 
 @query("f9_symbol_suffix", f"SELECT {SN} FROM nodes WHERE qualified_name='ASIA::'||name AND name=(SELECT min(name) FROM nodes WHERE kind='namespace' AND qualified_name LIKE 'ASIA::%')")
@@ -220,12 +222,12 @@ def _(spark, sf):
     return nodes(spark, sf).filter(X.path_globs("file_path", ("asia/**", "EUROPE/**"), ("index",))).select(SHORT)
 
 
-@query("f13_line_span", f"SELECT {SN} FROM nodes WHERE file_path=(SELECT min(file_path) FROM nodes WHERE kind='method') AND 500 BETWEEN start_line AND end_line UNION ALL SELECT {SN} FROM nodes WHERE file_path='parts/brand#1/small' AND 30 BETWEEN start_line AND end_line AND file_path<>(SELECT min(file_path) FROM nodes WHERE kind='method')")
+@query("f13_line_span", f"f AS (SELECT min(file_path) AS p FROM nodes WHERE kind='method'), l AS (SELECT min(start_line)+1 AS l FROM nodes, f WHERE file_path=p) SELECT {SN} FROM nodes, f, l WHERE file_path=p AND l BETWEEN start_line AND end_line")
 def _(spark, sf):
     g = T.graph(spark, sf)
     p = g.nodes.filter("kind = 'method'").agg(F.min("file_path")).first()[0]
-    out = L.spanning(g, p, 500)
-    return (out if p == "parts/brand#1/small" else out.unionByName(L.spanning(g, "parts/brand#1/small", 30))).select(SHORT)
+    line = g.nodes.filter(F.col("file_path") == p).agg(F.min("start_line")).first()[0] + 1
+    return L.spanning(g, p, line).select(SHORT)
 
 
 @query("f14_wildcard", f"SELECT {SN} FROM nodes WHERE kind IN ('class','interface','function','method','struct','trait','enum','module') AND regexp_matches(qualified_name, '^A.*::.*1.$')")
@@ -285,7 +287,7 @@ def _(spark, sf):
     return n.select("id", "name", X.is_distinctive("name").alias("distinctive"))
 
 
-@query("fn_string_functions", """SELECT id, regexp_replace(lower(qualified_name),'[^a-z0-9]','','g') AS token, regexp_extract(qualified_name,'([^.:]*)$',1) AS tail, array_to_string(list_filter(regexp_split_to_array(qualified_name||'/x.y','::|[./]'), x -> x<>''),'::') AS canonical, string_split(file_path,'/')[-1] AS base, CASE WHEN contains(file_path,'/') THEN regexp_replace(file_path,'/[^/]*$','') ELSE '.' END AS dir, sha256(file_path) AS hash, CAST(levenshtein(name, 'order_100') AS BIGINT) AS distance FROM nodes""")
+@query("fn_string_functions", """SELECT id, regexp_replace(lower(qualified_name),'[^a-z0-9]','','g') AS token, regexp_extract(qualified_name,'([^.:]*)$',1) AS tail, array_to_string(list_filter(regexp_split_to_array(qualified_name||'/x.y','::|[./]'), lambda x: x<>''),'::') AS canonical, string_split(file_path,'/')[-1] AS base, CASE WHEN contains(file_path,'/') THEN regexp_replace(file_path,'/[^/]*$','') ELSE '.' END AS dir, sha256(file_path) AS hash, CAST(levenshtein(name, 'order_100') AS BIGINT) AS distance FROM nodes""")
 def _(spark, sf):
     n = nodes(spark, sf)
     return n.select(

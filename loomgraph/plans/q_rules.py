@@ -31,7 +31,7 @@ exact AS (SELECT ref_id, c_id AS target, CAST(CASE WHEN n=1 THEN CASE WHEN cl=rl
 _QUALIFIED = f"qual AS (SELECT ref_id, min(id) AS target, CAST(0.95 AS DECIMAL(4,2)) AS confidence FROM (SELECT r.ref_id, n.id FROM refs r JOIN nodes n ON n.qualified_name=r.reference_name WHERE contains(r.reference_name,'::') AND (r.reference_kind<>'references' OR {_fam('n.language')}={_fam('r.language')})) GROUP BY 1 HAVING count(*)=1)"
 
 
-@query("r1_known_refs", "parts AS (SELECT ref_id, unnest(list_append(list_filter(regexp_split_to_array(reference_name,'::|[./]'), x -> x<>''), reference_name)) AS name FROM refs) SELECT DISTINCT ref_id FROM parts WHERE name IN (SELECT name FROM nodes)")
+@query("r1_known_refs", "parts AS (SELECT ref_id, unnest(list_append(list_filter(regexp_split_to_array(reference_name,'::|[./]'), lambda x: x<>''), reference_name)) AS name FROM refs) SELECT DISTINCT ref_id FROM parts WHERE name IN (SELECT name FROM nodes)")
 def _(spark, sf):
     return R.known(T.refs(spark, sf), T.nodes(spark, sf)).select("ref_id")
 
@@ -189,10 +189,10 @@ def _(spark, sf):
     return Y.declarations(g).select("source", "target")
 
 
-@query("y1_receiver_contains", "SELECT 'S:'||s_suppkey AS source, 'M:'||p_partkey AS target FROM part JOIN supplier ON s_suppkey=p_partkey%20+1 AND s_suppkey%5=p_partkey%5", graph=False)
+@query("y1_receiver_contains", "SELECT 'S:'||s_suppkey AS source, 'M:'||p_partkey AS target FROM part JOIN supplier ON s_suppkey=p_partkey%20", graph=False)
 def _(spark, sf):
     p, s = T.read(spark, sf, "part"), T.read(spark, sf, "supplier")
-    m = p.select(F.concat(F.lit("M:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("method").alias("kind"), F.lit("run").alias("name"), F.concat(F.lit("T"), (F.col("p_partkey") % 20 + 1).cast("string"), F.lit("::run")).alias("qualified_name"), F.concat(F.lit("d"), (F.col("p_partkey") % 5).cast("string"), F.lit("/b.go")).alias("file_path"), F.lit("go").alias("language"))
+    m = p.select(F.concat(F.lit("M:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("method").alias("kind"), F.lit("run").alias("name"), F.concat(F.lit("T"), (F.col("p_partkey") % 20).cast("string"), F.lit("::run")).alias("qualified_name"), F.concat(F.lit("d"), (F.col("p_partkey") % 5).cast("string"), F.lit("/b.go")).alias("file_path"), F.lit("go").alias("language"))
     t = s.select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("struct").alias("kind"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("name"), F.concat(F.lit("d"), (F.col("s_suppkey") % 5).cast("string"), F.lit("/a.go")).alias("file_path"), F.lit("go").alias("language"))
     g = Graph(conform(m, NODES).unionByName(conform(t, NODES)), conform(spark.createDataFrame([], "source string"), EDGES))
     return Y.receiver_contains(g).select("source", "target")
@@ -321,19 +321,19 @@ def _events(spark, sf):
     return T.read(spark, sf, "events").select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("path"), "ts", F.col("event_type").alias("event"))
 
 
-@query("i2_w9_bursts", f"SELECT * FROM (WITH e AS ({_EVENTS}), l AS (SELECT *, lag(ts) OVER (PARTITION BY path ORDER BY ts) AS p FROM e), g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts>=p+INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l) SELECT path, epoch_ms(min(ts)) AS start_ms, epoch_ms(max(ts)+INTERVAL 2 HOUR) AS end_ms, count(*) AS events FROM g GROUP BY path, s)", graph=False)
+@query("i2_w9_bursts", f"SELECT * FROM (WITH e AS ({_EVENTS}), l AS (SELECT *, lag(ts) OVER (PARTITION BY path ORDER BY ts) AS p FROM e), g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts>=p+INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l) SELECT path, epoch_us(min(ts))//1000 AS start_ms, epoch_us(max(ts)+INTERVAL 2 HOUR)//1000 AS end_ms, count(*) AS events FROM g GROUP BY path, s)", graph=False)
 def _(spark, sf):
     return watch.bursts(_events(spark, sf), "2 hours").select("path", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "events")
 
 
-@query("i3_pending", f"SELECT path, epoch_ms(min(ts)) AS first_ms, epoch_ms(max(ts)) AS last_ms FROM ({_EVENTS}) GROUP BY 1 HAVING max(ts)>(SELECT quantile_disc(ts,0.9) FROM events)", graph=False)
+@query("i3_pending", f"SELECT path, epoch_us(min(ts))//1000 AS first_ms, epoch_us(max(ts))//1000 AS last_ms FROM ({_EVENTS}) GROUP BY 1 HAVING max(ts)>(SELECT quantile_disc(ts,0.9) FROM events)", graph=False)
 def _(spark, sf):
     e = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     started = e.select(F.expr("percentile_disc(0.9) within group (order by unix_micros(ts))").alias("t")).first()["t"]
     return watch.pending(e, F.timestamp_micros(F.lit(int(started)))).select("path", F.unix_millis("first_seen").alias("first_ms"), F.unix_millis("last_seen").alias("last_ms"))
 
 
-@query("i4_latest_event", f"SELECT path, epoch_ms(max(ts)) AS last_ms, count(*) AS n FROM ({_EVENTS}) GROUP BY 1", graph=False)
+@query("i4_latest_event", f"SELECT path, epoch_us(max(ts))//1000 AS last_ms, count(*) AS n FROM ({_EVENTS}) GROUP BY 1", graph=False)
 def _(spark, sf):
     e = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     return watch.latest(e).join(e.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path").select("path", F.unix_millis("ts").alias("last_ms"), "n")

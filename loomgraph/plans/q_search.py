@@ -16,14 +16,14 @@ _ORDER = "is_declaration, length(name), name, qualified_name, kind, file_path, s
 
 def _corpus(spark, sf):
     d = T.read(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("docstring"))
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.col("text").alias("docstring"))
 
 
 def _bm25(terms, weights, source, key="id"):
     """Okapi BM25 in SQL over columns of ``source``."""
     cols = list(weights)
     toks = ", ".join(f"regexp_extract_all(lower(coalesce({c},'')), '[\\p{{L}}\\p{{N}}]+') AS t{i}" for i, c in enumerate(cols))
-    hit = lambda i, p: f"len(list_filter(t{i}, x -> starts_with(x,'{p}')))"
+    hit = lambda i, p: f"len(list_filter(t{i}, lambda x: starts_with(x,'{p}')))"
     size = "+".join(f"len(t{i})" for i in range(len(cols)))
     n = ", ".join("+".join(hit(i, p) for i in range(len(cols))) + f" AS n{j}" for j, p in enumerate(terms))
     f = ", ".join("+".join(f"{hit(i, p)}*{weights[c]}" for i, c in enumerate(cols)) + f" AS f{j}" for j, p in enumerate(terms))
@@ -33,7 +33,7 @@ def _bm25(terms, weights, source, key="id"):
     return f"tok AS (SELECT {key}, {toks} FROM {source}), tf AS (SELECT {key}, {size} AS size, {n}, {f} FROM tok), st AS (SELECT count(*) AS docs, avg(size) AS a, {stat} FROM tf), bm AS (SELECT {key}, {score} AS score FROM tf, st WHERE {some})"
 
 
-@query("t2s_ranked_text", f"{_bm25(['tion', 'ther', 'licens'], {'name': 20.0, 'docstring': 1.0}, '(SELECT doc_id AS id, source AS name, text AS docstring FROM documents)')} SELECT id, round(score,6) AS score FROM bm")
+@query("t2s_ranked_text", f"{_bm25(['tion', 'ther', 'licens'], {'id': 0.0, 'name': 20.0, 'docstring': 1.0}, '(SELECT CAST(doc_id AS VARCHAR) AS id, source AS name, text AS docstring FROM documents)')} SELECT id, round(score,6) AS score FROM bm")
 def _(spark, sf):
     return S.ranked(_corpus(spark, sf), ["tion", "ther", "licens"]).select("id", F.round("score", 6).alias("score"))
 
@@ -43,7 +43,7 @@ def _(spark, sf):
     return S.ranked(graph(spark, sf, "imports").nodes, S.match_terms("order AND asia")).select("id", F.round("score", 6).alias("score"))
 
 
-@query("t3s_substring", "SELECT id, CASE WHEN name='ASIA' THEN 1.0 WHEN lower(name) LIKE 'asia%' THEN 0.9 WHEN lower(name) LIKE '%asia%' THEN 0.8 WHEN lower(qualified_name) LIKE '%asia%' THEN 0.7 END AS score FROM nodes WHERE lower(name) LIKE '%asia%' OR lower(qualified_name) LIKE '%asia%'")
+@query("t3s_substring", "SELECT id, CASE WHEN name='ASIA' THEN 1.0 WHEN lower(name) LIKE 'asia%' THEN 0.9 WHEN lower(name) LIKE '%asia%' THEN 0.8 WHEN lower(qualified_name) LIKE '%asia%' THEN 0.7 END::DOUBLE AS score FROM nodes WHERE lower(name) LIKE '%asia%' OR lower(qualified_name) LIKE '%asia%'")
 def _(spark, sf):
     return S.substring(graph(spark, sf, "imports"), "ASIA").select("id", "score")
 

@@ -62,7 +62,8 @@ def query(name: str, sql: str | None = None, graph: bool = True):
         if sql is not None:
             body = sql.strip()
             more = not body.upper().startswith(("SELECT", "(SELECT"))
-            ORACLES[name] = f"WITH RECURSIVE {GRAPH}{', ' if more else ' '}{body}" if graph else body
+            begin = f"WITH RECURSIVE {GRAPH}{', ' if more else ' '}" if graph else "WITH RECURSIVE " if more else ""
+            ORACLES[name] = begin + body
         return f
 
     return wrap
