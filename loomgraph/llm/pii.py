@@ -137,6 +137,9 @@ _BRACKET_AT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{_ATS}|@)\s?[\])}}>]\s?")
 _BRACKET_DOT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{_DOTS}|\.)\s?[\])}}>]\s?")
 #: name at host dot end, with at or dot spelled or set apart.
 _SPOKEN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.| (?:{_DOTS}) )[A-Za-z0-9_%+-]{{1,64}}){{0,8}}(?: (?:{_ATS}) | ?@ ?)[A-Za-z0-9-]{{1,63}}(?:(?: (?:{_DOTS}) | \. |\.)[A-Za-z0-9-]{{1,63}}){{1,8}}")
+#: Ends of host names that are no common words (fixed values); where at and dot
+#: are only spelled, a name must end in one of them.
+ENDS = frozenset("com org net edu gov mil int info biz io ai co app dev eu uk de fr es ch nl pt br mx ar cl pe ve jp cn kr ru pl cz hu gr ro bg se dk fi ca au nz ie lu li tv cc xyz online site shop example test invalid local".split())
 _SPOKEN_SIGNS = re.compile(rf"(?i) (?:{_ATS}) | ?@ ?| (?:{_DOTS}) | \. ")
 
 
@@ -230,8 +233,9 @@ def signs(tape: Tape) -> Tape:
         edits = []
         for m in _SPOKEN.finditer(text):
             inner = [(s.start(), s.end(), "@" if "@" in s[0] or s[0].strip().lower() in AT else ".") for s in _SPOKEN_SIGNS.finditer(text, m.start(), m.end())]
-            # one sign alone that is set apart by spaces is prose: "see x@host . Then"
-            if any(new == "." and text[a:b].strip() != "." for a, b, new in inner) or any(new == "@" for _, _, new in inner) and " . " not in m[0]:
+            # "see x@host . Then" and "look at this dot of ink" are prose
+            spelled = any(text[a:b].strip() not in (".", "@") for a, b, _ in inner)
+            if m[0][re.search(r"[A-Za-z0-9-]+\Z", m[0]).start() :].lower() in ENDS if spelled else " . " not in m[0]:
                 edits += inner
         tape = tape.rewrite(edits)
     return tape

@@ -6,9 +6,10 @@ out last and fill every shard to its quota, which makes the counts differ by one
 at most (the law ``rows``).
 
 Linked documents are first dealt out evenly. The documents that a hub has in one
-shard form a bundle, so that a hub has at most one bundle for each shard,
-whatever its number of documents. Then, round by round, each bundle asks to move
-to the shard that holds most of its hub. Requests from shard a to shard b are
+shard form bundles, a bounded number for each shard, whatever its number of
+documents. Then, round by round, each bundle asks to move
+to the shard that holds most of its hub. Bundles are cut so that none is more than a
+64th of a shard. Requests from shard a to shard b are
 granted as far as b has room, or as the requests from b to a make room; they are
 counted in hashed cells, so the driver sees a bounded table (shards squared
 times :data:`CELLS`), never bundles. A hub larger than a shard stays split.
@@ -78,7 +79,7 @@ def grants(wanted: np.ndarray, load: np.ndarray, quota: np.ndarray) -> np.ndarra
 
 
 def propagate(bundles: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """Move bundles (hub, origin, n, shard) towards the shard of most of their hub."""
+    """Move bundles (hub, origin, part, n, shard) towards the shard of most of their hub."""
     shards, spark = len(quota), bundles.sparkSession
     state = common.cut(bundles)
     for turn in range(rounds):
@@ -87,7 +88,7 @@ def propagate(bundles: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Da
             load[r["shard"]] = r["n"]
         there = state.groupBy("hub", "shard").agg(F.sum("n").alias("n"))
         best = there.groupBy("hub").agg(F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard"))).alias("goal"))
-        cell = F.pmod(F.xxhash64("hub", "origin", F.lit(turn)), F.lit(CELLS)).cast("int")
+        cell = F.pmod(F.xxhash64("hub", "origin", "part", F.lit(turn)), F.lit(CELLS)).cast("int")
         asks = state.join(best, "hub").withColumn("cell", F.when(F.col("goal") != F.col("shard"), cell))
         asks = common.cut(asks)
         wanted = np.zeros((shards, shards, CELLS), np.int64)
@@ -99,7 +100,7 @@ def propagate(bundles: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Da
         allowed = spark.createDataFrame([(a, b, int(granted[a, b])) for a in range(shards) for b in range(shards)], "shard int, goal int, cells int")
         moved = asks.join(F.broadcast(allowed), ["shard", "goal"], "left")  # shards squared rows
         goes = F.col("cell").isNotNull() & (F.col("cell") < F.col("cells"))
-        state = common.cut(moved.select("hub", "origin", "n", F.when(goes, F.col("goal")).otherwise(F.col("shard")).alias("shard")))
+        state = common.cut(moved.select("hub", "origin", "part", "n", F.when(goes, F.col("goal")).otherwise(F.col("shard")).alias("shard")))
     return state
 
 
@@ -123,14 +124,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, hub: Column | None = None, rou
     hubs = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
     known = common.cut(rows.join(hubs, "hub"))
     single = known.filter("members = 1").drop("members", "hub")
-    linked = numbered(known.filter("members > 1").drop("members"), [], "row", "rank").withColumn("origin", (F.col("rank") % shards).cast("int")).drop("rank")
-    linked = common.cut(linked)
-    bundles = linked.groupBy("hub", "origin").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", F.col("origin"))
+    parts = F.ceil(F.col("members") / (shards * max(1, int(quota[-1]) // 64)))
+    linked = numbered(known.filter("members > 1"), [], "row", "rank").withColumn("origin", (F.col("rank") % shards).cast("int"))
+    linked = common.cut(linked.withColumn("part", F.pmod(F.floor(F.col("rank") / shards), parts).cast("int")).drop("rank", "members"))
+    bundles = linked.groupBy("hub", "origin", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", F.col("origin"))
     placed = propagate(bundles, quota, rounds)
     load = np.zeros(shards, np.int64)
     for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect():
         load[r["shard"]] = r["n"]
-    joined = linked.join(placed.select("hub", "origin", "shard"), ["hub", "origin"]).drop("hub", "origin")
+    joined = linked.join(placed.select("hub", "origin", "part", "shard"), ["hub", "origin", "part"]).drop("hub", "origin", "part")
     ends = np.cumsum(quota - load)
     shard = F.lit(shards - 1)
     for s in range(shards - 2, -1, -1):

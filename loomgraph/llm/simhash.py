@@ -229,10 +229,10 @@ def hexadecimal(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row of each group: that of the smallest doc_id, with its own columns.
-    Of rows that repeat this id the first by text stays; one row of null id stays
-    if some group has no other ids."""
+    Of rows that repeat this id the first by text stays. Rows of null id cannot be
+    named and all stay."""
     found = clusters(docs, words, bits)
-    stays = found.select(F.col("component_id").alias("keep")).distinct()
+    stays = found.select(F.col("component_id").alias("doc_id")).filter("doc_id is not null").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["keep"]), "left_semi")
-    return kept.withColumn("_nth_of_id", first).filter("_nth_of_id = 1").select(*docs.columns)
+    kept = docs.join(stays, "doc_id", "left_semi").withColumn("_nth_of_id", first).filter("_nth_of_id = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -385,41 +385,57 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return nodes.select("host", "node", "parent", "pages", F.round(spread, 9).alias("presentation"), F.round(content, 9).alias("content"))
 
 
-def importance(nodes: list[tuple[int, int, int, float, float | None]]) -> dict[int, float]:
-    """Importance of each branch of one host: (node, parent, pages, presentation,
-    content or null) by node. Children come before their parents."""
+def importance(nodes: list[tuple]) -> dict[int, float]:
+    """Importance of each branch of one host, by node. nodes: (node, parent, pages,
+    presentation, content or null, whether it has children that few pages have).
+    Nothing is known of such children, nor of a node without text and children:
+    their branch is of full importance."""
     below: dict[int, list] = {}
     for n in nodes:
         below.setdefault(n[1], []).append(n)
-    order, todo = [], list(below.get(0, []))
+    order, todo = [], [n for n in nodes if n[1] == 0]
     while todo:
         n = todo.pop()
         order.append(n)
         todo += below.get(n[0], [])
     out: dict[int, float] = {}
-    for node, _, _, presentation, content in reversed(order):
-        parts = [(c[2], out[c[0]]) for c in below.get(node, [])] + ([(1, content)] if content is not None and not below.get(node) else [])
-        if content is not None and below.get(node):
-            parts.append((max(w for w, _ in parts), content))
-        weight = sum(w for w, _ in parts)
-        inner = sum(w * x for w, x in parts) / weight if weight else 0.0
+    for node, _, pages, presentation, content, rare in reversed(order):
+        parts = [(c[2], out[c[0]]) for c in below.get(node, [])] + ([(pages, content)] if content is not None else [])
+        if rare or not parts:
+            out[node] = 1.0
+            continue
+        inner = sum(w * x for w, x in parts) / sum(w for w, _ in parts)
         out[node] = (1 - OWN) * inner + OWN * presentation if below.get(node) else inner
     return out
 
 
+def noisy(nodes: list[tuple], least_pages: int, least: float) -> list[int]:
+    """The nodes that are less important than ``least``, as is all below them."""
+    worth = importance(nodes)
+    parent = {n[0]: n[1] for n in nodes}
+    kept = {n[0] for n in nodes if n[2] < least_pages or worth.get(n[0], 1.0) >= least}
+    for node in list(kept):
+        while (node := parent.get(node, 0)) and node not in kept:
+            kept.add(node)
+    return sorted(n[0] for n in nodes if n[0] not in kept)
+
+
 def noise(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """(host, noise): the nodes of each host whose branch is unimportant."""
 
     def of_host(key, rows):
         import pandas as pd
 
-        nodes = [(int(r.node), int(r.parent), int(r.pages), float(r.presentation), None if pd.isna(r.content) else float(r.content)) for r in rows.itertuples()]
-        worth = importance(nodes)
-        low = sorted(n[0] for n in nodes if n[2] >= least_pages and worth.get(n[0], 1.0) < least)
+        nodes = [(int(r.node), int(r.parent), int(r.pages), float(r.presentation), None if pd.isna(r.content) else float(r.content), bool(r.rare)) for r in rows.itertuples()]
+        low = noisy(nodes, least_pages, least)
         return pd.DataFrame({"host": pd.Series([key[0]] if low else [], dtype=object), "noise": pd.Series([low] if low else [], dtype=object)})
 
-    # nodes that few pages have can be neither judged nor weigh much in a parent
-    tree = style_tree(pages).filter(F.col("pages") >= F.lit(max(2, least_pages // 4)))
+    # a node that few pages have becomes a mark of its parent, so that the nodes of
+    # a host are those of its templates, whatever the number of its pages
+    rare = F.col("pages") < max(2, least_pages // 4)
+    own = lambda c: F.max(F.when(~rare, F.col(c))).alias(c)
+    marked = style_tree(pages).groupBy("host", F.when(rare, F.col("parent")).otherwise(F.col("node")).alias("node")).agg(*(own(c).alias(f"_{c}") for c in ("parent", "pages", "presentation", "content")), F.max(rare).alias("rare"))
+    tree = marked.filter("_pages is not null").select("host", "node", *(F.col(f"_{c}").alias(c) for c in ("parent", "pages", "presentation", "content")), "rare")
     return tree.groupBy("host").applyInPandas(of_host, "host string, noise array<bigint>")
 
 

@@ -76,9 +76,17 @@ def test_real_pages(spark, sf):
 
 
 def test_importance():
-    nodes = [(1, 0, 10, 0.0, None), (2, 1, 10, 0.0, 0.0), (3, 1, 10, 0.9, 1.0)]
+    nodes = [(1, 0, 10, 0.0, None, False), (2, 1, 10, 0.0, 0.0, False), (3, 1, 10, 0.9, 1.0, False), (4, 1, 10, 0.0, None, False), (5, 4, 10, 0.0, 0.0, True)]
     worth = st.importance(nodes)
-    assert worth[2] == 0 and worth[3] == 1 and 0 < worth[1] < 1
+    assert worth[2] == 0 and worth[3] == 1 and 0 < worth[1] < 1 and worth[5] == 1
+    assert st.noisy(nodes, 8, 0.25) == [2] and st.noisy(nodes, 20, 0.25) == []
+
+
+def test_rare_children_protect_their_parent(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, "http://h.example/x", f"<body><div class='wrap'><div class='lead'>the same line</div><div class='post{word(i)}'>text {i}</div></div></body>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in st.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}" for i in range(40)}
 
 
 # -- vectors ------------------------------------------------------------------
