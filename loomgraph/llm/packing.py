@@ -20,6 +20,7 @@ packed as often as they occur. An empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -36,18 +37,17 @@ from .token_counts import vocabulary
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
 OPEN, MERGE = 64, 32
 #: Entries of a worker's table of encoded words.
-TABLE = 400_000
-#: Signs that may follow letters; no apostrophe, which begins a token of its own.
-SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+TABLE = 800_000
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, part int"
 _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 
 
 class Words:
-    """Ids of the white-space separated runs of a text, as bytes.
+    """Ids of the words of a text, as bytes.
 
-    Most runs are letters and then signs. The tokenizer takes both apart and
-    lower-cases, so the letters of such runs are looked up by themselves; letters
+    The tokenizer takes letters and signs apart, drops white space and
+    lower-cases. So a text is lower-cased first, a sign after a word is set apart,
+    and what white space separates is looked up whole. Runs of letters that were
     not met before are encoded many at a time by the model alone, and told apart
     by the tokens that end a word.
     """
@@ -63,8 +63,6 @@ class Words:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.table: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
 
     def _whole(self, runs: list[str]) -> list[bytes]:
         out = []
@@ -89,29 +87,20 @@ class Words:
         return out
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.letters) > TABLE:
-            self.letters.clear()
-        plain, other = [], []
+        plain, letters, other = [], [], []
         for run in new:
-            s = run.decode()
-            body = s.rstrip(SIGNS)
-            low = body.lower()
-            if low.isalpha() and (low.isascii() or "\u03a3" not in body):
-                plain.append((run, low, s[len(body) :]))
+            low = run.decode()
+            if low.isalpha() and low == low.lower():
+                plain.append(run)
+                letters.append(low)
             else:
                 other.append(run)
-        letters = list({x[1] for x in plain}.difference(self.letters))
-        self.letters.update(zip(letters, self._joined(letters)))
-        if len(self.signs) > TABLE:
-            self.signs = {"": b""}
-        signs = list({x[2] for x in plain}.difference(self.signs))
-        self.signs.update(zip(signs, self._whole(signs)))
-        self.table.update((run, self.letters[low] + self.signs[tail]) for run, low, tail in plain)
+        self.table.update(zip(plain, self._joined(letters)))
         self.table.update(zip(other, self._whole([w.decode() for w in other])))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for a, b in common.blocks([len(t) for t in texts], 1 << 20):
-            runs = [t.encode().split() for t in texts[a:b]]
+            runs = [_runs(t) for t in texts[a:b]]
             met = set().union(*runs)
             new = met.difference(self.table)
             if len(self.table) + len(new) > TABLE:
@@ -123,6 +112,24 @@ class Words:
                 yield b"".join(map(get, r))
 
 
+#: A sign between a letter or digit and white space, which is a token of its own.
+_SIGN = re.compile(r"(?<=[^\W_])([.,;:!?])(?=[ \n])")
+_SIGN_BYTES = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[ \n])")
+
+
+def _runs(text: str) -> list[bytes]:
+    """The words of a text, lower-cased and without such signs, where this leaves
+    the tokens as they are: special strings are so in their own case only, a capital
+    sigma depends on its place, and composition comes before lower case."""
+    if "<|" in text:
+        return text.encode().split()
+    if text.isascii():
+        return _SIGN_BYTES.sub(rb" \1", text.encode().lower()).split()
+    if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+        return text.encode().split()
+    return _SIGN.sub(r" \1", text.lower()).encode().split()
+
+
 _own: dict[str, Words] = {}
 
 
