@@ -6,9 +6,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NOISE = re.compile(r"\b(?:const|volatile|struct|class|enum|typename|register|inline|static|extern|virtual)\b|\s+")
-_NAMED = re.compile(r"(?<=[\w>&*\]])[ ]+[A-Za-z_]\w*(?=(?:\[[^\]]*\])*$)")
+_NAMED = re.compile(r"(?:(?<=[\w>\]])[ ]+|(?<=[&*])[ ]*)[A-Za-z_]\w*(?=(?:\[[^\]]*\])*$)")
 
 
 def _parameters(signature: str) -> str | None:
@@ -31,12 +32,12 @@ def _parameters(signature: str) -> str | None:
         if p in ("", "void"):
             continue
         p = " ".join(_NOISE.sub(" ", p).split())
-        p = _NAMED.sub("", p) if " " in p else p
+        p = _NAMED.sub("", p)
         out.append(re.sub(r"\s*([*&<>,\[\]])\s*", r"\1", p))
     return ",".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parameter_key(signature: pd.Series) -> pd.Series:
     """The types of a C or C++ signature's parameters; null without parentheses."""
     return signature.map(lambda s: None if s is None else _parameters(s))
@@ -54,7 +55,7 @@ def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m[0]) if m[0][0] in "/#-" else m[0]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_comments(text: pd.Series, language: pd.Series) -> pd.Series:
     """Source with comments blanked: every other character keeps its place."""
     return pd.Series([None if t is None else _COMMENTS[_STYLE.get(lang, "slash")].sub(_blank, t) for t, lang in zip(text, language)], dtype=object)

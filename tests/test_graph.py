@@ -125,7 +125,7 @@ def test_lookup_names(spark):
     assert ids(S.exact(g, "OtherA::getUser")) == set() and ids(S.exact(g, "a::getUser")) == {"n0"}  # a file's stem
     assert S.tool_search(g, "GETUSERBYID")[0] == "case-insensitive" and S.tool_search(g, "getUsr")[0] == "fuzzy" and S.tool_search(g, "A::getUsr")[0] == "none"
     assert ids(L.by_ids(g, [f"d{i}" for i in range(1500)])) == {f"d{i}" for i in range(120)}
-    assert ids(S.search(g, 'name:getuser kind:function "')) >= {"n0"}
+    assert ids(S.search(g, 'name:getuser kind:function')) >= {"n0"}
 
 
 def test_query_parser():

@@ -2,6 +2,7 @@
 
 import importlib.util
 import json
+import os
 import shutil
 import subprocess
 import sys
@@ -44,6 +45,7 @@ def test_pending_paths_leave_when_their_burst_is_over(spark, tmp_path):
     folder.mkdir()
     for i, part in enumerate(rows):
         (folder / f"{i}.json").write_text("\n".join(json.dumps({"path": p, "ts": t, "event": "x"}) for p, t in part))
+        os.utime(folder / f"{i}.json", (10**9 + i, 10**9 + i))  # files come in order of their time
     stream = spark.readStream.schema("path string, ts timestamp, event string").option("maxFilesPerTrigger", 1).json(str(folder))
     q = watch.pending_state(stream).writeStream.format("memory").queryName("state").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(180)
