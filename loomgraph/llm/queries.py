@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, permutation_index, perplexity, pii, sharding, simhash, site_tree, token_counts
+from . import language, packing, permutation_index, perplexity, pii, sharding, simhash, site_tree, suffix_pieces, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return permutation_index.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
+    "op6_suffix_pieces": op6_suffix_pieces,
     "op7_permutation_index": op7_permutation_index,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,

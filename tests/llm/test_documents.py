@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loomgraph.llm import language, packing, perplexity, pii, sharding, simhash, token_counts
+from loomgraph.llm import language, packing, perplexity, pii, sharding, simhash, suffix_pieces, token_counts
 
 from .conftest import HARD
 
@@ -467,3 +467,41 @@ def test_grants_never_overfill():
         g = sharding.grants(wanted, load, quota)
         moved = np.array([[wanted[a, b, : g[a, b]].sum() for b in range(4)] for a in range(4)])
         assert (load + moved.sum(0) - moved.sum(1) <= quota).all()
+
+
+# -- pieces -------------------------------------------------------------------
+
+
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=suffix_pieces.vocabulary(suffix_pieces.MODEL))
+
+
+@pytest.mark.parametrize("t", ["", " ", "a", "  x   y ", "é漢字😀\n\tz", "<s> </s> <unk> <0x0A>", "ﬁ ½\u200b́e", "▁▁a▁", "\x00ab\x00", "1234567890123", "a" * 300, "ab" * 200, "İstanbul’s “q”", "    def f(x):\n        return x"])
+def test_pieces_are_those_of_the_library(t):
+    tool, sp = suffix_pieces.pieces(suffix_pieces.vocabulary(suffix_pieces.MODEL)), library()
+    for text in (t, t + " " + t, "x" + t):
+        (raw,) = tool.encode([text])
+        assert np.frombuffer(raw, "<u4").tolist() == sp.encode(text)
+        assert tool.decode(raw) == sp.decode(sp.encode(text)) and ("▁" in t or tool.decode(raw) == text)
+
+
+def test_pieces_of_tables(docs, none, real, monkeypatch):
+    sp = library()
+    for df in (docs, real):
+        got = rows(suffix_pieces.decode(suffix_pieces.encode(df)))
+        want = Counter((i, array_of(sp.encode(t or "")), t or "") for i, t, _ in texts(df))
+        assert Counter((r["doc_id"], bytes(r["ids"]), r["text"]) for r in got) == want
+    assert rows(suffix_pieces.digest(none)) == []
+    r = {r["doc_id"]: r for r in rows(suffix_pieces.digest(real))}
+    assert all(r[i]["text_crc32"] == zlib.crc32(t.encode()) for i, t, _ in texts(real))
+    monkeypatch.setattr(suffix_pieces, "WORDS", 10)
+    monkeypatch.setattr(suffix_pieces, "PAIRS", 10)
+    own = [t for _, t, _ in texts(real)]
+    small = suffix_pieces.Pieces(suffix_pieces.vocabulary(suffix_pieces.MODEL))
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(own)] == [sp.encode(t) for t in own]
+
+
+def array_of(ids):
+    return np.array(ids, "<u4").tobytes()

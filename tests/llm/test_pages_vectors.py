@@ -159,7 +159,7 @@ def test_queries_have_their_columns(spark, sf):
 
     want = {
         "op1": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op2": "page_id url text n_chars", "op3": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
-        "op4": "doc_id size text_crc32 law shard slot grown_shard", "op5": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op7": "query_id rank vec_id score", "op8": "doc_id fingerprint component_id",
+        "op4": "doc_id size text_crc32 law shard slot grown_shard", "op5": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op6": "doc_id n_bytes n_tokens ids_crc32 text_crc32", "op7": "query_id rank vec_id score", "op8": "doc_id fingerprint component_id",
         "op9": "doc_id n_bytes n_tokens over_limit", "op10": "doc_id held_out lang_pred score",
     }
     for name, q in QUERIES.items():
