@@ -33,8 +33,9 @@ from .token_counts import vocabulary
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters whose new words are indexed together; entries of a worker's tables.
-BLOCK, WORDS, PAIRS = 4 << 20, 500_000, 500_000
+#: Characters of texts that are cut at once, and of new words that are indexed
+#: together; entries of a worker's tables.
+BLOCK, INDEXED, WORDS, PAIRS = 1 << 21, 1 << 18, 400_000, 400_000
 _NEVER = 1 << 40
 
 
@@ -60,7 +61,19 @@ class Pieces:
                     self.left[r], self.right[r], self.formed[r] = a, b, True
                     break
         self.letters = frozenset(t for t in self.text if len(t) == 1)
-        self.longest = max(map(len, self.text))
+        self.longest = wide = max(map(len, self.text))
+        # the numbers of characters, and of pieces the least and greatest suffixes
+        # that begin with them; big-endian, as their bytes then sort as they do
+        code = {c: i + 1 for i, c in enumerate(sorted(self.letters))}
+        self.code = np.zeros(0x110000, ">u2")
+        self.code[[ord(c) for c in code]] = list(code.values())
+        self.whole = np.array([r for r in range(len(ids)) if self.formed[r]], np.int64)
+        low = np.zeros((len(self.whole), wide), ">u2")
+        high = np.full((len(self.whole), wide), 0xFFFF, ">u2")
+        for i, r in enumerate(self.whole.tolist()):
+            own = [code[c] for c in self.text[r]]
+            low[i, : len(own)] = high[i, : len(own)] = own
+        self.low, self.high = low.view(f"S{2 * wide}").ravel(), high.view(f"S{2 * wide}").ravel()
         self.lengths = np.array([len(t) for t in self.text], np.int64)
         inner = any(SPACE in t.lstrip(SPACE) for t in self.text)
         own = "\n" if all("\n" not in t for t in self.text) else ""
@@ -102,25 +115,18 @@ class Pieces:
             out[i] = ok
         return out[at]
 
-    def edges(self, codes: np.ndarray, code: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def edges(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and rank of every occurrence of every piece that BPE forms."""
         wide = self.longest
-        padded = np.zeros(len(codes) + wide, ">u2")  # big-endian: its bytes sort as its numbers
-        padded[: len(codes)] = codes
-        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, wide)[: len(codes)]).view(f"S{2 * wide}").ravel()
+        padded = np.zeros(len(cp) + wide, ">u2")
+        padded[: len(cp)] = self.code[cp]
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, wide)[: len(cp)]).view(f"S{2 * wide}").ravel()
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        ranks = [r for r, t in enumerate(self.text) if self.formed[r] and all(c in code for c in t)]
-        low = np.zeros((len(ranks), wide), ">u2")
-        high = np.full((len(ranks), wide), 0xFFFF, ">u2")
-        for i, r in enumerate(ranks):
-            own = [code[c] for c in self.text[r]]
-            low[i, : len(own)] = high[i, : len(own)] = own
-        first = np.searchsorted(keys, low.view(f"S{2 * wide}").ravel(), "left")
-        last = np.searchsorted(keys, high.view(f"S{2 * wide}").ravel(), "right")
-        count = last - first
+        first = np.searchsorted(keys, self.low, "left")
+        count = np.searchsorted(keys, self.high, "right") - first
         at = np.arange(count.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        return order[at], np.repeat(np.array(ranks, np.int64), count)
+        return order[at], np.repeat(self.whole, count)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids, as little-endian bytes, of words of known characters."""
@@ -128,12 +134,10 @@ class Pieces:
             return []
         text = "\x00".join(words) + "\x00"
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        chars, codes = np.unique(cp, return_inverse=True)
-        code = {chr(c): i for i, c in enumerate(chars.tolist()) if c}  # the separator is 0
         size = np.array([len(w) for w in words], np.int64)
         begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         of = np.repeat(begin, size + 1)
-        start, rank = self.edges(codes, code)
+        start, rank = self.edges(cp)  # the separator is in no piece
         end = start + self.lengths[rank]
         place = end - of[start]
         by = np.argsort(place, kind="stable")
@@ -178,7 +182,9 @@ class Pieces:
             else:
                 runs.add(w)
         runs = list(runs)
-        made = dict(zip(runs, self.encode_words(runs)))
+        made: dict[str, bytes] = {}
+        for a, b in common.blocks([len(r) + 1 for r in runs], INDEXED):
+            made.update(zip(runs[a:b], self.encode_words(runs[a:b])))
         for w in new:
             if w in parts:
                 own = parts[w]
