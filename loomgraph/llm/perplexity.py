@@ -10,8 +10,11 @@ have a proven bound, however large the corpus is: 5.8 million grams of 8 bytes a
 
 A document is rejected if the logarithm of its perplexity is outside the band
 of its language. Bands come from the exact histogram of all documents that pass
-the base rules, as median and median absolute deviation. Short texts vary more,
-so the band widens with the square root of ``SHORT / n_chars``.
+the base rules, as median and median absolute deviation; copies count once, so
+that a large group of them does not make a band of its own. Short texts vary
+more, so the band widens with the square root of ``1 + SHORT / n_chars``. The
+spread of fewer than ``FEW`` texts, or of texts that score alike, tells nothing;
+the band is then ``FEW_WIDTH`` wide at least.
 
 Defined cases: a null text is empty, has no words and fails the base rules. A
 null or malformed language is ``und`` and has a model and a band of its own. A
@@ -38,12 +41,14 @@ ORDER = 4
 #: Bits of the hash space of the grams of each order, and of their contexts.
 BITS = {1: 18, 2: 18, 3: 20, 4: 22}
 CONTEXT_BITS = {1: 18, 2: 18, 3: 18, 4: 20}
-#: Half the width of a band, in robust standard deviations, and at least so much.
-WIDTH, LEAST_WIDTH = 8.0, 0.42
+#: Half the width of a band, in robust standard deviations.
+WIDTH = 6.0
+#: Texts whose spread can be told, and half the least width where it cannot.
+FEW, FEW_WIDTH = 20, 0.42
 #: Characters under which the band of a text is widened.
 SHORT = 400
 #: Bins of the histogram of log-perplexities, for each unit.
-BINS = 256
+BINS = 1024
 BEGIN, END = 1, 2
 SYMBOLS = frozenset("#*$%&|<>")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -322,7 +327,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def bands(scored: DataFrame) -> dict[str, tuple[float, float]]:
     """Centre and half width of each language's band of log-perplexities."""
-    rows = scored.filter(~F.col("base_failed")).groupBy("lang", F.floor(F.col("log_ppl") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    apart = scored.filter(~F.col("base_failed")).select("lang", "n_chars", F.round("log_ppl", 9).alias("log_ppl")).distinct()
+    rows = apart.groupBy("lang", F.floor(F.col("log_ppl") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     by: dict[str, list] = {}
     for r in rows:
         by.setdefault(r["lang"], []).append((r["bin"], r["n"]))
@@ -332,7 +338,8 @@ def bands(scored: DataFrame) -> dict[str, tuple[float, float]]:
         centre = (_median(at, n) + 0.5) / BINS
         off = np.abs((at + 0.5) / BINS - centre)
         order = np.argsort(off, kind="stable")
-        out[lang] = centre, max(LEAST_WIDTH, WIDTH * 1.4826 * _median(off[order], n[order]))
+        width = WIDTH * 1.4826 * _median(off[order], n[order])
+        out[lang] = centre, max(width, FEW_WIDTH) if n.sum() < FEW or not width else width
     return out
 
 

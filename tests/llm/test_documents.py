@@ -131,6 +131,25 @@ def test_odd_language_is_rejected(spark):
     assert sum(got[i]["kept"] for i in clean) >= 0.98 * len(clean)
 
 
+def test_bands_reject_junk_and_other_languages_and_keep_clean_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    good = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rng = np.random.default_rng(5)
+    noise = [(10**6 + i, " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(60)), "en") for i in range(5)]
+    of_german = [(2 * 10**6 + r["doc_id"], r["text"], "en") for r in docs.filter("lang = 'de' and length(text) between 400 and 900").orderBy("doc_id").limit(5).collect()]
+    got = {r["doc_id"]: r for r in rows(perplexity.judge(docs.unionByName(spark.createDataFrame(noise + of_german, docs.schema))))}
+    judged = [i for i in good if not got[i]["base_failed"]]
+    clean, junk = ([got[i]["kept"] for i in judged if good[i] == q] for q in (1, 0))
+    assert not any(got[i]["kept"] for i, _, _ in noise + of_german)
+    assert np.mean(clean) >= 0.99 and np.mean(junk) <= 0.9
+
+
+def test_band_of_few_or_equal_texts_is_wide(spark):
+    scored = spark.createDataFrame([(x, 500, False, 1.0 + i * d) for x, n, d in (("aa", 5, 0.001), ("bb", 90, 0.0), ("cc", 90, 0.001)) for i in range(n)], "lang string, n_chars long, base_failed boolean, log_ppl double")
+    found = perplexity.bands(scored.unionByName(scored.filter("log_ppl = 1")))
+    assert found["aa"][1] == found["bb"][1] == perplexity.FEW_WIDTH and 0.15 < found["cc"][1] < 0.25
+
+
 # -- packing ------------------------------------------------------------------
 
 
