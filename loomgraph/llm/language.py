@@ -28,8 +28,11 @@ from . import common
 
 DIM = 1024
 FOLDS = 5
-#: Documents below this cosine are in no known language.
-LEAST_SCORE = 0.1
+#: Documents below this cosine are in no known language. On sf0.1 it lies between
+#: the scores of documents of ten words or more with their own language
+#: (99.8 % are above) and those with the best of the other languages (97.4 to 99.6 %
+#: are below).
+LEAST_SCORE = 0.3
 #: Languages that may be learned; their profiles are sent to the executors.
 MOST_LANGUAGES = 20_000
 _SCALE = 1 << 20

@@ -443,6 +443,26 @@ def test_language_of_hard_rows(docs, none):
     assert language.keep(unlabelled).count() == len(HARD) and language.keep(docs).columns == docs.columns
 
 
+def test_texts_of_no_learned_language_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    good = {r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").collect()}
+    other = [
+        "Questa mattina il treno è arrivato in ritardo e molte persone aspettavano sulla banchina con le valigie",
+        "De trein kwam vanochtend te laat aan en veel mensen wachtten met hun koffers op het perron",
+        "Tänä aamuna juna saapui myöhässä ja monet ihmiset odottivat laiturilla matkalaukkujen kanssa",
+        "function add(a, b) { const total = a + b; console.log(total); return total; } export default add;",
+    ]
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(other)], docs.schema)
+    kept = {r["doc_id"] for r in rows(language.keep(docs.unionByName(more)))}
+    assert not any(10**6 + i in kept for i in range(len(other)))
+    assert len(good & kept) >= 0.99 * len(good)
+    # a language that the labels do not teach
+    untaught = docs.selectExpr("doc_id", "text", "if(lang = 'es', null, lang) lang")
+    spanish = {r["doc_id"] for r in docs.filter("lang = 'es'").collect()}
+    kept = {r["doc_id"] for r in rows(language.keep(untaught))}
+    assert len(kept & spanish) <= 0.1 * len(spanish)
+
+
 # -- shards -------------------------------------------------------------------
 
 
