@@ -138,8 +138,12 @@ _BRACKET_DOT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{_DOTS}|\.)\s?[\])}}>]\s?")
 #: name at host dot end, with at or dot spelled or set apart.
 _SPOKEN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.| (?:{_DOTS}) )[A-Za-z0-9_%+-]{{1,64}}){{0,8}}(?: (?:{_ATS}) | ?@ ?)[A-Za-z0-9-]{{1,63}}(?:(?: (?:{_DOTS}) | \. |\.)[A-Za-z0-9-]{{1,63}}){{1,8}}")
 #: Ends of host names that are no common words (fixed values); where at and dot
-#: are only spelled, a name must end in one of them.
+#: are only spelled, or a dot is set apart, a name must end in one of them. Any two
+#: letters do after a written at sign or one in brackets.
 ENDS = frozenset("com org net edu gov mil int info biz io ai co app dev eu uk de fr es ch nl pt br mx ar cl pe ve jp cn kr ru pl cz hu gr ro bg se dk fi ca au nz ie lu li tv cc xyz online site shop example test invalid local".split())
+_SPOKEN_ATS, _SPOKEN_DOTS = re.compile(rf"(?i) (?:{_ATS}) | ?@ ?"), re.compile(rf"(?i) (?:{_DOTS}) | \. |\.")
+#: What every match of _SPOKEN has in it.
+_SPOKEN_AT = re.compile(rf"(?i)(?: (?:{_ATS}) | ?@ ?)[A-Za-z0-9-]{{1,63}}(?: (?:{_DOTS}) | \. |\.)[A-Za-z0-9-]")
 _SPOKEN_SIGNS = re.compile(rf"(?i) (?:{_ATS}) | ?@ ?| (?:{_DOTS}) | \. ")
 
 
@@ -224,23 +228,37 @@ def signs(tape: Tape) -> Tape:
     """at and dot in brackets, spelled, or set apart by spaces."""
     text = tape.text
     if any(c in text for c in "[({<"):
+        # only a whole address becomes a span, so brackets elsewhere change nothing
         edits = sorted([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text)])
-        if edits and any(new == "@" for _, _, new in edits) or len(edits) > 2:
+        if edits:
             tape = tape.rewrite(_apart(edits))
             text = tape.text
-    low = text.lower()
-    if " @" in low or "@ " in low or any(f" {d} " in low for d in DOT):
+    if _SPOKEN_AT.search(text):
         edits = []
         for m in _SPOKEN.finditer(text):
-            inner = [(s.start(), s.end(), "@" if "@" in s[0] or s[0].strip().lower() in AT else ".") for s in _SPOKEN_SIGNS.finditer(text, m.start(), m.end())]
-            # "see x@host . Then" and "look at this dot of ink" are prose
-            spelled = any(text[a:b].strip() not in (".", "@") for a, b, _ in inner)
-            if m[0][re.search(r"[A-Za-z0-9-]+\Z", m[0]).start() :].lower() in ENDS if spelled else " . " not in m[0]:
-                edits += inner
+            end = _address_end(m[0])
+            edits += [(s.start(), s.end(), "@" if "@" in s[0] or s[0].strip().lower() in AT else ".") for s in _SPOKEN_SIGNS.finditer(text, m.start(), m.start() + end)]
         tape = tape.rewrite(edits)
     return tape
 
 
+def _address_end(found: str) -> int:
+    """The length of the address at the start of what _SPOKEN found, 0 if none:
+    "see x@host . Then" and "look at this dot of ink" are prose."""
+    at = _SPOKEN_ATS.search(found)
+    dots = list(_SPOKEN_DOTS.finditer(found, at.end()))
+    end = len(found)
+    for k in range(len(dots) - 1, -1, -1):
+        label, signs_ = found[dots[k].end() : end].lower(), [at[0], *(d[0] for d in dots[: k + 1])]
+        if label in ENDS:
+            return end
+        if " . " not in signs_:
+            if all(x.strip() in ("@", ".") for x in signs_) or "@" in at[0] and len(label) == 2 and label.isalpha():
+                return end
+        end = dots[k].start()
+    return 0
+
+
 def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out, done = [], 0
     for a, b, new in edits:

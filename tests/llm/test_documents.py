@@ -278,6 +278,21 @@ def test_disguises(text, kind, hidden):
     assert pii.redact(text, every) == text.replace(hidden, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    ["jane@example[.]com", "jane@example (dot) com", "jane@mail[.]example[.]com", "jane at example.com", "jane @ example . com", "jane @ example.com", "mario [at] example dot it", "mario@example dot za", "jane [at] host[.]internal"],
+)
+def test_disguises_of_one_sign(hidden):
+    for text in (hidden, f"to {hidden}, now", f"({hidden}) and a [b] c", f"Ask {hidden} . Then go"):
+        base, every = pii.spans_of(text)
+        assert (base, [(k, text[a:b]) for k, a, b in every]) == ([], [("email", hidden)])
+
+
+@pytest.mark.parametrize("text", ["meet @ noon . It was late", "a [.] b (dot) c", "look at this.", "x@host (see) it . Is"])
+def test_signs_in_prose_are_no_addresses(text):
+    assert pii.spans_of(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["we met at noon and spot dots", "see x@host . Then", "one two and three four", "look at this dot of ink", "Él fue uno de dos", "Привет мир 漢字"])
 def test_clean_prose_has_no_spans(text):
     assert pii.spans_of(text) == ([], [])
