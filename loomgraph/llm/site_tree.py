@@ -13,8 +13,10 @@ the map side first, so a host with a third of all pages is no large group.
 Branches of low importance are removed from the pages of their host. A host may
 have too few pages to tell, or menus that differ from page to page, so the roles
 that HTML itself gives (nav, footer, form, class names such as ``sidebar``)
-count as of no importance. What a page marks as its article is never removed for
-being like other pages: copies of an article are articles.
+count as of no importance. Within what a page marks as its article unimportant
+branches go too, but not the article itself nor its plain paragraphs, lists and
+tables: copies of an article are articles. Exact copies of a page count as one, and
+an article of which only headings would be left stays whole.
 
 The model is a table of unimportant nodes by host, written in the shared folder;
 Spark broadcasts it if its size is below the session's threshold, and else joins
@@ -63,6 +65,9 @@ OTHER = frozenset(
     "breadcrumb breadcrumbs pagination pager toolbar copyright legal skip search form paywall teaser toc".split()
 )
 NO_NAME = COMMENTS | ADS | OTHER
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that, without class and id, are an article's own text.
+PLAIN = HEADINGS | frozenset("p b i em strong code mark span a u s small sub sup q cite abbr time kbd var samp pre blockquote ul ol li dl dt dd table caption tbody thead tfoot tr td th".split())
 #: What ends an open element of the same group, and where the search stops.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"})}
 SCOPE = frozenset("table td th html button object template caption".split())
@@ -240,7 +245,19 @@ def main_text(root: Node, noise: frozenset[int]) -> str:
 def _blocks(root: Node, noise: frozenset[int]) -> list[str]:
     starts = _tops(root)
     out: list[str] = []
+    for start in starts or [root]:
+        lines, more = _walk(start, bool(starts), noise)
+        if starts and noise and not more:
+            lines, _ = _walk(start, True, frozenset())
+        out += lines
+    return out
+
+
+def _walk(start: Node, inside: bool, noise: frozenset[int]) -> tuple[list[str], bool]:
+    """The lines of a branch, and whether there is text that is no heading."""
+    out: list[str] = []
     held: list[str] = []
+    more = False
 
     def flush() -> None:
         line = " ".join("".join(held).split())
@@ -248,34 +265,33 @@ def _blocks(root: Node, noise: frozenset[int]) -> list[str]:
         if line:
             out.append(line)
 
-    for start in starts or [root]:
-        inside = bool(starts)
-        # (node, number of its next child, whether in an article)
-        todo = [(start, 0, inside)]
-        while todo:
-            n, k, in_article = todo.pop()
-            if k == 0 and n.tag in BLOCK:
-                flush()
-            moved = False
-            for j in range(k, len(n.children)):
-                c = n.children[j]
-                if isinstance(c, str):
-                    held.append(c)
-                elif c.tag == "br":
-                    held.append(" ")
-                elif without_role(c, in_article) or not in_article and c.path in noise and not _is_article(c):
-                    if c.tag in BLOCK:
-                        flush()
-                elif c.tag not in VOID:
-                    todo += [(n, j + 1, in_article), (c, 0, in_article or _is_article(c))]
-                    moved = True
-                    break
-                elif c.tag in BLOCK:
+    # (node, number of its next child, whether in an article, whether in a heading)
+    todo = [(start, 0, inside, False)]
+    while todo:
+        n, k, in_article, titled = todo.pop()
+        if k == 0 and n.tag in BLOCK:
+            flush()
+        moved = False
+        for j in range(k, len(n.children)):
+            c = n.children[j]
+            if isinstance(c, str):
+                held.append(c)
+                more = more or not titled and bool(c.strip())
+            elif c.tag == "br":
+                held.append(" ")
+            elif without_role(c, in_article) or c.path in noise and not _is_article(c) and not (in_article and c.tag in PLAIN and not c.names()):
+                if c.tag in BLOCK:
                     flush()
-            if not moved and n.tag in BLOCK:
+            elif c.tag not in VOID:
+                todo += [(n, j + 1, in_article, titled), (c, 0, in_article or _is_article(c), titled or c.tag in HEADINGS)]
+                moved = True
+                break
+            elif c.tag in BLOCK:
                 flush()
-        flush()
-    return out
+        if not moved and n.tag in BLOCK:
+            flush()
+    flush()
+    return out, more
 
 
 def _tops(root: Node) -> list[Node]:
@@ -355,27 +371,30 @@ def style_tree(pages: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             cols = list(zip(*counts)) or [[]] * 5
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            made = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(list(counts.values()), pa.int64())], names=["host", "node", "parent", "kind", "value", "n"])
+            made = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(list(counts.values()), pa.float64())], names=["host", "node", "parent", "kind", "value", "n"])
             counts.clear()
             return made
 
         for batch in batches:
-            for of, text in zip(batch.column(1).to_pylist(), common.texts_of(batch, "html")):
+            for of, text, copies in zip(batch.column(1).to_pylist(), common.texts_of(batch, "html"), batch.column(2).to_pylist()):
                 for fact in facts(parse(text)):
                     key = (of, *fact)
-                    counts[key] = counts.get(key, 0) + 1
+                    counts[key] = counts.get(key, 0) + 1 / (copies or 1)
             if len(counts) > 200_000:
                 yield out()
         yield out()
 
-    found = pages.select("html", host(F.col("url")).alias("host")).mapInArrow(parsed, "host string, node long, parent long, kind int, value long, n long")
-    cells = found.groupBy("host", "node", "parent", "kind", "value").agg(F.sum("n").alias("n"))
+    # exact copies of a page in a host share a weight of one
+    own = pages.select("html", host(F.col("url")).alias("host"), F.xxhash64("html").alias("of"))
+    copies = common.stash(own.groupBy("host", "of").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    found = own.join(copies, ["host", "of"], "left").select("html", "host", "copies").mapInArrow(parsed, "host string, node long, parent long, kind int, value long, n double")
+    cells = found.groupBy("host", "node", "parent", "kind", "value").agg(F.round(F.sum("n"), 6).alias("n"))
     n, plogp = F.col("n"), F.col("n") * F.ln("n")
     style, feature = F.col("kind") == 0, F.col("kind") == 1
     nodes = cells.groupBy("host", "node", "parent").agg(
-        F.sum(F.when(style, n)).alias("pages"),
+        F.round(F.sum(F.when(style, n))).cast("long").alias("pages"),
         F.coalesce(F.sum(F.when(style, plogp)), F.lit(0.0)).alias("style"),
-        F.coalesce(F.sum(F.when(feature, n)), F.lit(0)).alias("texts"),
+        F.coalesce(F.sum(F.when(feature, n)), F.lit(0.0)).alias("texts"),
         F.coalesce(F.sum(F.when(feature, plogp)), F.lit(0.0)).alias("repeats"),
     )
     m = F.col("pages")

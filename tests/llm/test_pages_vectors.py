@@ -57,6 +57,23 @@ def test_copies_of_an_article_are_kept(spark):
     assert {r["text"] for r in got} == {"the same words"}
 
 
+def test_repeated_branches_go_from_articles(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    notice, plain = "<div class='kasten'><p>send us your mail</p></div>", "<p class='hint'>all our days</p>"
+    rows = [(i, f"http://h.example/{i}", f"<body><article><h1>title {i}</h1><p>story {word(i)}</p>{notice}<div class='part'><p>end {i}</p></div>{plain}</article></body>") for i in range(30)]
+    # copies of one page, and few pages of their own beside them
+    copy = "<body><article><h1>one</h1><div class='body'><p>the same words</p></div></article></body>"
+    rows += [(100 + i, "http://c.example/x", copy) for i in range(40)]
+    rows += [(200 + i, f"http://c.example/{i}", copy.replace("one", f"other {i}").replace("the same", f"own {i}")) for i in range(10)]
+    # the same text under different titles
+    rows += [(300 + i, f"http://t.example/{i}", copy.replace("one", f"title {i}")) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in st.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"title {i}\nstory {word(i)}\nend {i}" for i in range(30))
+    assert all(got[100 + i] == "one\nthe same words" for i in range(40))
+    assert all(got[200 + i] == f"other {i}\nown {i} words" for i in range(10))
+    assert all(got[300 + i] == f"title {i}\nthe same words" for i in range(20))
+
+
 def test_hard_pages(spark):
     schema = "page_id long, url string, html string, host string, text string, noise string"
     rows = [(1, None, None, "a", "b", "c"), (None, "nonsense", "<p>x", "a", "b", "c"), (2, "http://h/", "", "a", "b", "c"), (2, "http://h/", "", "a", "b", "c"), (3, "HTTP://H/", "<p>" + "long words " * 50_000, "a", "b", "c")]
