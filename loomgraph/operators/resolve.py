@@ -290,8 +290,9 @@ def module_files(imports: DataFrame, files: DataFrame, endings: tuple[str, ...]
     asked = imports.withColumn("_base", F.when(F.col("module").startswith("."), relative_path()).otherwise(F.regexp_replace("module", r"\.(?=\w)", "/")))
     bases = asked.select("import_id", "_base", F.lit(1).alias("_by"))
     if aliases is not None:
-        hit = asked.join(F.broadcast(aliases.limit(1000)), F.col("module").startswith(F.col("prefix")))  # a project's alias table
-        w = Window.partitionBy("import_id").orderBy(F.desc(F.length("prefix")), "prefix")
+        starts = F.transform(F.sequence(F.lit(0), F.length("module")), lambda n: F.substring("module", F.lit(1), n))
+        hit = asked.withColumn("prefix", F.explode(starts)).join(aliases, "prefix")
+        w = Window.partitionBy("import_id").orderBy(F.desc(F.length("prefix")), "target")
         best = hit.withColumn("r", F.row_number().over(w)).filter("r = 1")
         bases = bases.unionByName(best.select("import_id", X.normal_path(F.concat("target", F.substr("module", F.length("prefix") + 1))).alias("_base"), F.lit(0).alias("_by")))
     tries = bases.select("import_id", "_by", "_base", F.posexplode(F.array(*map(F.lit, endings))).alias("_place", "_ending")).withColumn("path", F.concat("_base", "_ending"))

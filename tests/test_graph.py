@@ -230,3 +230,13 @@ def test_answers(g, spark):
     assert C.target(g, "print")[0] == "found" and C.target(g, "nobody")[0] == "none"
     with pytest.raises(ValueError):
         C.manifest(g, contents, [])
+
+
+def test_no_alias_is_dropped(spark):
+    from loomgraph.operators import resolve
+
+    imports = spark.createDataFrame([(i, f"@p{i}/x", "lib/main.ts") for i in range(1500)], "import_id long, module string, file_path string")
+    aliases = spark.createDataFrame([(f"@p{i}/", f"src/p{i}/") for i in range(1500)] + [("@", "all/")], "prefix string, target string")
+    files = spark.createDataFrame([(f"src/p{i}/x.ts",) for i in range(1500)], "path string")
+    got = {r["import_id"]: r["path"] for r in resolve.module_files(imports, files, aliases=aliases).collect()}
+    assert got == {i: f"src/p{i}/x.ts" for i in range(1500)}
