@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch that crosses into Python. Very long texts then come
 #: a few at a time, whatever the number of rows in a batch would be.
@@ -22,11 +23,14 @@ _own_root: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+    """The cluster's shared folder; a temporary one only where none is set and the
+    master is this machine (tests)."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="loomgraph-")
     return _own_root
@@ -63,6 +67,22 @@ def bound_batches(spark: SparkSession, rows: int = 4096) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` begins with it."""
+    low = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in low):
+        name += "_"
+    return name
+
+
+def ddl(schema: StructType, more: str) -> StructType:
+    """``schema`` with the columns of the DDL string ``more``; all may be null."""
+    out = StructType([f for f in schema.fields])
+    for f in StructType.fromDDL(more).fields:
+        out = out.add(f)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
