@@ -115,13 +115,18 @@ def exact(vectors, query, k=10):
     return sorted(d)[:k]
 
 
+def ranked(got):
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r)
+    return {q: sorted(rs, key=lambda r: r["rank"]) for q, rs in by.items()}
+
+
 def test_recall_and_scores(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     own = [(r["vec_id"], [float(np.float32(x)) for x in r["embedding"]]) for r in rows.collect()]
-    got = ix.search(rows, rows.filter("vec_id % 100 = 0")).collect()
     hit = total = 0
-    for q in {r["query_id"] for r in got}:
-        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+    for q, mine in ranked(ix.search(rows, rows.filter("vec_id % 100 = 0")).collect()).items():
         want = exact(own, q)
         assert [r["rank"] for r in mine] == list(range(1, 11))
         assert [(r["score"], r["vec_id"]) for r in mine] == sorted((r["score"], r["vec_id"]) for r in mine)
@@ -132,6 +137,32 @@ def test_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("n", [2_000, 40_000])
+def test_recall_holds_while_a_smaller_share_is_ranked_again(spark, n, monkeypatch):
+    """Vectors without any structure, which is the hardest case."""
+    monkeypatch.setattr(ix, "SEGMENT", 8192)
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] = x[8] = x[100]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ranked(ix.search(rows, rows.filter("vec_id % 500 = 100")).collect())
+    assert sorted(got) == list(range(100, n, 500))
+    hit = 0
+    for q, mine in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = 9
+        hit += len(set(np.lexsort((np.arange(n), d))[:10].tolist()) & {r["vec_id"] for r in mine})
+    assert hit / (10 * len(got)) >= 0.92
+    assert [r["vec_id"] for r in got[100]][:2] == [7, 8]
+
+
+def test_many_copies_of_a_vector_are_found(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.5] if i % 3 else [float(i), 1.0]) for i in range(3000)], "vec_id long, embedding array<double>")
+    got = ranked(ix.search(rows, rows.filter("vec_id in (100, 200)")).collect())
+    assert all([r["vec_id"] for r in rs] == [i for i in range(20) if i % 3 and i != q][:10] and rs[-1]["score"] == 0 for q, rs in got.items())
+
+
 def test_hard_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0], "x"), (1, None, "x"), (2, [0.0, 0.0], "x"), (3, [nan, 1.0], "x"), (4, [None, 1.0], "x"), (5, [1.0, 0.0], "x"), (6, [0.0, 1.0], "x"), (7, [1.0, 2.0, 3.0], "x"), (100, [0.0, 2.0], "x"), (100, [0.0, 2.0], "x"), (None, [1.0, 1.0], "x"), (8, [float("inf"), 1.0], "x")]
@@ -144,10 +175,16 @@ def test_hard_vectors(spark):
 
 def test_footrule():
     rng = np.random.default_rng(0)
-    x, pivots = rng.normal(size=(50, 4)), rng.normal(size=(12, 4))
-    place = ix.places(x, pivots, 5)
-    got = ix.footrule(place[0], ix.inverted(place, 5), 50, 5)
-    assert np.array_equal(got, np.abs(place - place[0]).sum(1))
+    x, pivots, prefix = rng.normal(size=(50, 4)), rng.normal(size=(12, 4)), 5
+    order = ix.prefixes(x, pivots, prefix)
+    place = np.full((50, 12), prefix)
+    for i, o in enumerate(order):
+        assert o.tolist() == np.argsort(((pivots - x[i]) ** 2).sum(1), kind="stable")[:prefix].tolist()
+        place[i, o] = np.arange(prefix)
+    gain = ix.gains(order[0], *ix.inverted(order, 12), 50)
+    assert np.array_equal(prefix * (prefix + 1) - gain, np.abs(place - place[0]).sum(1))
+    near = ix.least(gain, 7)
+    assert len(near) >= 7 and gain[near].min() > np.delete(gain, near).max()
 
 
 # -- the pipeline -------------------------------------------------------------
