@@ -61,10 +61,12 @@ SHORT = 400
 BINS = 4096
 #: Entries of a part of the model, parts that a worker keeps, characters that it
 #: scores under part after part.
-PART, KEPT, HELD = 3 << 20, 2, 1 << 24
+PART, KEPT, HELD = 1 << 20, 4, 1 << 24
 #: Unicode's noncharacters, which stand for the begin and the end of a text.
 BEGIN, END = "\uffff", "\ufffe"
 _AGAIN = str.maketrans({BEGIN: "\ufffd", END: "\ufffd"})
+#: Bytes of UTF-8 that count as letters: A-Z first, then a-z and all beyond ASCII.
+_LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 _MIX, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _CONTEXT = np.uint64(0x1FFFF)
 _GRAMS = "lang string, half int, context long, w int, n long"
@@ -121,31 +123,38 @@ def teaches(text: str, counts: tuple[int, int, int, int, int]) -> bool:
     n, chars, symbols, repeated_lines, repeated = counts
     if base_failed(n, repeated) or 10 * symbols > n or 3 * repeated_lines > text.count("\n") + 1:
         return False
-    some = text[:: max(1, len(text) // 4096)]
-    letters = sum(map(str.isalpha, some))
-    capitals = sum(map(str.isupper, some))
-    return 10 * letters >= 7 * (len(some) - some.count(" ")) and 10 * capitals <= 3 * letters
+    raw = text.encode()
+    letters = len(raw) - len(raw.translate(None, _LETTERS))
+    capitals = len(raw) - len(raw.translate(None, _LETTERS[:26]))
+    return 10 * letters >= 7 * len(raw.translate(None, b" \t\n\v\f\r")) and 10 * capitals <= 3 * letters
 
 
 # -- grams --------------------------------------------------------------------
 
 
-def events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every character of every text and its end, as (context, w) of four units
-    and one, and where those of each text begin."""
+def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-16 units of all texts, each after four BEGIN and before one END; the
+    places of those to be foretold; and where those of each text begin."""
     pad = BEGIN * (ORDER - 1)
-    plain = [t.translate(_AGAIN) if BEGIN in t or END in t else t for t in texts]
-    raw = "".join([f"{pad}{t}{END}" for t in plain]).encode("utf-16-le")
-    unit = np.frombuffer(raw, np.uint16).astype(np.uint64)
+    plain = [t.translate(_AGAIN) if not t.isascii() and (BEGIN in t or END in t) else t for t in texts]
+    unit = np.frombuffer("".join([f"{pad}{t}{END}" for t in plain]).encode("utf-16-le"), np.uint16)
     sizes = np.fromiter((len(t) if t.isascii() else len(t.encode("utf-16-le")) // 2 for t in plain), np.int64, len(plain)) + ORDER
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    context = np.zeros(len(unit), np.uint64)
-    for k in range(1, ORDER):
-        context[k:] |= unit[:-k] << np.uint64(16 * (k - 1))
     wanted = np.ones(len(unit), bool)
     for k in range(ORDER - 1):
         wanted[starts + k] = False
-    return context[wanted], unit[wanted], np.concatenate([[0], np.cumsum(sizes - (ORDER - 1))[:-1]]).astype(np.int64)
+    return unit, wanted, np.concatenate([[0], np.cumsum(sizes - (ORDER - 1))[:-1]]).astype(np.int64)
+
+
+def events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every character of every text and its end, as (context, w) of four units
+    and one, and where those of each text begin."""
+    unit, wanted, starts = units(texts)
+    unit = unit.astype(np.uint64)
+    context = np.zeros(len(unit), np.uint64)
+    for k in range(1, ORDER):
+        context[k:] |= unit[:-k] << np.uint64(16 * (k - 1))
+    return context[wanted], unit[wanted], starts
 
 
 def seed_of(lang: str, half: int) -> np.uint64:
@@ -175,47 +184,95 @@ def half(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
 
-def _distinct(context: np.ndarray, w: np.ndarray, **more):
-    return np.unique(hashed(context, w, np.uint64(0), ORDER), return_index=True, **more)
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return first, np.diff(np.append(first, len(keys)))
+
+
+class Counter:
+    """Counts of 5-grams. Up to 4096 different units have numbers of 12 bits, so that
+    a 5-gram is one number, which sorting counts; blocks with more units than that
+    are counted by hashes."""
+
+    def __init__(self):
+        self.number = np.full(1 << 16, -1, np.int64)
+        self.unit: list[int] = []
+        self.held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.rows = 0
+
+    def add(self, key: tuple[str, int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+        unit, wanted, _ = units(texts)
+        here = np.flatnonzero(np.bincount(unit, minlength=1 << 16))
+        new = here[self.number[here] < 0]
+        if len(here) > 4096:
+            context, w, _ = events(texts)
+            h = hashed(context, w, np.uint64(0), ORDER)
+            order = np.argsort(h)
+            first, n = _runs(h[order])
+            yield from _rows(key, context[order[first]], w[order[first]], n)
+            return
+        if len(self.unit) + len(new) > 4096:
+            yield from self.rest()
+            new = here
+        self.number[new] = np.arange(len(self.unit), len(self.unit) + len(new))
+        self.unit += new.tolist()
+        code = self.number[unit]
+        keys = code.copy()
+        for k in range(1, ORDER):
+            keys[k:] |= code[:-k] << (12 * k)
+        keys = np.sort(keys[wanted])
+        first, n = _runs(keys)
+        parts = self.held.setdefault(key, [])
+        parts.append((keys[first], n))
+        self.rows += len(first)
+        if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > max(1 << 20, len(parts[0][0])):
+            self.rows -= sum(len(p[0]) for p in parts)
+            self.held[key] = [self._merged(parts)]
+            self.rows += len(self.held[key][0][0])
+        if self.rows > 1 << 23:  # bounded, whatever the alphabet
+            yield from self.rest()
+
+    @staticmethod
+    def _merged(parts) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first, _ = _runs(keys)
+        return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        unit = np.array(self.unit, np.uint64)
+        for key, parts in self.held.items():
+            keys, n = self._merged(parts)
+            context = np.zeros(len(keys), np.uint64)
+            for k in range(1, ORDER):
+                context |= unit[keys >> (12 * k) & 4095] << np.uint64(16 * (k - 1))
+            yield from _rows(key, context, unit[keys & 4095], n)
+        self.number[:] = -1
+        self.unit, self.held, self.rows = [], {}, 0
+
+
+def _rows(key: tuple[str, int], context: np.ndarray, w: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(n), 1 << 18):
+        c = context[a : a + (1 << 18)].view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * len(c)), pa.array(np.full(len(c), key[1], np.int32)), pa.array(c), pa.array(w[a : a + (1 << 18)].astype(np.int32)), pa.array(n[a : a + (1 << 18)].astype(np.int64))],
+            names=["lang", "half", "context", "w", "n"],
+        )
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-
-    def merged(parts):
-        context, w, n = (np.concatenate(x) for x in zip(*parts))
-        _, at, back = _distinct(context, w, return_inverse=True)
-        return context[at], w[at], np.bincount(back, n, len(at)).astype(np.int64)
-
+    counter = Counter()
     for batch in batches:
-        texts, langs, halves = common.texts_of(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         of: dict[tuple[str, int], list[str]] = {}
-        for t, lang, h in zip(texts, langs, halves):
+        for t, lang, h in zip(common.texts_of(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if teaches(t, base_counts(t)):
                 of.setdefault((lang, h), []).append(t)
         for key, own in of.items():
-            for a, b in common.blocks([len(t) for t in own]):
-                context, w, _ = events(own[a:b])
-                _, at, n = _distinct(context, w, return_counts=True)
-                parts = held.setdefault(key, [])
-                parts.append((context[at], w[at], n))
-                if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > max(1 << 20, len(parts[0][0])):
-                    held[key] = [merged(parts)]
-        if sum(len(p[0]) for parts in held.values() for p in parts) > 1 << 24:  # bounded, whatever the alphabet
-            yield from _written(held, merged)
-            held = {}
-    yield from _written(held, merged)
-
-
-def _written(held, merged) -> Iterator[pa.RecordBatch]:
-    for (lang, h), parts in held.items():
-        context, w, n = merged(parts)
-        for a in range(0, len(n), 1 << 18):
-            c = context[a : a + (1 << 18)].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(c)), pa.array(np.full(len(c), h, np.int32)), pa.array(c), pa.array(w[a : a + (1 << 18)].astype(np.int32)), pa.array(n[a : a + (1 << 18)])],
-                names=["lang", "half", "context", "w", "n"],
-            )
+            for a, b in common.blocks([len(t) for t in own], 1 << 20):
+                yield from counter.add(key, own[a:b])
+    yield from counter.rest()
 
 
 # -- the model ----------------------------------------------------------------
@@ -365,23 +422,52 @@ def fit(docs: DataFrame) -> Model:
     return Model(sent, {(r["lang"], r["half"]): r["grams"] for r in told if r["o"] == 1})
 
 
+class Known:
+    """Log-probabilities that a worker has computed, in a fixed table by the hash of
+    (model, gram): what is not or no longer there is computed again."""
+
+    def __init__(self, bits: int = 21):
+        self.model, self.mask = None, np.uint64((1 << bits) - 1)
+        self.keys, self.lp = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+
+    def of(self, model) -> "Known":
+        if self.model is not model:
+            self.model = model
+            self.keys[:] = 0
+        return self
+
+
+_known = Known()
+
+
 def log_perplexities(texts: list[str], langs: list[str], halves: list[int], model: Model) -> np.ndarray:
     """Mean negative log-probability of a character, for each text, under the model
     of the half that the text is not in."""
-    out = np.zeros(len(texts))
+    out, known = np.zeros(len(texts)), _known.of(model.parts[0])
     for first, last in common.blocks([len(t) for t in texts], HELD):
         lots, places = [], []
         here = range(first, last)
         for lang, h in sorted({(langs[i], halves[i]) for i in here}):
             own = [i for i in here if langs[i] == lang and halves[i] == h]
-            for a, b in common.blocks([len(texts[i]) for i in own], 1 << 20):
+            for a, b in common.blocks([len(texts[i]) for i in own], 1 << 18):
                 context, w, starts = events([texts[i] for i in own[a:b]])
-                _, at, back = _distinct(context, w, return_inverse=True)
+                keys = hashed(context, w, seed_of(lang, 1 - h), ORDER)
+                slot = keys & known.mask
+                lp = known.lp[slot]
+                new = np.flatnonzero(known.keys[slot] != keys)
+                keys = keys[new]
+                order = np.argsort(keys)
+                start, n = _runs(keys[order])
+                at = new[order[start]]
                 lots.append((context[at], w[at], lang, 1 - h))
-                places.append((own[a:b], starts, back.astype(np.int32)))
-        for lp, (rows, starts, back) in zip(_scored(lots, model), places):
-            ends = np.append(starts[1:], len(back))
-            out[rows] = -np.add.reduceat(lp[back], starts) / (ends - starts)
+                places.append((own[a:b], starts, lp, keys[order[start]], new[order], n))
+        for found, (rows, starts, lp, keys, new, n) in zip(_scored(lots, model), places):
+            found = found.astype(np.float32)
+            lp[new] = np.repeat(found, n)
+            slot = keys & known.mask
+            known.keys[slot], known.lp[slot] = keys, found
+            ends = np.append(starts[1:], len(lp))
+            out[rows] = -np.add.reduceat(lp, starts, dtype=np.float64) / (ends - starts)
     return out
 
 
