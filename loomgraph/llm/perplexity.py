@@ -61,7 +61,7 @@ SHORT = 400
 BINS = 4096
 #: Entries of a part of the model, parts that a worker keeps, characters that it
 #: scores under part after part.
-PART, KEPT, HELD = 1 << 20, 4, 1 << 24
+PART, KEPT, HELD = 1 << 20, 4, 1 << 22
 #: Unicode's noncharacters, which stand for the begin and the end of a text.
 BEGIN, END = "\uffff", "\ufffe"
 _AGAIN = str.maketrans({BEGIN: "\ufffd", END: "\ufffd"})
@@ -230,7 +230,7 @@ class Counter:
             self.rows -= sum(len(p[0]) for p in parts)
             self.held[key] = [self._merged(parts)]
             self.rows += len(self.held[key][0][0])
-        if self.rows > 1 << 23:  # bounded, whatever the alphabet
+        if self.rows > 1 << 22:  # bounded, whatever the alphabet
             yield from self.rest()
 
     @staticmethod

@@ -12,11 +12,14 @@ the map side first, so a host with a third of all pages is no large group.
 
 Branches of low importance are removed from the pages of their host. A host may
 have too few pages to tell, or menus that differ from page to page, so the roles
-that HTML itself gives (nav, footer, form, class names such as ``sidebar``)
-count as of no importance. Within what a page marks as its article unimportant
-branches go too, but not the article itself nor its plain paragraphs, lists and
-tables: copies of an article are articles. Exact copies of a page count as one, and
-an article of which only headings would be left stays whole.
+that HTML itself gives (nav, footer, form) and class names that are nothing but a
+role (``sidebar``, ``ad-slot``, not ``share-price-analysis``) count as of no
+importance. Within what a page marks as its article unimportant branches go too,
+but not the article itself nor its plain paragraphs, lists and tables: copies of an
+article are articles. Names that may be a topic as well (``legal``, ``social``) are
+only a prior there: such a branch goes if its host's tree finds it half
+unimportant (``PRIOR``). Exact copies of a page count as one, and an article of
+which only headings would be left stays whole.
 
 The model is a table of unimportant nodes by host, written in the shared folder;
 Spark broadcasts it if its size is below the session's threshold, and else joins
@@ -24,8 +27,10 @@ by host with its own handling of skew.
 
 Defined cases: a null html is empty and has an empty text. A null or malformed
 url has the empty host. Unclosed, stray and overlapping tags are read as
-browsers do in the common cases. Repeated rows give repeated rows. An empty
-table gives an empty result.
+browsers do in the common cases. Very long and very deep pages are read in time in
+proportion to their length, without recursion. Nodes of equal importance are judged
+alike. Repeated rows give repeated rows; extra columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,8 @@ from . import common
 
 #: Pages that must have a node before it can be judged, and the least importance.
 LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.25
+#: The least importance of branches whose name may be a role or a topic.
+PRIOR = 0.6
 #: Weight of a node's own presentation against that of its children's.
 OWN = 0.3
 
@@ -65,12 +74,17 @@ OTHER = frozenset(
     "breadcrumb breadcrumbs pagination pager toolbar copyright legal skip search form paywall teaser toc".split()
 )
 NO_NAME = COMMENTS | ADS | OTHER
+#: Of these, words that may name a topic, too; and words that say only where or how.
+TOPICS = frozenset("legal social notice notices alert notification notifications copyright share sharing search header teaser banner aside side rail foot register form related recommended recommendations toc menu menus reviews discussion cookie cookies consent".split())
+NEUTRAL = frozenset("box block wrapper wrap container list item section bar link links button buttons area inner outer row col panel module slot unit zone top bottom left right sticky fixed main global site page js mobile desktop".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+INLINE = HEADINGS | frozenset("p b i em strong code mark span a".split())
 #: Elements that, without class and id, are an article's own text.
 PLAIN = HEADINGS | frozenset("p b i em strong code mark span a u s small sub sup q cite abbr time kbd var samp pre blockquote ul ol li dl dt dd table caption tbody thead tfoot tr td th".split())
 #: What ends an open element of the same group, and where the search stops.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"})}
 SCOPE = frozenset("table td th html button object template caption".split())
+_IN_HEAD = RAW | VOID | {"head", "html", "template", "noscript"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -79,18 +93,53 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 
 
+@lru_cache(maxsize=1 << 14)
+def names_in(raw: str) -> frozenset[str]:
+    return frozenset(w.lower() for w in _NAME.findall(raw))
+
+
+@lru_cache(maxsize=1 << 14)
+def role_in(raw: str) -> str:
+    """What a class and an id say: ``remark`` (comments, adverts), ``role``, or
+    ``topic`` where it may be one as well; empty if no name is made of role words
+    and neutral ones alone."""
+    found = ""
+    for name in raw.split():
+        words = {w.lower() for w in _NAME.findall(name)} - NEUTRAL
+        if not words or not words <= NO_NAME:
+            continue
+        if words & TOPICS == words and len(words) == 1:
+            found = found or "topic"
+        elif words & (COMMENTS | ADS):
+            return "remark"
+        else:
+            found = "role"
+    return found
+
+
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent", "path")
+    """An element. ``open_p``, ``open_head`` and ``open_raw`` are the nearest open
+    paragraph in scope, head, and template or such within that head."""
+
+    __slots__ = ("tag", "attributes", "children", "parent", "path", "open_p", "open_head", "open_raw", "holds")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: "Node | None"):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
-        self.path = 0
+        self.path, self.holds = 0, False
+        up = parent
+        self.open_p = self if tag == "p" else None if up is None or tag in SCOPE else up.open_p
+        self.open_head = self if tag == "head" else up.open_head if up is not None else None
+        self.open_raw = self if tag in ("template", "noscript", "svg") else None if up is None or tag == "head" else up.open_raw
 
-    def names(self) -> set[str]:
+    def _raw(self) -> str:
         a = self.attributes
-        if not a:
-            return set()
-        return {w.lower() for w in _NAME.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+        return f"{a.get('class', '')} {a.get('id', '')}" if a else ""
+
+    def names(self) -> frozenset[str]:
+        return names_in(self._raw()) if self.attributes else frozenset()
+
+    def role(self) -> str:
+        return role_in(self._raw()) if self.attributes else ""
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -106,9 +155,12 @@ def _attributes(raw: str) -> dict[str, str]:
 def parse(text: str) -> Node:
     """The tree of a page; children are nodes and decoded strings."""
     root = top = Node("#", {}, None)
+    opened: Counter = Counter()  # open elements by tag
     at = 0
 
     def up_to(tags, stop) -> Node | None:
+        if not any(opened[t] for t in tags):
+            return None
         n = top
         while n.parent is not None:
             if n.tag in tags:
@@ -118,6 +170,12 @@ def parse(text: str) -> Node:
             n = n.parent
         return None
 
+    def close(n: Node) -> None:
+        nonlocal top
+        while top is not n.parent:
+            opened[top.tag] -= 1
+            top = top.parent
+
     def say(s: str) -> None:
         if s:
             top.children.append(entities.unescape(s) if "&" in s else s)
@@ -133,12 +191,12 @@ def parse(text: str) -> Node:
             tag = m[1].lower()
             if tag == "br":
                 top.children.append(Node("br", {}, top))
-            elif tag == "p" and up_to({"p"}, SCOPE) is None:
+            elif tag == "p" and top.open_p is None:
                 top.children.append(Node("p", {}, top))
-            else:
-                n = up_to({tag}, () if tag in ("html", "body", "table") else {"table", "td", "th"} - {tag} if tag not in BLOCK else {"table"} - {tag})
-                if n is not None and tag not in ("html", "body"):
-                    top = n.parent
+            elif tag not in ("html", "body"):
+                n = up_to({tag}, () if tag == "table" else {"table", "td", "th"} - {tag} if tag not in BLOCK else {"table"} - {tag})
+                if n is not None:
+                    close(n)
             continue
         tag = m[2] if m[2] is not None else m[4]
         if tag is None:
@@ -150,20 +208,16 @@ def parse(text: str) -> Node:
             for k, v in _attributes(raw).items():
                 same.attributes.setdefault(k, v)
             continue
-        if tag == "body" or tag not in RAW | VOID | {"head", "html", "template", "noscript"} and up_to({"head"}, ()) is not None and up_to({"template", "noscript", "svg"}, {"head"}) is None:
-            head = up_to({"head"}, ())
-            if head is not None:
-                top = head.parent
-        if tag in CLOSES_P:
-            p = up_to({"p"}, SCOPE)
-            if p is not None:
-                top = p.parent
+        if top.open_head is not None and (tag == "body" or tag not in _IN_HEAD and top.open_raw is None):
+            close(top.open_head)
+        if tag in CLOSES_P and top.open_p is not None:
+            close(top.open_p)
         if tag in SIBLINGS:
             n = up_to(*SIBLINGS[tag])
             if n is not None:
-                top = n.parent
-        if tag[0] == "h" and tag[1:] in "123456" and top.tag[0] == "h" and top.tag[1:] in "123456" and top.tag != "h" and len(top.tag) == 2:
-            top = top.parent
+                close(n)
+        if tag in HEADINGS and top.tag in HEADINGS:
+            close(top)
         node = Node(tag, _attributes(raw), top)
         top.children.append(node)
         if tag in RAW:
@@ -171,6 +225,7 @@ def parse(text: str) -> Node:
             at = end.end() if end else len(text)
         elif tag not in VOID and not (raw and raw.endswith("/") and tag not in BLOCK):
             top = node
+            opened[tag] += 1
 
 
 def _hash(*parts) -> int:
@@ -178,35 +233,31 @@ def _hash(*parts) -> int:
 
 
 def number(root: Node) -> list[Node]:
-    """All element nodes in page order, each with the hash of its path: the tags
-    and class names from the root, without digits."""
+    """All element nodes in page order, each with the hash of its path (the tags and
+    class names from the root, without digits) and whether it holds an article."""
     out, todo, known = [], [root], {}
     while todo:
         n = todo.pop()
         if n.parent is not None:
-            key = (n.parent.path, n.tag, tuple(sorted(n.names())) if n.attributes else ())
+            key = (n.parent.path, n.tag, n.names())
             path = known.get(key)
             if path is None:
-                path = known[key] = _hash(*key)
+                path = known[key] = _hash(n.parent.path, n.tag, tuple(sorted(key[2])))
             n.path = path
             out.append(n)
         if n.tag not in NO_TEXT:
             todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+    for n in reversed(out):
+        if n.holds or _is_article(n):
+            n.parent.holds = True
     return out
 
 
-def has_article(n: Node) -> bool:
-    todo = [n]
-    while todo:
-        x = todo.pop()
-        if x is not n and _is_article(x):
-            return True
-        todo += [c for c in x.children if isinstance(c, Node)]
-    return False
-
-
 def _is_article(n: Node) -> bool:
-    return n.tag in ("article", "main") and not n.names() & (COMMENTS | ADS) or n.attributes.get("role") in ("main", "article") or n.attributes.get("itemprop") == "articleBody"
+    if n.tag in ("article", "main") and n.role() != "remark":
+        return True
+    a = n.attributes
+    return bool(a) and (a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody")
 
 
 def without_role(n: Node, in_article: bool) -> bool:
@@ -218,22 +269,28 @@ def without_role(n: Node, in_article: bool) -> bool:
         return True
     if n.tag in ("html", "body"):
         return False
-    named = n.names() & NO_NAME
+    role = n.role()
     if n.tag in ("article", "main"):
-        return bool(named & (COMMENTS | ADS))
+        return role == "remark"
     if n.tag == "header":
-        if in_article and _has_heading(n):
-            return False
-        return not has_article(n)
+        return not (in_article and _has_heading(n)) and not n.holds
     if n.tag in NO_ROLE or a.get("role") in NO_ARIA:
-        return not has_article(n)
-    if named and n.tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "b", "i", "em", "strong", "code", "mark", "span", "a") or named & (COMMENTS | ADS):
-        return not has_article(n)
+        return not n.holds
+    if role == "remark" or role and n.tag not in INLINE:
+        return not n.holds and not (in_article and role == "topic")
     return False
 
 
 def _has_heading(n: Node) -> bool:
-    return any(isinstance(c, Node) and (c.tag in ("h1", "h2") or c.tag in ("div", "hgroup") and _has_heading(c)) for c in n.children)
+    todo = [n]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node):
+                if c.tag in ("h1", "h2"):
+                    return True
+                if c.tag in ("div", "hgroup"):
+                    todo.append(c)
+    return False
 
 
 def main_text(root: Node, noise: frozenset[int]) -> str:
@@ -279,7 +336,7 @@ def _walk(start: Node, inside: bool, noise: frozenset[int]) -> tuple[list[str],
                 more = more or not titled and bool(c.strip())
             elif c.tag == "br":
                 held.append(" ")
-            elif without_role(c, in_article) or c.path in noise and not _is_article(c) and not (in_article and c.tag in PLAIN and not c.names()):
+            elif without_role(c, in_article) or _unimportant(c, in_article, noise):
                 if c.tag in BLOCK:
                     flush()
             elif c.tag not in VOID:
@@ -294,6 +351,16 @@ def _walk(start: Node, inside: bool, noise: frozenset[int]) -> tuple[list[str],
     return out, more
 
 
+def _unimportant(n: Node, in_article: bool, noise: frozenset[int]) -> bool:
+    """Whether the tree removes a branch; ``~path`` stands for a branch that is only
+    less important than ``PRIOR``."""
+    if not noise or _is_article(n):
+        return False
+    if n.path in noise:
+        return not (in_article and n.tag in PLAIN and not n.names())
+    return ~n.path in noise and n.tag not in INLINE and n.role() == "topic" and not n.holds
+
+
 def _tops(root: Node) -> list[Node]:
     """The outermost articles that hold text; the innermost container of all of
     them where a main element holds them."""
@@ -322,7 +389,7 @@ def _tops_below(main: Node) -> list[Node]:
 
 
 def _never(n: Node) -> bool:
-    return bool(n.names() & (COMMENTS | ADS)) or n.tag in ("aside", "nav", "footer") or "hidden" in n.attributes
+    return n.role() == "remark" or n.tag in ("aside", "nav", "footer") or "hidden" in n.attributes
 
 
 def _text_in(n: Node) -> bool:
@@ -429,14 +496,16 @@ def importance(nodes: list[tuple]) -> dict[int, float]:
 
 
 def noisy(nodes: list[tuple], least_pages: int, least: float) -> list[int]:
-    """The nodes that are less important than ``least``, as is all below them."""
+    """The nodes that are less important than ``least``, as is all below them; and
+    as ``~node`` those less important than ``PRIOR``."""
     worth = importance(nodes)
     parent = {n[0]: n[1] for n in nodes}
     kept = {n[0] for n in nodes if n[2] < least_pages or worth.get(n[0], 1.0) >= least}
     for node in list(kept):
         while (node := parent.get(node, 0)) and node not in kept:
             kept.add(node)
-    return sorted(n[0] for n in nodes if n[0] not in kept)
+    doubtful = [~n[0] for n in nodes if n[0] in kept and n[2] >= least_pages and worth.get(n[0], 1.0) < max(least, PRIOR)]
+    return sorted([n[0] for n in nodes if n[0] not in kept] + doubtful)
 
 
 def noise(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:

@@ -396,26 +396,92 @@ def test_forest_connects_what_all_pairs_connect(n):
     rng = np.random.default_rng(n)
     centres = rng.integers(0, 2**63, 5, np.uint64)
     members = np.unique(np.array([int(rng.choice(centres)) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 3))) for _ in range(n)], np.uint64))
-    a, b = simhash.forest(members)
-    assert len(a) < len(members) and (np.bitwise_count(a ^ b) >= 0).all()
+    i, j = simhash.forest(members)
+    assert len(i) < len(members) and (np.bitwise_count(members[i] ^ members[j]) <= 3).all()
     if len(members) < 1500:
-        want = slow_components([int(x) for x in members])
-        at = {int(x): int(x) for x in members}
-        at.update({int(x): int(y) for x, y in zip(a, b)})
-        groups = defaultdict(set)
-        for x, c in zip(members.tolist(), want):
-            groups[c].add(at[x])
-        assert all(len(g) == 1 for g in groups.values())
+        assert grouped(len(members), zip(i, j)) == grouped(len(members), ((x, y) for x in range(len(members)) for y in range(x) if int(members[x] ^ members[y]).bit_count() <= 3))
+
+
+def grouped(n, pairs):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in pairs:
+        root[max(top(x), top(y))] = min(top(x), top(y))
+    return [top(i) for i in range(n)]
+
+
+def test_forest_links_only_what_is_verified():
+    rng = np.random.default_rng(3)
+    fp = np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 2500).astype(np.uint64))
+    check = rng.choice(np.array([0, 1, 2**40 - 1, 2**41 - 1], np.uint64), (2500, 1))
+    i, j = simhash.forest(fp, 3, check, 1)
+    assert (np.bitwise_count(check[i] ^ check[j]).sum(1) <= 1).all() and len(set(grouped(2500, zip(i, j)))) == 2
+
+
+def test_hot_lists_are_dealt_out_and_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    base = [0x123456789ABCDEF, 0x7EDCBA987654321]
+    fps = sorted({base[i % 2] ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for i in range(700)})
+    rows = spark.createDataFrame([(i, 0, f - 2**64 if f >> 63 else f) for i, f in enumerate(fps)], "id long, seed int, fp long")
+    want = grouped(len(fps), ((x, y) for x in range(len(fps)) for y in range(x) if (fps[x] ^ fps[y]).bit_count() <= 3))
+    for hot in (1 << 60, 40):
+        found = [(r["a"], r["b"]) for r in simhash.links(rows, hot=hot).collect()]
+        assert grouped(len(fps), found) == want and all((fps[x] ^ fps[y]).bit_count() <= 3 for x, y in found)
+    assert all(len(set(simhash.flips(b))) == 529 for b in simhash.BLOCKS)
+
+
+def test_unsettled_components_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        simhash.components(chain, rounds=2)
+    assert {r["root"] for r in simhash.components(chain).collect()} == {0}
 
 
 def test_one_of_each_group_stays(docs):
     got = rows(simhash.keep_one(docs))
-    found = rows(simhash.clusters(docs))
-    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted({r["component_id"] for r in found} - {None})
+    # 5, 6: equal; 7 differs in one of eleven words; 9: repeated; 1, 2, 3: no words
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [1, 4, 5, 7, 8, 9, 10]
     assert sum(r["doc_id"] is None for r in got) == 1
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_rows_that_repeat_an_id_are_judged_by_themselves(spark):
+    t1, t2 = ("one two three four five six seven eight", "other words that nothing else here repeats at all")
+    df = spark.createDataFrame([(3, t1), (5, t1), (5, t2), (None, t1), (None, "alone and without an id it stays")], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()} == {(3, t1), (5, t2), (None, "alone and without an id it stays")}
+
+
+def slow_jaccard(a, b, n=5):
+    sh = [{tuple(t.lower().split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b)]
+    return len(sh[0] & sh[1]) / max(1, len(sh[0] | sh[1]))
+
+
+def test_the_stage_finds_near_copies_and_leaves_others(spark):
+    """Copies of which some words are changed, against exact five-word similarity."""
+    source = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en' and length(text) between 800 and 4000").orderBy("doc_id").dropDuplicates(["text"]).limit(160).collect()]
+    source = [t for i, t in enumerate(source) if all(slow_jaccard(t, x) < 0.3 for x in source[:i])][:120]
+    rng = np.random.default_rng(1)
+    own, pairs = list(source), []
+    for i, t in enumerate(source[:90]):
+        w = t.split()
+        for at in rng.choice(len(w), max(1, int(len(w) * (0.002, 0.01, 0.1)[i % 3])), replace=False):
+            w[at] = f"new{at}"
+        pairs.append((i, len(own), slow_jaccard(t, " ".join(w))))
+        own.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    near = [(i, j) for i, j, s in pairs if s >= 0.8]
+    far = [(i, j) for i, j, s in pairs if s < 0.6]
+    assert len(near) > 50 and len(far) > 20
+    assert np.mean([i in kept and j not in kept for i, j in near]) >= 0.9
+    assert all(i in kept and j in kept for i, j in far) and all(i in kept for i in range(90, 120))
+
+
 # -- token counts -------------------------------------------------------------
 
 
