@@ -4,17 +4,23 @@ Each partition keeps at most ``OPEN`` windows. A piece goes to the open window
 with the least room that still holds it; where none does and ``OPEN`` windows
 are open, the fullest is emitted and a new one opened. What is still open at a
 partition's end is merged: the leftovers of ``MERGE`` partitions at a time (a
-bounded number of windows) are placed best-fit, the largest first.
+bounded number of windows) are placed best-fit, the largest first; the ``OPEN``
+emptiest of each group that are less than ``FULL`` full are then merged with those
+of other groups, ``MERGE`` at a time, until one group is left. So padding does not
+grow with the number of partitions, and no group is larger than another.
 
-A document longer than a window is cut into whole windows and a rest; shorter
-documents are never cut. Sequence ids are unique and need not be consecutive.
+A document longer than a window is cut into whole windows, which need no open one,
+and a rest; shorter documents are never cut. Sequence ids are unique and need not be
+consecutive.
 
 Token ids come from a word-level table: the tokenizer drops white space and
 works on each run of other characters alone, so a run is encoded once and its
 ids are kept, as little-endian bytes, while the table has room.
 
 Defined cases: a null or empty text is the end token alone. Repeated rows are
-packed as often as they occur. An empty table gives an empty result.
+packed as often as they occur. A very long text is held once, as its ids. Windows of
+equal room are taken in the order they were opened. Extra columns are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .token_counts import vocabulary
 
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
-OPEN, MERGE = 64, 32
+OPEN, MERGE, FULL = 64, 32, 0.95
 #: Entries of a worker's table of encoded words.
 TABLE = 800_000
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, part int"
@@ -151,6 +157,9 @@ class Packer:
 
     def add(self, payload, length: int) -> list[tuple[int, list]]:
         out = []
+        if length == self.capacity:
+            self.made += 1
+            return [(self.made - 1, [(payload, length)])]
         at = bisect.bisect_left(self.open, (length, -1))
         if at < len(self.open):
             room, number = self.open.pop(at)
@@ -209,12 +218,8 @@ def open_windows(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
     return chosen.mapInArrow(packed, _PIECES)
 
 
-def merge_leftovers(pieces: DataFrame, capacity: int = CAPACITY, merge: int = MERGE) -> DataFrame:
-    """The pieces of :func:`open_windows`, other columns included, with leftover
-    windows placed in common ones. ``pieces`` is read twice: cut it before."""
-    columns = [c for c in pieces.columns if c != "part"]
-    left = pieces.filter("part >= 0").withColumn("block", F.floor(F.col("part") / merge).cast("int"))
-    windows = left.groupBy("block", "sequence_id").agg(F.sum("length").alias("used"))
+def _placed(capacity: int):
+    """Windows of one group, the fullest first, into new ones, best-fit."""
 
     def placed(key, rows):
         rows = rows.sort_by([("used", "descending"), ("sequence_id", "ascending")])
@@ -223,13 +228,38 @@ def merge_leftovers(pieces: DataFrame, capacity: int = CAPACITY, merge: int = ME
         for used in rows.column("used").to_pylist():
             at = bisect.bisect_left(room, (used, -1))
             free, number = room.pop(at) if at < len(room) else (capacity, len(room))
-            to.append(1 << 62 | key[0].as_py() << 32 | number)
+            to.append(number)
             shift.append(capacity - free)
             bisect.insort(room, (free - used, number))
-        return pa.table({"sequence_id": rows.column("sequence_id"), "to": pa.array(to, pa.int64()), "shift": pa.array(shift, pa.int64())})
+        level, block = key[0].as_py(), key[1].as_py()
+        names = pa.array([1 << 62 | level << 56 | block << 32 | n for n in to], pa.int64())
+        return pa.table({"sequence_id": rows.column("sequence_id"), "to": names, "shift": pa.array(shift, pa.int64())})
+
+    return placed
 
-    moves = windows.groupBy("block").applyInArrow(placed, "sequence_id long, to long, shift long")
-    merged = left.drop("block", "part").join(moves, "sequence_id").withColumn("offset", F.col("offset") + F.col("shift"))
+
+def merge_leftovers(pieces: DataFrame, capacity: int = CAPACITY, merge: int = MERGE) -> DataFrame:
+    """The pieces of :func:`open_windows`, other columns included, with leftover
+    windows placed in common ones. ``pieces`` is read more than once: cut it before."""
+    columns = [c for c in pieces.columns if c != "part"]
+    left = pieces.filter("part >= 0")
+    windows = common.cut(left.groupBy("part", "sequence_id").agg(F.sum("length").alias("used")))
+    blocks = windows.agg(F.max("part")).first()[0]
+    # where each leftover window is now: in ``to``, behind ``shift`` tokens
+    now = windows.select("sequence_id", F.col("sequence_id").alias("to"), F.lit(0).cast("long").alias("shift"), "used", F.col("part").alias("block"))
+    level = 0
+    while blocks:  # the last group is number 0
+        blocks //= merge
+        of = now.groupBy("to").agg(F.sum("used").alias("used"), F.first("block").alias("from"))
+        if level:
+            nth = F.row_number().over(Window.partitionBy("from").orderBy("used", "to"))
+            of = of.withColumn("nth", nth).filter((F.col("nth") <= OPEN) & (F.col("used") < FULL * capacity))
+        again = of.select(F.lit(level).alias("level"), (F.col("from") / merge).cast("int").alias("block"), F.col("to").alias("sequence_id"), "used")
+        moves = again.groupBy("level", "block").applyInArrow(_placed(capacity), "sequence_id long, to long, shift long")
+        moves = moves.select(F.col("sequence_id").alias("to"), F.col("to").alias("then"), F.col("shift").alias("more"))
+        now = common.cut(now.join(moves, "to", "left").select("sequence_id", F.coalesce("then", "to").alias("to"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"), "used", (F.col("block") / merge).cast("int").alias("block")))
+        level += 1
+    merged = left.drop("part").join(now.select("sequence_id", "to", "shift"), "sequence_id").withColumn("offset", F.col("offset") + F.col("shift"))
     merged = merged.drop("sequence_id", "shift").withColumnRenamed("to", "sequence_id").select(*columns)
     return pieces.filter("part < 0").select(*columns).unionByName(merged)
 
@@ -243,4 +273,4 @@ def pack(docs: DataFrame, **options) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """As :func:`pack`, with the ids' CRC-32 in place of the ids."""
     pieces = open_windows(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return merge_leftovers(common.cut(pieces))
+    return merge_leftovers(common.stash(pieces))

@@ -9,15 +9,18 @@ base kinds are found again in what was rewritten, and their spans mapped back;
 those that meet no base span of their kind are added.
 
 All scans are linear in the text: runs are matched as a whole, not from each of
-their characters.
+their characters; spans are kept sorted, and tapes by segments.
 
 Defined cases: a null text is empty and has no spans. Spans are in code points,
-the end exclusive. Repeated rows give repeated rows. An empty table gives an
-empty result.
+the end exclusive; spans that begin together are in the order of :data:`KINDS`.
+Very long texts take time in proportion to their length and their spans. Repeated
+rows give repeated rows; extra columns are ignored, and kept by :func:`mask`. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -148,14 +151,19 @@ _SPOKEN_SIGNS = re.compile(rf"(?i) (?:{_ATS}) | ?@ ?| (?:{_DOTS}) | \. ")
 
 
 class Tape:
-    """A text and, for each of its characters, the source span it stands for."""
+    """A text and the source span that each of its characters stands for, kept by
+    segments (where it begins, source start, source end): a segment without end
+    stands character by character, one with an end stands for that span as a whole.
+    So memory goes with the edits, not with the text."""
 
-    def __init__(self, text: str, spans: list[tuple[int, int]] | None = None):
+    def __init__(self, text: str, segments: list[tuple[int, int, int | None]] | None = None):
         self.text = text
-        self.spans = spans
+        self.segments = segments or [(0, 0, None)]
+        self.starts = [s[0] for s in self.segments]
 
     def at(self, i: int) -> tuple[int, int]:
-        return self.spans[i] if self.spans is not None else (i, i + 1)
+        start, a, b = self.segments[bisect.bisect_right(self.starts, i) - 1]
+        return (a, b) if b is not None else (a + i - start, a + i - start + 1)
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         """The source span of characters start to end, exclusive."""
@@ -165,16 +173,41 @@ class Tape:
         """Replace the characters a to b by new text, for each (a, b, new) in order."""
         if not edits:
             return self
-        out, spans, done = [], [], 0
+        out: list[str] = []
+        segments: list[tuple[int, int, int | None]] = []
+        done = size = k = 0
+
+        def keep(a: int, b: int) -> None:
+            nonlocal size, k
+            while k + 1 < len(self.segments) and self.starts[k + 1] <= a:
+                k += 1
+            j = k
+            while j < len(self.segments) and self.starts[j] < b:
+                start, x, y = self.segments[j]
+                at = max(a, start)
+                piece = (size + at - a, x if y is not None else x + at - start, y)
+                last = segments[-1] if segments else None
+                goes_on = last and (last[1:] == piece[1:] if y is not None else last[2] is None and piece[1] - last[1] == piece[0] - last[0])
+                if not goes_on:
+                    segments.append(piece)
+                j += 1
+            size += b - a
+
         for a, b, new in edits:
             out += [self.text[done:a], new]
-            spans += [self.at(i) for i in range(done, a)]
-            whole = self.source(a, b)
-            spans += [self.at(a + k) for k in range(len(new))] if len(new) == b - a else [whole] * len(new)
+            if len(new) == b - a:
+                keep(done, b)
+            else:
+                if done < a:
+                    keep(done, a)
+                if new:
+                    segments.append((size, *self.source(a, b)))
+                    size += len(new)
             done = b
         out.append(self.text[done:])
-        spans += [self.at(i) for i in range(done, len(self.text))]
-        return Tape("".join(out), spans)
+        if done < len(self.text):
+            keep(done, len(self.text))
+        return Tape("".join(out), segments)
 
 
 def _plain(c: str) -> str:
@@ -275,15 +308,17 @@ def spans_of(text: str) -> tuple[list[Span], list[Span]]:
     tape = signs(digits(unify(start)))
     if tape is start:
         return base, base
-    taken: dict[str, list[tuple[int, int]]] = {}
+    taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}  # in order, and apart
     for kind, a, b in base:
-        taken.setdefault(kind, []).append((a, b))
+        taken[kind].append((a, b))
     added = []
     for kind, a, b in base_spans(tape.text):
         s, e = tape.source(a, b)
-        if not any(x < e and s < y for x, y in taken.get(kind, ())):
+        own = taken[kind]
+        at = bisect.bisect_left(own, (s, e))
+        if not (at and own[at - 1][1] > s or at < len(own) and own[at][0] < e):
             added.append((kind, s, e))
-            taken.setdefault(kind, []).append((s, e))
+            own.insert(at, (s, e))
     return base, ordered(base + added)
 
 

@@ -1,22 +1,25 @@
 """Sharding by balanced label propagation, with shards of equal row counts.
 
 Linked documents share a hub; by default the hub of a document is its text, so
-equal texts are linked. Documents without a link can go anywhere: they are dealt
-out last and fill every shard to its quota, which makes the counts differ by one
-at most (the law ``rows``).
+equal texts are linked. Links between hubs can be given besides. Documents without
+a link can go anywhere: they are dealt out last and fill every shard to its quota,
+which makes the counts differ by one at most (the law ``rows``).
 
 Linked documents are first dealt out evenly. The documents that a hub has in one
 shard form bundles, a bounded number for each shard, whatever its number of
-documents. Then, round by round, each bundle asks to move
-to the shard that holds most of its hub. Bundles are cut so that none is more than a
-64th of a shard. Requests from shard a to shard b are
-granted as far as b has room, or as the requests from b to a make room; they are
-counted in hashed cells, so the driver sees a bounded table (shards squared
-times :data:`CELLS`), never bundles. A hub larger than a shard stays split.
+documents; none is more than a 64th of a shard. Then, round by round, each bundle
+asks to move to the shard that holds most of its own hub and of those linked to it.
+Requests from shard a to shard b are granted as far as b has room, or as the
+requests from b to a make room; they are counted in hashed cells, so the driver
+sees a bounded table (shards squared times :data:`CELLS`), never bundles. Rounds end
+when nothing more is granted or no round has lessened the cut links for
+:data:`PATIENCE` rounds; the best round counts. A hub larger than a shard stays
+split. :func:`cut_links` tells what is still cut.
 
 Defined cases: a null text is as an empty one. Null doc_ids are rows like others.
-Repeated rows are linked, and each has a slot. An empty table gives an empty
-result.
+Repeated rows are linked, and each has a slot. Very long texts take part by their
+hash and size only. Ties between shards are broken by a hash of hub and shard. Extra
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARDS, ROUNDS = 16, 6
+SHARDS, ROUNDS, PATIENCE = 16, 40, 2
 #: Cells in which the requests between two shards are counted.
 CELLS = 64
-#: Rows of a run that are numbered together.
+#: Bits of the rows of a run that are numbered together, of the runs of a block, and
+#: of the blocks of a page.
 RUN = 12
 
 
@@ -38,15 +42,24 @@ def numbered(df: DataFrame, within: list[str], row: str, name: str) -> DataFrame
     """``df`` with ``name``: gapless numbers from 0 among equal ``within``.
 
     ``row`` is a unique number; rows whose numbers agree but for the last
-    :data:`RUN` bits are numbered together, and a table of these runs gives the
-    numbers at which each begins, so no task gets a shard or the whole table.
+    :data:`RUN` bits are numbered together. Where runs begin follows from sums over
+    blocks of 2**RUN runs and pages of 2**RUN blocks, so no task gets more than that
+    many runs or blocks; pages are one for each eight partitions of the table.
     """
     run = df.withColumn("_run", F.shiftright(row, RUN))
-    sizes = run.groupBy(*within, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*within).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
-    begins = sizes.select(*within, "_run", F.coalesce(before, F.lit(0)).alias("_begin"))
+    sizes = run.groupBy(*within, "_run").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.shiftright("_run", RUN))
+    sizes = common.cut(sizes.withColumn("_page", F.shiftright("_block", RUN)))
+
+    def begins(of: DataFrame, group: list[str], order: str, out: str) -> DataFrame:
+        w = Window.partitionBy(*within, *group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return of.withColumn(out, F.coalesce(F.sum("_n").over(w), F.lit(0)))
+
+    blocks = begins(sizes.groupBy(*within, "_page", "_block").agg(F.sum("_n").alias("_n")), ["_page"], "_block", "_of_block").drop("_n", "_page")
+    pages = begins(sizes.groupBy(*within, "_page").agg(F.sum("_n").alias("_n")), [], "_page", "_of_page").drop("_n")
+    runs = begins(sizes, ["_block"], "_run", "_of_run").drop("_n").join(blocks, [*within, "_block"]).join(pages, [*within, "_page"])
+    runs = runs.select(*within, "_run", (F.col("_of_run") + F.col("_of_block") + F.col("_of_page")).alias("_begin"))
     at = F.row_number().over(Window.partitionBy(*within, "_run").orderBy(row))
-    return run.join(begins, [*within, "_run"]).withColumn(name, F.col("_begin") + at - 1).drop("_run", "_begin")
+    return run.join(runs, [*within, "_run"]).withColumn(name, F.col("_begin") + at - 1).drop("_run", "_begin")
 
 
 def quotas(rows: int, shards: int) -> np.ndarray:
@@ -78,19 +91,33 @@ def grants(wanted: np.ndarray, load: np.ndarray, quota: np.ndarray) -> np.ndarra
             granted[a, b] = np.searchsorted(sums[a, b], sums[a, b, granted[a, b]], "left") - 1
 
 
-def propagate(bundles: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """Move bundles (hub, origin, part, n, shard) towards the shard of most of their hub."""
+def propagate(bundles: DataFrame, quota: np.ndarray, rounds: int = ROUNDS, links: DataFrame | None = None) -> DataFrame:
+    """Move bundles (hub, origin, part, n, shard) towards the shard of most of their
+    hub and, by (a, b) of ``links``, of the hubs linked to it."""
     shards, spark = len(quota), bundles.sparkSession
     state = common.cut(bundles)
+    if links is not None:
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+        links = common.cut(both)
+    best, least, since = state, None, 0
     for turn in range(rounds):
         load = np.zeros(shards, np.int64)
         for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect():
             load[r["shard"]] = r["n"]
         there = state.groupBy("hub", "shard").agg(F.sum("n").alias("n"))
-        best = there.groupBy("hub").agg(F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard"))).alias("goal"))
+        if links is not None:
+            near = there.join(links, there["hub"] == links["b"]).select(F.col("a").alias("hub"), "shard", "n")
+            there = there.unionByName(near).groupBy("hub", "shard").agg(F.sum("n").alias("n"))
+        goal = there.groupBy("hub").agg(F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard"))).alias("goal"), (F.sum("n") - F.max("n")).alias("away"))
         cell = F.pmod(F.xxhash64("hub", "origin", "part", F.lit(turn)), F.lit(CELLS)).cast("int")
-        asks = state.join(best, "hub").withColumn("cell", F.when(F.col("goal") != F.col("shard"), cell))
-        asks = common.cut(asks)
+        asks = common.cut(state.join(goal, "hub").withColumn("cell", F.when(F.col("goal") != F.col("shard"), cell)))
+        cut = asks.filter("cell is not null").agg(F.sum("n")).first()[0] or 0
+        if least is None or cut < least:
+            best, least, since = state, cut, 0
+        else:
+            since += 1
+        if not cut or since > PATIENCE:
+            break
         wanted = np.zeros((shards, shards, CELLS), np.int64)
         for r in asks.filter("cell is not null").groupBy("shard", "goal", "cell").agg(F.sum("n").alias("n")).collect():
             wanted[r["shard"], r["goal"], r["cell"]] = r["n"]
@@ -101,15 +128,16 @@ def propagate(bundles: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Da
         moved = asks.join(F.broadcast(allowed), ["shard", "goal"], "left")  # shards squared rows
         goes = F.col("cell").isNotNull() & (F.col("cell") < F.col("cells"))
         state = common.cut(moved.select("hub", "origin", "part", "n", F.when(goes, F.col("goal")).otherwise(F.col("shard")).alias("shard")))
-    return state
+    return best
 
 
 def text_hub() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, hub: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) by document."""
+def assign(docs: DataFrame, shards: int = SHARDS, hub: Column | None = None, rounds: int = ROUNDS, links: DataFrame | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) by document. ``links`` (a, b) are pairs
+    of values of ``hub``; with the doc_id as hub they are links between documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -122,13 +150,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, hub: Column | None = None, rou
     total = rows.count()
     quota = quotas(total, shards)
     hubs = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
-    known = common.cut(rows.join(hubs, "hub"))
-    single = known.filter("members = 1").drop("members", "hub")
+    met = F.col("members") > 1
+    if links is not None:
+        ends = links.select(F.col("a").alias("hub")).unionByName(links.select(F.col("b").alias("hub"))).distinct().withColumn("linked", F.lit(True))
+        hubs, met = hubs.join(ends, "hub", "left"), met | F.coalesce("linked", F.lit(False))
+    known = common.cut(rows.join(hubs.withColumn("met", met).drop("linked"), "hub", "left").fillna(False, ["met"]))
+    single = known.filter("not met").drop("members", "hub", "met")
     parts = F.ceil(F.col("members") / (shards * max(1, int(quota[-1]) // 64)))
-    linked = numbered(known.filter("members > 1"), [], "row", "rank").withColumn("origin", (F.col("rank") % shards).cast("int"))
+    linked = numbered(known.filter("met").drop("met"), [], "row", "rank").withColumn("origin", (F.col("rank") % shards).cast("int"))
     linked = common.cut(linked.withColumn("part", F.pmod(F.floor(F.col("rank") / shards), parts).cast("int")).drop("rank", "members"))
     bundles = linked.groupBy("hub", "origin", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", F.col("origin"))
-    placed = propagate(bundles, quota, rounds)
+    placed = propagate(bundles, quota, rounds, links)
     load = np.zeros(shards, np.int64)
     for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect():
         load[r["shard"]] = r["n"]

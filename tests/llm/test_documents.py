@@ -224,6 +224,21 @@ def test_packing_round_trip(docs, none, real):
     assert crc == {(p["doc_id"], p["start"]): zlib.crc32(bytes(p["ids"])) for p in pieces}
 
 
+def test_whole_windows_leave_the_open_ones_alone():
+    p = packing.Packer(capacity=10, most=2)
+    assert p.add("a", 6) == [] and p.add("b", 7) == [] and p.add("c", 10) == [(2, [("c", 10)])]
+    assert sorted(p.rest()) == [(0, [("a", 6)]), (1, [("b", 7)])]
+
+
+def test_leftovers_of_many_partitions_meet(spark, monkeypatch):
+    """Each partition leaves a window nearly empty; their number must not tell."""
+    df = spark.range(300).selectExpr("id doc_id", "'some few words of one document' text").repartition(100)
+    pieces = rows(packing.merge_leftovers(packing.common.stash(packing.open_windows(df)), merge=4))
+    checked_packing(pieces, texts(df.withColumn("lang", df["text"])))
+    total = sum(p["length"] for p in pieces)
+    assert len({p["sequence_id"] for p in pieces}) == -(-total // packing.CAPACITY)
+
+
 def test_packer_is_best_fit_in_bounded_space():
     p = packing.Packer(capacity=10, most=2)
     assert p.add("a", 6) == [] and p.add("b", 7) == []
@@ -325,10 +340,33 @@ def test_tape_maps_back():
     assert t.text == "X-cd" and [t.source(0, 1), t.source(1, 2), t.source(2, 4)] == [(0, 2), (2, 4), (4, 6)]
 
 
+def test_tapes_are_those_of_single_characters():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        text = "".join(rng.choice(list("abcd"), 12))
+        tape, slow = pii.Tape(text), [(c, i, i + 1) for i, c in enumerate(text)]
+        for _ in range(3):
+            edits, at = [], 0
+            while (a := at + int(rng.integers(0, 4))) < len(slow):
+                b = min(len(slow), a + int(rng.integers(1, 4)))
+                edits.append((a, b, "xyz"[: int(rng.integers(0, 4))]))
+                at = b
+            new, done = [], 0
+            for a, b, s in edits:
+                whole = slow[a][1], slow[b - 1][2]
+                new += slow[done:a] + [(c, *(slow[a + k][1:] if len(s) == b - a else whole)) for k, c in enumerate(s)]
+                done = b
+            slow = new + slow[done:]
+            tape = tape.rewrite(edits)
+            assert tape.text == "".join(c for c, _, _ in slow) and [tape.at(i) for i in range(len(slow))] == [x[1:] for x in slow]
+            if not slow:
+                break
+
+
 def test_pii_is_linear():
     import time
 
-    for t in ("1" * 400_000, "1." * 200_000, "a@" * 200_000, "+1" * 200_000, "a" * 400_000 + "@", "one " * 60_000, "x dot " * 60_000, "[at]" * 60_000):
+    for t in ("1" * 400_000, "1." * 200_000, "a@" * 200_000, "+1" * 200_000, "a" * 400_000 + "@", "one " * 60_000, "x dot " * 60_000, "[at]" * 60_000, "a@b.co " * 30_000, "\u0430@b.co " * 30_000, "a at b.com " * 30_000, "\u0430" + "x" * 10_000_000):
         began = time.time()
         pii.spans_of(t)
         assert time.time() - began < 8, t[:10]
@@ -600,6 +638,31 @@ def test_hot_group_and_copies_stay_together(spark):
     assert sum(away.values()) <= 0.1 * sum(len(groups[t]) for t in away)
 
 
+def test_links_between_documents_are_kept_together(spark):
+    """Two cliques and a bridge: the best balanced cut, by brute force, is one edge."""
+    from itertools import combinations
+
+    edges = [(a, b) for a, b in combinations(range(8), 2)] + [(a + 8, b + 8) for a, b in combinations(range(8), 2)] + [(7, 8)]
+    cut = lambda left: sum((a in left) != (b in left) for a, b in edges)
+    best = min(cut(set(c)) for c in combinations(range(16), 8))
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    links = spark.createDataFrame(edges, "a long, b long")
+    got = rows(sharding.assign(df, 2, hub=df["doc_id"], links=links))
+    checked_shards(got, 2)
+    assert best == 1 and cut({r["doc_id"] for r in got if r["shard"] == 0}) <= best
+
+
+def test_numbers_are_gapless(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 2)
+    df = spark.range(0, 3000, 1, 7).selectExpr("id * 7 row", "id % 3 g").filter("row % 5 <> 0")
+    for within in ([], ["g"]):
+        got = rows(sharding.numbered(df, within, "row", "n"))
+        by = defaultdict(list)
+        for r in got:
+            by[tuple(r[c] for c in within)].append((r["row"], r["n"]))
+        assert all([n for _, n in sorted(v)] == list(range(len(v))) for v in by.values())
+
+
 def test_grants_never_overfill():
     rng = np.random.default_rng(1)
     for _ in range(20):
