@@ -12,9 +12,11 @@ _NOISE = re.compile(r"\b(?:const|volatile|struct|class|enum|typename|register|in
 _NAMED = re.compile(r"(?:(?<=[\w>\]])[ ]+|(?<=[&*])[ ]*)[A-Za-z_]\w*(?=(?:\[[^\]]*\])*$)")
 
 
-def _parameters(signature: str) -> str | None:
-    """What a signature takes, without names, qualifiers and default values."""
-    start = signature.find("(")
+def _parameters(signature: str, name: str | None = None) -> str | None:
+    """What a signature takes, without names, qualifiers and default values: from
+    the first parenthesis after ``name``, where that is given and found as a word."""
+    found = re.search(rf"(?<![\w$]){re.escape(name)}(?![\w$])\s*(?=\()", signature) if name else None
+    start = found.end() if found else signature.find("(")
     if start < 0:
         return None
     depth, parts, at = 0, [], start + 1
@@ -38,9 +40,10 @@ def _parameters(signature: str) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def parameter_key(signature: pd.Series) -> pd.Series:
-    """The types of a C or C++ signature's parameters; null without parentheses."""
-    return signature.map(lambda s: None if s is None else _parameters(s))
+def parameter_key(signature: pd.Series, name: pd.Series) -> pd.Series:
+    """The types of a C or C++ signature's parameters; null without parentheses. The
+    name tells where they begin: ``operator()(int)`` takes an int."""
+    return pd.Series([None if s is None else _parameters(s, n) for s, n in zip(signature, name)], dtype=object)
 
 
 _COMMENTS = {

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schema import CALL_KINDS, Graph
+from ..schema import CALL_KINDS, Graph, det_order
 
 
 
@@ -223,3 +223,11 @@ def completeness(files: DataFrame) -> DataFrame:
         F.count_distinct("path").alias("files"), F.count_distinct(F.when(F.col("e").isNotNull(), F.col("path"))).alias("failed_files"),
         F.count_if(F.col("e.severity") == "error").alias("errors"), F.count_if(F.col("e.severity") == "warning").alias("warnings"),
     ).withColumn("complete", (F.col("errors") == 0) & (F.col("warnings") == 0))
+
+
+def definitions_first(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``place`` among those of their name: generated files last,
+    definitions before declarations, then the total order."""
+    late = X.is_generated("file_path").alias("_late")
+    w = Window.partitionBy("name").orderBy("_late", *det_order())
+    return nodes.select("*", late).withColumn("place", F.row_number().over(w)).drop("_late")

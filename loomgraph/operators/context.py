@@ -18,7 +18,7 @@ from .lookup import induced
 from .storage import cut
 from .traverse import arcs, callees, callers, levels
 
-# -- symbols in prose (the patterns are fixed values) -------------------------
+# -- symbols in prose (patterns and common words are this library's own) --------
 
 _SYMBOLS = (
     r"\b([A-Z][a-z]+(?:[A-Z][a-z]*)+|[a-z][a-z0-9]*(?:[A-Z][a-z0-9]*)+)\b",
@@ -115,7 +115,7 @@ def relevant(g: Graph, query: str, options: Options = Options()) -> Found:
     if options.kinds:
         ranked = ranked.filter(F.col("kind").isin(*options.kinds))
     roots = cut(ranked.orderBy(*det_order(F.desc("score"))).limit(options.limit))
-    sure = roots.filter(F.lower("name").isin(*[s.lower() for s in named])).isEmpty() if named else True
+    sure = bool(named) and not roots.filter(F.lower("name").isin(*[s.lower() for s in named])).isEmpty()
     near = levels(roots.select("id"), arcs(g, CALL_KINDS + ("extends", "implements"), "both"), options.depth, 20 * options.most_nodes)
     around = near.filter("depth > 0").join(g.nodes, "id").withColumn("score", 1.0 / (1 + F.col("depth"))).withColumn("root", F.lit(False)).drop("depth", "parent")
     every = roots.withColumn("root", F.lit(True)).unionByName(around.select(*roots.columns, "root"))
@@ -124,7 +124,7 @@ def relevant(g: Graph, query: str, options: Options = Options()) -> Found:
     kept = kept.withColumn("aside", X.is_test("file_path") | X.is_generated("file_path")).withColumn("_n", F.row_number().over(w))
     kept = kept.filter(~F.col("aside") | F.col("root") | (F.col("_n") <= max(1, int(0.15 * options.most_nodes)))).drop("aside", "_n")
     kept = cut(kept.orderBy(F.desc("root"), F.desc("score"), "id").limit(options.most_nodes))
-    confidence = "low" if sure else "high"
+    confidence = "high" if sure else "low"
     return Found(kept, induced(g, kept), confidence)
 
 
@@ -285,6 +285,16 @@ def as_markdown(found: Found, blocks: DataFrame | None = None) -> str:
     return "\n".join(out)
 
 
+def tree_rows(files: DataFrame) -> DataFrame:
+    """(path, directory, depth, place): files and their directories; ``place`` sorts
+    them as a tree, directories first, then by name."""
+    parts = F.split("path", "/")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).otherwise(F.array().cast("array<string>"))
+    both = files.select("path", F.lit(False).alias("directory")).unionByName(files.select(F.explode(above).alias("path"), F.lit(True).alias("directory"))).distinct()
+    mark = F.transform(parts, lambda part, i: F.concat(F.when((i == F.size(parts) - 1) & ~F.col("directory"), F.lit("1")).otherwise(F.lit("0")), part))
+    return both.select("path", "directory", (F.size(parts) - 1).alias("depth"), F.array_join(mark, "/").alias("place"))
+
+
 def as_tree(paths: Iterable[str]) -> str:
     """Paths as an indented tree: directories first, then by name."""
     tree: dict = {}

@@ -16,9 +16,35 @@ from .storage import cut
 
 #: Languages that share a type system (fixed values).
 FAMILIES = {"java": "jvm", "kotlin": "jvm", "scala": "jvm", "swift": "apple", "objc": "apple", "typescript": "web", "tsx": "web", "javascript": "web", "jsx": "web", "c": "c", "cpp": "c", "csharp": "dotnet", "razor": "dotnet"}
-#: Names that no project defines (fixed values; callers pass their own).
-BUILTINS = ("console", "window", "document", "process", "require", "module", "exports", "print", "len", "range", "str", "int", "float", "super", "self", "this", "System", "String", "Object")
-EXTERNAL = r"^(java\.|javax\.|kotlin\.|std::|node:|System\.)"
+# Names that a language or its library defines.
+JS_NAMES = """
+console window document global process Promise Array Object String Number Boolean Date Math JSON RegExp Error Map Set
+setTimeout setInterval clearTimeout clearInterval fetch require module exports __dirname __filename
+useState useEffect useContext useReducer useCallback useMemo useRef useLayoutEffect useImperativeHandle useDebugValue
+""".split()
+JS_PREFIXES = ("console.", "Math.", "JSON.")
+PYTHON_NAMES = """
+print len range str int float list dict set tuple open input type isinstance hasattr getattr setattr super self cls None True False
+""".split()
+PYTHON_TYPES = "list dict set tuple str int float bool bytes bytearray frozenset object super".split()
+PYTHON_METHODS = """
+append extend insert remove pop clear sort reverse copy update keys values items get add discard union intersection difference
+split join strip lstrip rstrip replace lower upper startswith endswith find index count encode decode format isdigit isalpha isalnum
+read write readline readlines close flush seek
+""".split()
+GO_NAMES = """
+make new len cap append copy delete close panic recover print println complex real imag error nil true false iota
+int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 uintptr float32 float64 complex64 complex128 string bool byte rune any
+""".split()
+GO_PACKAGES = """
+fmt os io net http log math sort sync time path bytes strings strconv errors context json xml csv html template regexp reflect
+runtime testing flag bufio crypto encoding filepath hash mime rand signal sql syscall unicode unsafe atomic binary debug exec heap
+ring scanner tar zip gzip zlib tls url user pprof trace ast build parser printer token types cgo plugin race ioutil
+utilruntime utilwait utilnet
+""".split()
+PASCAL_PREFIXES = ("System.", "Winapi.", "Vcl.", "Fmx.", "Data.", "Datasnap.", "Soap.", "Xml.", "Web.", "REST.", "FireDAC.", "IBX.", "IdHTTP", "IdTCP", "IdSSL")
+#: Names of one character set that a candidate joins one by one; above, by directory.
+HOT = 64
 TYPE_KINDS = ("class", "struct", "interface", "trait", "protocol", "enum")
 INSTANTIABLE = ("class", "struct", "enum")
 STAGES = ("import", "framework", "file-path", "qualified-name", "method", "exact-match", "fuzzy")
@@ -47,9 +73,46 @@ def language_gate(kind: Column | str = "reference_kind", own: Column | str = "la
     return F.when(kind == "references", same_family(own, other)).when(kind == "instantiates", same_family(own, other) | mixed).when(kind == "imports", ~crosses(own, other)).otherwise(True)
 
 
-def external(refs: DataFrame, names: tuple[str, ...] = BUILTINS) -> DataFrame:
-    """References without built-in names and external prefixes."""
-    return refs.filter(~F.col("reference_name").isin(*names) & ~F.col("reference_name").rlike(EXTERNAL))
+def external(refs: DataFrame, nodes: DataFrame | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    """References without what their language or its library defines, and without
+    ``names``. Python's method names count only where no node has the name, or the
+    receiver's with a capital; names of the C library stay, as projects define them."""
+    n, lang = F.col("reference_name"), F.col("language")
+    head = F.regexp_extract(n, r"^([^.]+)\.", 1)
+    tail = F.when(head != "", F.substr(n, F.length(head) + 2))
+    begins = lambda prefixes: _either([n.startswith(p) for p in prefixes])
+    js = lang.isin("typescript", "javascript", "tsx", "jsx") & (n.isin(*JS_NAMES) | begins(JS_PREFIXES))
+    go = (lang == "go") & (n.isin(*GO_NAMES) | head.isin(*GO_PACKAGES))
+    other = (lang == "pascal") & begins(PASCAL_PREFIXES) | lang.isin("c", "cpp") & n.startswith("std::")
+    python = (lang == "python") & (n.isin(*PYTHON_NAMES) | head.isin(*PYTHON_TYPES))
+    out = refs.filter(~F.coalesce(js | go | other | python, F.lit(False)))
+    out = out.filter(~n.isin(*names)) if names else out
+    if nodes is None:
+        return out
+    owner = F.when(tail.isin(*PYTHON_METHODS), F.concat(F.upper(F.substring(head, 1, 1)), F.substr(head, F.lit(2)))).when(n.isin(*PYTHON_METHODS), n)
+    asked = out.withColumn("_needs", F.when(lang == "python", owner))
+    there = nodes.select(F.col("name").alias("_needs"), F.lit(True).alias("_there")).distinct()
+    return asked.join(there, "_needs", "left").filter("_needs is null or _there").select(*refs.columns)
+
+
+def _either(conds: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conds:
+        out |= c
+    return out
+
+
+def constructible(kind: Column | str = "c_kind", language: Column | str = "language") -> Column:
+    """What a language can make an instance of: classes and structs everywhere, other
+    kinds in the languages that have an expression for it."""
+    kind, language = X.col(kind), X.col(language)
+    some = {"type_alias": ("c", "cpp"), "interface": ("java",), "trait": ("scala",), "enum_member": ("rust",)}  # fixed values
+    return kind.isin("class", "struct") | _either([(kind == k) & language.isin(*of) for k, of in some.items()])
+
+
+def gates() -> Column:
+    """Language and kind gates between a reference and a candidate (c_...)."""
+    return language_gate() & ((F.col("reference_kind") != "instantiates") | constructible())
 
 
 def name_parts(name: Column | str = "reference_name") -> Column:
@@ -74,19 +137,20 @@ def _candidates(refs: DataFrame, nodes: DataFrame, on: Column | str, by: str) ->
     cols = ("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "is_exported")
     c = nodes.select(F.col(by).alias("_key"), *(F.col(x).alias(f"c_{x}") for x in cols))
     r = refs.withColumn("_key", X.col(on))
-    return r.join(c, "_key").drop("_key").filter(language_gate())
+    return r.join(c, "_key").drop("_key").filter(gates())
 
 
-def score() -> Column:
+def score(proximity: Column | None = None) -> Column:
     """How well a candidate fits: file, directories, language, kind, export, and
     nearness within the file."""
     kind, c_kind = F.col("reference_kind"), F.col("c_kind")
     same_file = F.col("c_file_path") == F.col("file_path")
     near = F.greatest(F.lit(0.0), 20 - F.abs(F.col("c_start_line") - F.col("line")) / 10)
+    fits = F.when((kind == "calls") & c_kind.isin(*CALLABLE), 25).when((kind == "instantiates") & constructible(), 25)
+    fits = fits.when((kind == "decorates") & c_kind.isin(*CALLABLE), 25).when((kind == "decorates") & c_kind.isin("class", "interface"), 15).otherwise(0)
     return (
-        F.when(same_file, 100).otherwise(0) + X.proximity("file_path", "c_file_path") + F.when(F.col("c_language") == F.col("language"), 50).otherwise(-80)
-        + F.when((kind == "calls") & c_kind.isin(*CALLABLE), 25).when((kind == "instantiates") & c_kind.isin(*INSTANTIABLE), 25).when((kind == "decorates") & (c_kind == "function"), 25).when((kind == "decorates") & (c_kind == "class"), 15).otherwise(0)
-        + F.when(F.coalesce("c_is_exported", F.lit(False)), 10).otherwise(0) + F.when(same_file & F.col("c_start_line").isNotNull() & F.col("line").isNotNull(), near).otherwise(0.0)
+        F.when(same_file, 100).otherwise(0) + (X.proximity("file_path", "c_file_path") if proximity is None else proximity) + F.when(F.col("c_language") == F.col("language"), 50).otherwise(-80)
+        + fits + F.when(F.coalesce("c_is_exported", F.lit(False)), 10).otherwise(0) + F.when(same_file & F.col("c_start_line").isNotNull() & F.col("line").isNotNull(), near).otherwise(0.0)
     )
 
 
@@ -94,15 +158,52 @@ def _order() -> list[Column]:
     return [F.col(c) for c in ("c_name", "c_qualified_name", "c_kind", "c_file_path", "c_start_line", "c_id")]
 
 
-def exact_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ref_id, target, confidence): the sole candidate, or the best by score."""
-    c = _candidates(refs, nodes.filter(~F.col("kind").isin("import", "file")), "reference_name", "name").withColumn("score", score())
+_CAND = ("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "is_exported")
+
+
+def _branches(path: str) -> Column:
+    """The directories above a path, by number of segments from 0; six, as more add
+    nothing to the proximity of two paths."""
+    parts = F.filter(F.split(X.dirname(path), "/"), lambda x: x != ".")
+    return F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(6))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+
+
+def exact_name(refs: DataFrame, nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """(ref_id, target, confidence): the sole candidate, or the best by score.
+
+    A name with more than ``hot`` nodes is not joined node by node: of its nodes
+    below a directory the first of each language, kind and visibility stands for
+    the others, as they score alike from outside. A reference meets those of its own
+    directories, and the nodes of its own file."""
+    nodes = nodes.filter(~F.col("kind").isin("import", "file")).select(*_CAND)
+    asked = refs.select(F.col("reference_name").alias("name")).distinct()
+    nodes = cut(nodes.join(asked, "name", "left_semi"))
+    counts = cut(nodes.groupBy("name", "language", "kind").agg(F.count(F.lit(1)).alias("n")))
+    many = cut(counts.groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") > hot).select("name"))
+    plain = _candidates(refs.join(many.withColumnRenamed("name", "reference_name"), "reference_name", "left_anti"), nodes.join(many, "name", "left_anti"), "reference_name", "name")
     w = Window.partitionBy("ref_id")
-    best = c.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), *_order()))).filter("r = 1")
+    plain = plain.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("score", score())
+    kept = ["ref_id", "n", "score", "language", "file_path", *(f"c_{c}" for c in _CAND)]
+    every = plain.select(*kept)
+    if not many.isEmpty():
+        r = cut(refs.join(many.withColumnRenamed("name", "reference_name"), "reference_name", "left_semi"))
+        own = nodes.join(many, "name", "left_semi")
+        c = counts.join(many, "name", "left_semi").select(F.col("name").alias("reference_name"), F.col("language").alias("c_language"), F.col("kind").alias("c_kind"), F.col("n").alias("m"))
+        total = r.join(c, "reference_name").filter(gates()).groupBy("ref_id").agg(F.sum("m").alias("n"))
+        first = F.min(F.struct("name", "qualified_name", "kind", "file_path", "start_line", "id")).alias("_first")
+        far = own.withColumn("_branch", F.explode(_branches("file_path"))).groupBy("name", "_branch", "language", "kind", "is_exported").agg(first)
+        far = far.select(F.col("name").alias("reference_name"), "_branch", F.col("language").alias("c_language"), F.col("kind").alias("c_kind"), F.col("is_exported").alias("c_is_exported"), *(F.col(f"_first.{x}").alias(f"c_{x}") for x in ("name", "qualified_name", "file_path", "start_line", "id")))
+        paths = r.select("*", F.posexplode(_branches("file_path")).alias("_depth", "_branch"))
+        met = paths.join(far, ["reference_name", "_branch"]).filter("c_file_path <> file_path").filter(gates()).withColumn("score", score(F.least(F.col("_depth") * 15, F.lit(80))))
+        here = own.select(F.col("name").alias("reference_name"), *(F.col(x).alias(f"c_{x}") for x in _CAND))
+        near = r.join(here.withColumn("file_path", F.col("c_file_path")), ["reference_name", "file_path"]).filter(gates()).withColumn("score", score())
+        hot_rows = met.join(total, "ref_id").select(*kept).unionByName(near.join(total, "ref_id").select(*kept))
+        every = every.unionByName(hot_rows)
+    best = every.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), *_order()))).filter("r = 1")
     same = F.col("c_language") == F.col("language")
     sole = F.when(same, 0.9).otherwise(0.5)
-    many = F.when(X.proximity("file_path", "c_file_path") >= 30, 0.7).otherwise(0.4)
-    return best.filter((F.col("n") == 1) | (F.col("score") > -1)).select("ref_id", F.col("c_id").alias("target"), F.when(F.col("n") == 1, sole).otherwise(many).alias("confidence"), F.lit("exact-match").alias("resolved_by"))
+    several = F.when(X.proximity("file_path", "c_file_path") >= 30, 0.7).otherwise(0.4)
+    return best.filter((F.col("n") == 1) | (F.col("score") > -1)).select("ref_id", F.col("c_id").alias("target"), F.when(F.col("n") == 1, sole).otherwise(several).alias("confidence"), F.lit("exact-match").alias("resolved_by"))
 
 
 def qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -114,7 +215,7 @@ def qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     # a suffix has the same last segment: joined by that, then compared
     cols = ("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "is_exported")
     c = n.select(F.col("name").alias("_key"), F.col("_canonical"), *(F.col(x).alias(f"c_{x}") for x in cols))
-    part = q.withColumn("_key", X.last_qualifier("reference_name")).join(c, "_key").filter(F.col("_canonical").endswith(F.concat(F.lit("::"), F.col("_wanted")))).drop("_key", "_canonical").filter(language_gate()).withColumn("confidence", F.lit(0.85))
+    part = q.withColumn("_key", X.last_qualifier("reference_name")).join(c, "_key").filter(F.col("_canonical").endswith(F.concat(F.lit("::"), F.col("_wanted")))).drop("_key", "_canonical").filter(gates()).withColumn("confidence", F.lit(0.85))
     w = Window.partitionBy("ref_id", "confidence")
     every = whole.select("ref_id", "c_id", "confidence").unionByName(part.select("ref_id", "c_id", "confidence"))
     sole = every.withColumn("n", F.count(F.lit(1)).over(w)).filter("n = 1")
@@ -176,10 +277,16 @@ def method(refs: DataFrame, g: Graph, types: DataFrame | None = None) -> DataFra
     return every.withColumn("r", F.row_number().over(w)).filter("r = 1").select("ref_id", "target", "confidence", F.lit("method").alias("resolved_by"))
 
 
+def return_types(g: Graph) -> DataFrame:
+    """(inner_name, type_name): the types that callables of a name return."""
+    back = F.regexp_extract("return_type", r"(\w+)\W*$", 1).alias("type_name")
+    return g.nodes.filter(F.col("kind").isin(*CALLABLE) & F.col("return_type").isNotNull()).select(F.col("name").alias("inner_name"), back).distinct()
+
+
 def chain(refs: DataFrame, g: Graph) -> DataFrame:
     """``inner().member``: a member of what ``inner`` returns, or of its supertypes."""
     r = refs.withColumn("inner_name", F.regexp_extract("reference_name", r"(\w+)\(\)(?:\.|::|->)\w+$", 1)).withColumn("member", F.regexp_extract("reference_name", r"(\w+)$", 1)).filter("inner_name <> ''")
-    inner = g.nodes.filter(F.col("kind").isin(*CALLABLE) & F.col("return_type").isNotNull()).select(F.col("name").alias("inner_name"), F.regexp_extract("return_type", r"(\w+)\W*$", 1).alias("type_name")).distinct()
+    inner = return_types(g)
     owners = g.nodes.filter(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("type"), F.col("name").alias("type_name"), F.col("language").alias("type_language"))
     has = members(g).select(F.col("owner").alias("super"), F.col("id").alias("target"), F.col("name").alias("member"))
     via = supertypes(g).join(has, "super").select("type", "depth", "target", "member")
@@ -238,11 +345,15 @@ def first_hit(*found: DataFrame) -> DataFrame:
 
 def resolve(g: Graph, more: tuple[DataFrame, ...] = ()) -> DataFrame:
     """(ref_id, target, confidence, resolved_by) of the pending references that can
-    be resolved. ``more``: rows of import and framework strategies."""
-    refs = known(external(g.refs.filter(F.col("status") == "pending")), g.nodes)
+    be resolved. ``more``: rows of import and framework strategies. References and
+    nodes are cut once, not planned again for each strategy."""
+    wanted = ("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "is_exported", "return_type", "signature")
+    nodes = cut(g.nodes.select(*wanted))
+    refs = cut(known(external(g.refs.filter(F.col("status") == "pending"), nodes), nodes))
+    g = Graph(nodes, g.edges, g.files, refs)
     made = F.col("reference_kind") == "instantiates"
     plain = refs.filter(~made)
-    names = first_hit(file_path(plain, g.nodes), qualified_name(refs, g.nodes), method(plain, g), chain(plain, g), exact_name(refs, g.nodes), fuzzy(refs, g.nodes))
+    names = first_hit(file_path(plain, nodes), qualified_name(refs, nodes), method(plain, g), chain(plain, g), exact_name(refs, nodes), fuzzy(refs, nodes))
     return choose(*more, names) if more else names
 
 
@@ -271,6 +382,35 @@ def retryable(refs: DataFrame, new_names: DataFrame, most: int = 500) -> DataFra
     return failed.join(few.join(names, "name_tail", "left_semi"), "name_tail", "left_semi").withColumn("status", F.lit("pending"))
 
 
+def final_gates(resolved: DataFrame, g: Graph) -> DataFrame:
+    """Resolved rows whose target passes the gates of language and kind; what imports
+    and frameworks found is not judged by its kind."""
+    r = g.refs.select("ref_id", "reference_kind", "language", "file_path")
+    c = g.nodes.select(F.col("id").alias("target"), F.col("kind").alias("c_kind"), F.col("language").alias("c_language"))
+    both = resolved.join(r, "ref_id").join(c, "target")
+    return both.filter(language_gate() & (F.col("resolved_by").isin("import", "framework") | (F.col("reference_kind") != "instantiates") | constructible())).select(*resolved.columns)
+
+
+def field_types(g: Graph) -> DataFrame:
+    """(owner, receiver, type_name): fields and properties of types with the type
+    that their signature declares, as Java and Kotlin write it."""
+    inside = g.edges.filter(F.col("kind") == "contains").select(F.col("source").alias("owner"), F.col("target").alias("id"))
+    f = g.nodes.filter(F.col("kind").isin("field", "property") & F.col("language").isin("java", "kotlin") & F.col("signature").isNotNull())
+    before = F.regexp_extract("signature", r"\b([A-Z]\w*)(?:<[^;=]*>)?(?:\[\])*\s+\w+\s*(?:[;=].*)?$", 1)
+    after = F.regexp_extract("signature", r"\w+\s*:\s*([A-Z]\w*)", 1)
+    typed = inside.join(f.select("id", F.col("name").alias("receiver"), F.when(F.col("language") == "kotlin", after).otherwise(before).alias("type_name")), "id")
+    return typed.filter("type_name <> ''").select("owner", "receiver", "type_name")
+
+
+def receivers_by_field(refs: DataFrame, g: Graph) -> DataFrame:
+    """(ref_id, type_name): the declared type of the receiver, where it is a field of
+    the class that holds the calling method. For :func:`method`'s ``types``."""
+    inside = g.edges.filter(F.col("kind") == "contains").select(F.col("source").alias("owner"), F.col("target").alias("from_node_id"))
+    r = refs.withColumn("receiver", F.regexp_extract("reference_name", r"^(?:this\.)?([A-Za-z_]\w*)\.\w+$", 1)).filter("receiver <> ''")
+    hit = r.join(inside, "from_node_id").join(field_types(g), ["owner", "receiver"])
+    return hit.groupBy("ref_id").agg(F.min("type_name").alias("type_name"))
+
+
 def conformance(g: Graph, deferred: DataFrame) -> DataFrame:
     """Chains and members again, when inheritance edges are there."""
     return first_hit(chain(deferred, g), method(deferred, g))

@@ -15,11 +15,14 @@ _own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set."""
+    """The cluster's shared folder; a temporary one only where none is set and the
+    master is this machine (tests)."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     _own = _own or tempfile.mkdtemp(prefix="loomgraph-")
     return _own
 
@@ -89,6 +92,16 @@ def delete_edges_from(g: Graph, ids: DataFrame) -> Graph:
     return g.with_edges(without(g.edges, ids.select(F.col("id").alias("source")), "source"))
 
 
+def insert_refs(refs: DataFrame, new: DataFrame) -> DataFrame:
+    """The queue with ``new`` references as pending ones; a row that is there already
+    is not put in again."""
+    keys = ["from_node_id", "reference_name", "reference_kind", "line", "col"]
+    held = refs.select(*(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys)).distinct()
+    tagged = new.select("*", *(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys))
+    fresh = tagged.join(held, [f"_{k}" for k in keys], "left_anti").dropDuplicates([f"_{k}" for k in keys])
+    return refs.unionByName(fresh.select(*refs.columns).withColumn("status", F.lit("pending")))
+
+
 def delete_refs(refs: DataFrame, keys: DataFrame) -> DataFrame:
     """By whatever columns ``keys`` has: ids, nodes, or (node, name, kind)."""
     return without(refs, keys, *keys.columns)

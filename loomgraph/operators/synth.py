@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import EDGES, Graph, conform
 from .resolve import TYPE_KINDS
+from .storage import cut
 
 FANOUT, EVENT_FANOUT, CHANNEL = 40, 6, 8
 
-REGISTRAR = r"^(on|once|add|set|register|subscribe|listen|watch|observe)([A-Z_].*)?$|.*(Listener|Handler|Callback|Observer)s?$"
-DISPATCHER = r"^(emit|fire|dispatch|notify|trigger|publish|call|invoke|run|flush)([A-Z_].*)?$"
+# Names of what registers and what dispatches (fixed values).
+REGISTRAR = r"^(on[A-Z]\w*|subscribe|addListener|addEventListener|register|watch|listen|addCallback)$"
+DISPATCHER = r"(?i)(emit|trigger|notify|dispatch|fire|publish|flush)"
 
 
 def made(rows: DataFrame, by: str, kind: str = "calls", **meta: Column) -> DataFrame:
@@ -59,15 +61,25 @@ def receiver_contains(g: Graph) -> DataFrame:
 
 
 def satisfies(g: Graph, types: tuple[str, ...] = ("struct", "class"), language: str | None = "go", most: int = FANOUT, by: str = "implicit-interface", kind: str = "implements") -> DataFrame:
-    """A type with every method of an interface implements it. Division by counting:
-    methods met of each (type, interface) against those that the interface has."""
+    """A type with every method of an interface implements it, the first ``most`` types
+    by id. Division by counting: methods met of each set of methods that types have,
+    against those of each set that interfaces have."""
     m = _members(g)
     m = m if language is None else m.filter(F.col("language") == language)
-    want = m.join(_types(g).filter(F.col("kind") == "interface").select(F.col("id").alias("owner")), "owner", "left_semi").select(F.col("owner").alias("target"), "name").distinct()
-    have = m.join(_types(g).filter(F.col("kind").isin(*types)).select(F.col("id").alias("owner")), "owner", "left_semi").select(F.col("owner").alias("source"), "name").distinct()
-    size = want.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
-    met = want.join(have, "name").groupBy("source", "target").agg(F.count(F.lit(1)).alias("m")).join(size, "target").filter("m = n")
-    return made(capped(met, ["target"], ["source"], most), by, kind)
+
+    def sets(owners: DataFrame, name: str) -> DataFrame:
+        own = m.join(owners.select(F.col("id").alias("owner")), "owner", "left_semi").groupBy(F.col("owner").alias(name)).agg(F.sort_array(F.collect_set("name")).alias("names"))
+        return cut(own.withColumn(f"{name}_set", F.sha2(F.to_json("names"), 256)))
+
+    want = sets(_types(g).filter(F.col("kind") == "interface"), "target")
+    have = sets(_types(g).filter(F.col("kind").isin(*types)), "source")
+    # equal sets of methods are divided once: sets met against the size of each
+    few_want, few_have = (x.select(f"{n}_set", "names").dropDuplicates([f"{n}_set"]) for x, n in ((want, "target"), (have, "source")))
+    sizes = few_want.select("target_set", F.size("names").alias("n"))
+    met = few_want.select("target_set", F.explode("names").alias("name")).join(few_have.select("source_set", F.explode("names").alias("name")), "name")
+    full = met.groupBy("source_set", "target_set").agg(F.count(F.lit(1)).alias("m")).join(sizes, "target_set").filter("m = n")
+    fits = capped(full.join(have, "source_set").select("target_set", "source"), ["target_set"], ["source"], most)
+    return made(fits.join(want, "target_set").select("source", "target"), by, kind)
 
 
 def override(g: Graph, languages: tuple[str, ...] = ("cpp", "c"), kinds: tuple[str, ...] = ("extends",), by: str = "override", most: int = FANOUT) -> DataFrame:
@@ -86,12 +98,12 @@ def interface_dispatch(g: Graph, languages: tuple[str, ...] = ("java", "kotlin",
 def declarations(g: Graph, languages: tuple[str, ...] = ("c",), kinds: tuple[str, ...] = ("function",), header: str = r"\.(h|hpp|hh|hxx)$", by: str = "decl-def", key: str = "name") -> DataFrame:
     """A header's declaration and the definition of the same name in another file."""
     n = g.nodes.filter(F.col("language").isin(*languages) & F.col("kind").isin(*kinds)).withColumn("_key", X.last_two("qualified_name") if key == "qualified_name" else F.col("name"))
-    d = n.filter(F.coalesce("is_declaration", F.lit(False)) & F.col("file_path").rlike(header)).select(F.col("id").alias("source"), "_key", "kind", F.col("file_path").alias("at"), F.col("signature").alias("s"))
-    f = n.filter(~F.coalesce("is_declaration", F.lit(False))).select(F.col("id").alias("target"), "_key", "kind", F.col("file_path").alias("in"), F.col("signature").alias("t"))
+    d = n.filter(F.coalesce("is_declaration", F.lit(False)) & F.col("file_path").rlike(header)).select(F.col("id").alias("source"), "_key", "kind", F.col("file_path").alias("at"), F.col("signature").alias("s"), F.col("name").alias("s_name"))
+    f = n.filter(~F.coalesce("is_declaration", F.lit(False))).select(F.col("id").alias("target"), "_key", "kind", F.col("file_path").alias("in"), F.col("signature").alias("t"), F.col("name").alias("t_name"))
     from ..functions.cpp import parameter_key
 
-    same = F.col("s").isNull() | F.col("t").isNull() | (parameter_key(F.col("s")) == parameter_key(F.col("t"))) if key == "qualified_name" else F.lit(True)
-    rows = few(d, ["_key", "kind"], FANOUT).join(few(f, ["_key", "kind"], FANOUT), ["_key", "kind"]).filter("at <> in").filter(same)
+    same = F.col("s").isNull() | F.col("t").isNull() | (parameter_key("s", "s_name") == parameter_key("t", "t_name")) if key == "qualified_name" else F.lit(True)
+    rows = d.join(f, ["_key", "kind"]).filter("at <> in").filter(same)
     return made(rows.select("source", "target").distinct(), by, "defines")
 
 
@@ -287,11 +299,32 @@ RULES = (
     (stub_implementation, None), (sibling_render, ("javascript", "jsx", "typescript", "tsx")), (flutter_rebuild, ("dart",)), (native_component, None), (mapper_statements, ("xml",)),
     (paired_files, ("pascal",)), (page_loaders, ("svelte",)),
 )
+_SCRIPT = ("javascript", "jsx", "typescript", "tsx")
+_NATIVE = ("objc", "cpp", "java", "kotlin", "swift")
+
+
+def _of(source: DataFrame, g: Graph, languages: tuple[str, ...]) -> DataFrame:
+    return source.join(g.nodes.filter(F.col("language").isin(*languages)).select("id"), "id", "left_semi")
+
+
+#: Rules over the text of callables, with the languages that call for them.
+TEXT_RULES = (
+    (lambda g, s: observers(s, g), None), (lambda g, s: closures(s, g), None), (lambda g, s: event_emitter(g, s), None), (lambda g, s: tag_children(g, _of(s, g, _SCRIPT)), _SCRIPT),
+    (lambda g, s: vue_template(g, _of(s, g, ("vue",))), ("vue",)), (lambda g, s: native_events(g, _of(s, g, _NATIVE), _of(s, g, _SCRIPT)), _SCRIPT),
+    (lambda g, s: middleware(g, registered(g, _of(s, g, ("go",)))), ("go",)), (lambda g, s: cross_platform(g, called_from=_SCRIPT), _SCRIPT),
+)
+
+
+def registered(g: Graph, source: DataFrame) -> DataFrame:
+    """(id) of the functions that ``Use`` and its like are given in the text."""
+    named = occurrences(source, r"\.(?:Use|GET|POST|PUT|PATCH|DELETE|Any)\([^)\n]*?\b([A-Za-z_]\w*)\s*\)", "name").select("name").distinct()
+    return g.nodes.filter(F.col("kind").isin("function", "method")).join(named, "name", "left_semi").select("id")
 
 
-def synthesize(g: Graph) -> DataFrame:
-    """New edges of all rules for the languages that are there. Receiver containment
-    and satisfied interfaces come first, as later rules build on them."""
+def synthesize(g: Graph, source: DataFrame | None = None) -> DataFrame:
+    """New edges of all rules for the languages that are there; of those over text
+    where ``source`` (id, file_path, text) of the callables is given. Receiver
+    containment and satisfied interfaces come first, as later rules build on them."""
     have = {r["language"] for r in g.nodes.select("language").distinct().collect()}  # a closed set
     early = receiver_contains(g) if "go" in have else None
     if early is not None:
@@ -299,6 +332,8 @@ def synthesize(g: Graph) -> DataFrame:
         also = satisfies(g)
         g, early = g.with_edges(g.edges.unionByName(also)), early.unionByName(also)
     passes = [rule(g) for rule, languages in RULES if languages is None or have & set(languages)]
+    if source is not None:
+        passes += [rule(g, source) for rule, languages in TEXT_RULES if languages is None or have & set(languages)]
     known = g.edges.select("source", "target").distinct()
     late = merge(*passes).join(known, ["source", "target"], "left_anti").select(*EDGES.names)
     return late if early is None else early.unionByName(late)

@@ -82,9 +82,11 @@ def bfs(g: Graph, start: str, most: int | None = None, kinds: Iterable[str] = ()
 
 def dfs(g: Graph, start: str, most: int | None = None, kinds: Iterable[str] = (), direction: str = "outgoing", bound: int = 10_000) -> list[str]:
     """Ids in depth-first order, neighbours in order of id. The order is
-    sequential by nature: the reachable subgraph, of at most ``bound`` nodes, is
-    brought to the driver."""
-    reached = levels(seed(g, start), arcs(g, kinds, direction), most, bound)
+    sequential by nature: the reachable subgraph is brought to the driver. Raises if
+    it has more than ``bound`` nodes; take :func:`bfs` for such."""
+    reached = cut(levels(seed(g, start), arcs(g, kinds, direction), most))
+    if reached.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} nodes can be reached from {start}")
     near: dict[str, list[str]] = {}
     for r in arcs(g, kinds, direction).join(reached.select(F.col("id").alias("a")), "a", "left_semi").join(reached.select(F.col("id").alias("b")), "b", "left_semi").distinct().orderBy("a", "b").collect():
         near.setdefault(r["a"], []).append(r["b"])
@@ -171,6 +173,25 @@ def impact(g: Graph, node_id: str, depth: int = 3) -> DataFrame:
     return found
 
 
+def impact_of_all(g: Graph, ids: Iterable[str], depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What may break by any of several nodes, as overloads of a name: (id, depth) at
+    least depth, and the edges among them, each (source, target, kind) once."""
+    every = None
+    for i in dict.fromkeys(ids):
+        one = impact(g, i, depth).select("id", "depth")
+        every = one if every is None else every.unionByName(one)
+    found = cut(every.groupBy("id").agg(F.min("depth").alias("depth")))
+    ends = found.select("id")
+    edges = g.edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
+    return found, edges.dropDuplicates(["source", "target", "kind"])
+
+
+def structural(edges: DataFrame) -> DataFrame:
+    """Edges with ``priority``, by which traversals that stop early take them: nesting
+    first, then calls, then the rest."""
+    return edges.withColumn("priority", F.when(F.col("kind") == "contains", 0).when(F.col("kind") == "calls", 1).otherwise(2))
+
+
 def path(g: Graph, start: str, end: str, kinds: Iterable[str] = ()) -> DataFrame:
     """(step, id) of a shortest path, ties by least ids; no row if there is none."""
     spark = g.spark
@@ -194,13 +215,15 @@ def parents(g: Graph) -> DataFrame:
     return g.edges.filter(F.col("kind") == "contains").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
 
 
-def ancestors(g: Graph, ids: str | Iterable[str] | DataFrame, most: int = 64) -> DataFrame:
+def ancestors(g: Graph, ids: str | Iterable[str] | DataFrame) -> DataFrame:
     """(of, id, depth): the containers of each node, nearest first; safe in loops."""
     up = cut(parents(g))
     at = seed(g, ids).select(F.col("id").alias("of"), "id")
     found = None
     trail = cut(at.withColumn("trail", F.array("id")))
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:  # ends, as no trail meets a node twice
+        depth += 1
         trail = trail.join(up, "id").filter(~F.array_contains("trail", F.col("parent"))).select("of", F.col("parent").alias("id"), F.array_append("trail", F.col("parent")).alias("trail"))
         trail = cut(trail)
         if trail.isEmpty():

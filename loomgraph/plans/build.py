@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import imports as I
 from ..operators import resolve as R
 from ..operators import synth
-from ..operators.storage import cut, delete_files, insert_edges, insert_nodes, upsert
-from ..schema import EDGES, Graph, conform
+from ..operators.storage import cut, delete_files, insert_edges, insert_nodes, insert_refs, upsert
+from ..schema import EDGES, REFS, Graph, conform
 
 
-def index(g: Graph) -> Graph:
+def index(g: Graph, imports: I.Imports | None = None, source: DataFrame | None = None, claims: tuple[DataFrame, ...] = ()) -> Graph:
     """Resolve the pending references, then derive edges, then resolve what needed
-    inheritance edges; what is left has failed and is kept for a retry."""
-    resolved = cut(R.resolve(g))
-    edges = insert_edges(g, conform(R.promoted(resolved, g), EDGES))
-    now = g.with_edges(cut(edges))
-    now = now.with_edges(cut(insert_edges(now, synth.synthesize(now))))
-    left = R.parked(g.refs, resolved)
+    inheritance edges; what is left has failed and is kept for a retry.
+
+    ``imports`` brings in what files import; ``source`` (id, file_path, text) of the
+    callables lets rules over text take part; ``claims`` are rows (ref_id, target,
+    confidence, resolved_by) of frameworks that know their own references."""
+    waiting = g.refs.filter(F.col("status") == "pending")
+    more = claims + ((I.strategy(g, imports),) if imports is not None else ())
+    resolved = cut(R.final_gates(R.resolve(g, more), g))
+    now = g.with_edges(cut(insert_edges(g, conform(R.promoted(resolved, g), EDGES))))
+    now = now.with_edges(cut(insert_edges(now, synth.synthesize(now, source))))
+    left = R.parked(waiting, resolved)
     late = cut(R.conformance(now, left))
     now = now.with_edges(cut(insert_edges(now, conform(R.promoted(late, now), EDGES))))
-    return Graph(now.nodes, now.edges, g.files, R.parked(left, late))
+    failed = g.refs.filter(F.col("status") != "pending").unionByName(R.parked(left, late).select(*g.refs.columns))
+    return Graph(now.nodes, now.edges, g.files, failed)
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -73,6 +80,28 @@ def sync(g: Graph, new_files: DataFrame, new: Graph) -> tuple[Graph, DataFrame]:
     return Graph(nodes, cut(joined), base.files, base.refs), again
 
 
+def update(g: Graph, new_files: DataFrame, new: Graph, imports: I.Imports | None = None, source: DataFrame | None = None) -> tuple[Graph, DataFrame]:
+    """:func:`sync`, and then the steps that leave the graph as a build from scratch
+    would: the new references, those of edges whose target is gone, and failed ones
+    that a new symbol may answer are pending again and resolved; derived edges are
+    derived anew, as a change may take away what they rested on."""
+    now, again = sync(g, new_files, new)
+    refs = g.refs.limit(0) if now.refs is None else now.refs
+    ends = now.nodes.select("id")
+    lost = g.edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_anti")
+    name = F.try_element_at(F.col("metadata"), F.lit("reference"))
+    kept = now.edges.select("source", "kind", name.alias("reference_name")).filter("reference_name is not null")
+    places = now.nodes.select(F.col("id").alias("from_node_id"), "file_path", "language")
+    gone = resurrected(lost).join(kept.withColumnRenamed("source", "from_node_id").withColumnRenamed("kind", "reference_kind"), ["from_node_id", "reference_name", "reference_kind"], "left_anti").join(places, "from_node_id")
+    gone = gone.withColumn("ref_id", F.xxhash64("from_node_id", "reference_name", "reference_kind", "line", "col"))
+    retry = R.retryable(refs, new.nodes.select("name"))
+    queue = refs.join(retry.select("ref_id"), "ref_id", "left_anti").select(*refs.columns).unionByName(retry.select(*refs.columns))
+    for more in (new.refs, conform(gone, REFS)):
+        queue = insert_refs(queue, more.select(*queue.columns)) if more is not None else queue
+    plain = now.edges.filter(F.coalesce(F.col("provenance"), F.lit("")) != "heuristic")
+    return index(Graph(now.nodes, cut(plain), now.files, cut(queue)), imports, source), again
+
+
 def macro_readers(contents: DataFrame, changed: DataFrame) -> DataFrame:
     """contents: (path, text); changed: (name). Files that mention a changed macro."""
     words = contents.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][A-Z0-9_]+)\b"), F.lit(1)))).alias("name"))

@@ -234,9 +234,9 @@ def _(spark, sf):
     return A.evaluation(found, cases).select("case_id", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "node_count", "pass")
 
 
-@query("w8_line_windows", "h AS (SELECT DISTINCT l_partkey%50 AS path, l_orderkey%997+1 AS line FROM lineitem WHERE l_partkey<100), e AS (SELECT CAST(path AS VARCHAR) AS path, greatest(line-2,1) AS s, line+2 AS f FROM h), b AS (SELECT *, max(f) OVER (PARTITION BY path ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e), i AS (SELECT *, sum(CASE WHEN p IS NULL OR s>p+1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s, f) AS g FROM b) SELECT path, min(s) AS start, max(f) AS \"end\" FROM i GROUP BY path, g", graph=False)
+@query("w8_line_windows", "h AS (SELECT DISTINCT l_partkey AS path, l_orderkey%997+1 AS line FROM lineitem), e AS (SELECT CAST(path AS VARCHAR) AS path, greatest(line-2,1) AS s, line+2 AS f FROM h), b AS (SELECT *, max(f) OVER (PARTITION BY path ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e), i AS (SELECT *, sum(CASE WHEN p IS NULL OR s>p+1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s, f) AS g FROM b) SELECT path, min(s) AS start, max(f) AS \"end\" FROM i GROUP BY path, g", graph=False)
 def _(spark, sf):
-    h = T.read(spark, sf, "lineitem").filter("l_partkey < 100").select((F.col("l_partkey") % 50).cast("string").alias("path"), (F.col("l_orderkey") % 997 + 1).alias("line")).distinct()
+    h = T.read(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("path"), (F.col("l_orderkey") % 997 + 1).alias("line")).distinct()
     return C.windows(h)
 
 
@@ -274,7 +274,8 @@ def _(spark, sf):
 
 @query("g3_callers", f"SELECT n.id, n.name, n.file_path, e.kind AS edge_kind, e.line AS edge_line FROM edges e JOIN nodes n ON n.id=e.source WHERE e.target='method:1' AND e.kind IN {CALLS} AND e.source<>e.target")
 def _(spark, sf):
-    return V.callers(graph(spark, sf, "calls", "references", "imports"), "method:1").select("id", "name", "file_path", "edge_kind", "edge_line")
+    g = Graph(T.nodes(spark, sf), T.edges(spark, sf, ("calls", "references", "imports"), near="method:1"))
+    return V.callers(g, "method:1").select("id", "name", "file_path", "edge_kind", "edge_line")
 
 
 @query("g3_callers_depth_2", f"{reach('r', 'interface:3', 'in', 2, ('calls', 'references', 'imports'))} SELECT id, min(depth) AS depth FROM r WHERE id<>'interface:3' GROUP BY 1")
@@ -284,7 +285,8 @@ def _(spark, sf):
 
 @query("g4_callees", f"SELECT n.id, n.name, e.kind AS edge_kind, e.line AS edge_line FROM edges e JOIN nodes n ON n.id=e.target WHERE e.source='method:2' AND e.kind IN {CALLS} AND e.source<>e.target")
 def _(spark, sf):
-    return V.callees(graph(spark, sf, "calls", "references", "imports"), "method:2").select("id", "name", "edge_kind", "edge_line")
+    g = Graph(T.nodes(spark, sf), T.edges(spark, sf, ("calls", "references", "imports"), near="method:2"))
+    return V.callees(g, "method:2").select("id", "name", "edge_kind", "edge_line")
 
 
 @query("g5_call_graph", f"{reach('u', 'method:2', 'in', 2, ('calls', 'references', 'imports'))}, {reach('d', 'method:2', 'out', 2, ('calls', 'references', 'imports'))} SELECT id FROM u UNION SELECT id FROM d")
@@ -304,7 +306,7 @@ def _(spark, sf):
 
 @query("g7_usages", "SELECT n.id, n.kind, e.kind AS edge_kind FROM edges e JOIN nodes n ON n.id=e.source WHERE e.target='interface:3'")
 def _(spark, sf):
-    return V.usages(graph(spark, sf), "interface:3").select("id", "kind", "edge_kind")
+    return V.usages(Graph(T.nodes(spark, sf), T.edges(spark, sf, near="interface:3")), "interface:3").select("id", "kind", "edge_kind")
 
 
 @query("g8_impact", "m AS (SELECT e.source AS a, e.target AS b FROM edges e JOIN nodes n ON n.id=e.source AND n.kind IN ('class','interface','struct','trait','protocol','module','enum') WHERE e.kind='contains'), r(id, depth) AS (SELECT 'interface:3', 0 UNION SELECT x.b, r.depth+x.w FROM r JOIN (SELECT a, b, 0 AS w FROM m UNION ALL SELECT target, source, 1 FROM edges WHERE kind<>'contains') x ON x.a=r.id WHERE r.depth+x.w<=2) SELECT id, min(depth) AS depth FROM r GROUP BY 1")
@@ -327,10 +329,10 @@ def _(spark, sf):
     return V.path(graph(spark, sf, "extends"), "method:2", "method:150", ("extends",)).select("step", "id")
 
 
-@query("g10_ancestors", "r(\"of\", id, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind='function' AND start_line<50 UNION ALL SELECT r.\"of\", e.source, r.depth+1 FROM r JOIN edges e ON e.target=r.id AND e.kind='contains') SELECT \"of\", id, depth FROM r WHERE depth>0")
+@query("g10_ancestors", "r(\"of\", id, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind='function' UNION ALL SELECT r.\"of\", e.source, r.depth+1 FROM r JOIN edges e ON e.target=r.id AND e.kind='contains') SELECT \"of\", id, depth FROM r WHERE depth>0")
 def _(spark, sf):
     g = graph(spark, sf, "contains")
-    return V.ancestors(g, g.nodes.filter("kind = 'function' and start_line < 50")).select("of", "id", "depth")
+    return V.ancestors(g, g.nodes.filter("kind = 'function'")).select("of", "id", "depth")
 
 
 @query("g11_children", "SELECT n.id, n.name FROM edges e JOIN nodes n ON n.id=e.target WHERE e.kind='contains' AND e.source='namespace:3'")
@@ -379,7 +381,14 @@ def _(spark, sf):
     return G.personal_rank(g, ["namespace:1", "namespace:2"], nodes=g.nodes.filter("kind = 'namespace'")).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query("g18_personal_rank_calls")
+def _rank_sql(kinds, seeds, rounds):
+    steps = [f"k{i} AS MATERIALIZED (SELECT id, sum(p) AS rank FROM (SELECT id, 0.25*r AS p FROM base UNION ALL SELECT s.b, 0.75*s.share*k.rank FROM step s JOIN k{i - 1} k ON k.id=s.a) GROUP BY 1)" for i in range(1, rounds + 1)]
+    return f"""both_ways AS (SELECT source AS a, target AS b FROM edges WHERE kind IN {kinds} UNION ALL SELECT target, source FROM edges WHERE kind IN {kinds}), w AS (SELECT a, b, count(*) AS n FROM both_ways GROUP BY ALL), d AS (SELECT a, sum(n) AS degree FROM w GROUP BY 1),
+step AS MATERIALIZED (SELECT w.a, w.b, CAST(w.n AS DOUBLE)/CAST(d.degree AS DOUBLE) AS share FROM w JOIN d ON d.a=w.a UNION ALL SELECT id, id, 1.0 FROM nodes WHERE id NOT IN (SELECT a FROM d)),
+base AS MATERIALIZED (SELECT id, CASE WHEN id IN {seeds} THEN 0.5 ELSE 0.0 END AS r FROM nodes), k0 AS (SELECT id, r AS rank FROM base), {", ".join(steps)} SELECT id, round(rank, 6) AS rank FROM k{rounds} WHERE round(rank, 6)>0"""
+
+
+@query("g18_personal_rank_calls", _rank_sql("('calls','references')", "('method:1','method:2')", 25))
 def _(spark, sf):
     return G.personal_rank(graph(spark, sf, "calls", "references"), ["method:1", "method:2"]).select("id", F.round("rank", 6).alias("rank")).filter("rank > 0")
 

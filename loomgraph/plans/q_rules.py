@@ -36,10 +36,11 @@ def _(spark, sf):
     return R.known(T.refs(spark, sf), T.nodes(spark, sf)).select("ref_id")
 
 
-@query("r0_external_filter", "SELECT ref_id FROM refs WHERE ref_id%15<>0")
+@query("r0_external_filter", "SELECT ref_id FROM refs WHERE NOT (ref_id%15=0 AND language IN ('python','go')) AND NOT (ref_id%15=5 AND language='go') AND NOT (ref_id%15=10 AND language='python')")
 def _(spark, sf):
     r = T.refs(spark, sf)
-    return R.external(r.withColumn("reference_name", F.when(F.col("ref_id") % 15 == 0, "java.util.List").otherwise(F.col("reference_name")))).select("ref_id")
+    k = F.col("ref_id") % 15
+    return R.external(r.withColumn("reference_name", F.when(k == 0, "print").when(k == 5, "fmt.Println").when(k == 10, "items.append").otherwise(F.col("reference_name"))), T.nodes(spark, sf)).select("ref_id")
 
 
 @query("r4_r6_exact_name", f"{_SCORED} SELECT ref_id, target, confidence FROM exact")
@@ -75,9 +76,7 @@ def _(spark, sf):
 
 @query("r14_r16_resolve", f"{_QUALIFIED}, {_SCORED} SELECT ref_id, target, confidence, 'qualified-name' AS resolved_by FROM qual UNION ALL SELECT ref_id, target, confidence, 'exact-match' FROM exact WHERE ref_id NOT IN (SELECT ref_id FROM qual)")
 def _(spark, sf):
-    g = graph(spark, sf)
-    refs = R.known(R.external(g.refs), g.nodes)
-    return R.first_hit(R.file_path(refs, g.nodes), R.qualified_name(refs, g.nodes), R.exact_name(refs, g.nodes), R.fuzzy(refs, g.nodes)).select("ref_id", "target", "confidence", "resolved_by")
+    return R.resolve(graph(spark, sf, "contains", "extends")).select("ref_id", "target", "confidence", "resolved_by")
 
 
 @query("r16_choose", "x AS (SELECT ref_id, 'a' AS target, CAST(0.7 AS DECIMAL(4,2)) AS confidence, 'exact-match' AS resolved_by, 0 AS s FROM refs UNION ALL SELECT ref_id, 'b', 0.95, 'qualified-name', 1 FROM refs WHERE ref_id%2=0 UNION ALL SELECT ref_id, 'c', 0.9, 'import', 2 FROM refs WHERE ref_id%3=0) SELECT ref_id, target, confidence, resolved_by FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY (resolved_by='import' AND confidence>=0.9) DESC, confidence DESC, s) AS k FROM x) WHERE k=1")
@@ -157,12 +156,12 @@ def _(spark, sf):
     return Y.interface_dispatch(_types(spark, sf)).select("source", "target")
 
 
-@query("y2_j13_satisfies", "want AS (SELECT DISTINCT 'i:'||l_orderkey AS target, l_returnflag||l_linestatus AS name FROM lineitem WHERE l_orderkey%10=0), size AS (SELECT target, count(*) AS n FROM want GROUP BY 1), have AS (SELECT DISTINCT 's:'||l_partkey AS source, l_returnflag||l_linestatus AS name FROM lineitem WHERE l_partkey%7=0), met AS (SELECT source, target, count(*) AS m FROM want JOIN have USING(name) GROUP BY ALL), p AS (SELECT source, met.target FROM met JOIN size ON size.target=met.target AND m=n) SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source) AS k FROM p) WHERE k<=40", graph=False)
+@query("y2_j13_satisfies", "want AS (SELECT 'i:'||l_orderkey AS target, list_sort(list(DISTINCT l_returnflag||l_linestatus)) AS m FROM lineitem GROUP BY 1), have AS (SELECT 's:'||l_partkey AS source, list_sort(list(DISTINCT l_returnflag||l_linestatus)) AS m FROM lineitem GROUP BY 1), sets AS (SELECT DISTINCT m FROM want), r AS (SELECT sets.m, source, row_number() OVER (PARTITION BY sets.m ORDER BY source) AS k FROM sets JOIN have ON list_has_all(have.m, sets.m)) SELECT source, target FROM want JOIN r ON r.m=want.m WHERE k<=40", graph=False)
 def _(spark, sf):
     li = T.read(spark, sf, "lineitem")
     name = F.concat("l_returnflag", "l_linestatus").alias("name")
-    i = li.filter("l_orderkey % 10 = 0").select(F.concat(F.lit("i:"), F.col("l_orderkey").cast("string")).alias("owner"), name).distinct()
-    s = li.filter("l_partkey % 7 = 0").select(F.concat(F.lit("s:"), F.col("l_partkey").cast("string")).alias("owner"), name).distinct()
+    i = li.select(F.concat(F.lit("i:"), F.col("l_orderkey").cast("string")).alias("owner"), name).distinct()
+    s = li.select(F.concat(F.lit("s:"), F.col("l_partkey").cast("string")).alias("owner"), name).distinct()
     both = i.unionByName(s)
     m = both.select(F.concat_ws("#", "owner", "name").alias("id"), F.lit("method").alias("kind"), "name", F.lit("a.go").alias("file_path"), F.lit("go").alias("language"))
     t = both.select(F.col("owner").alias("id"), F.when(F.col("owner").startswith("i:"), "interface").otherwise("struct").alias("kind"), F.col("owner").alias("name"), F.lit("a.go").alias("file_path"), F.lit("go").alias("language")).distinct()
@@ -170,10 +169,10 @@ def _(spark, sf):
     return Y.satisfies(Graph(conform(m, NODES).unionByName(conform(t, NODES)), conform(e, EDGES))).select("source", "target")
 
 
-@query("y5_j14_channel", "e AS (SELECT DISTINCT 'class:'||c_custkey AS id, CAST(c_custkey%211 AS VARCHAR) AS event FROM customer WHERE c_custkey%3=0), h AS (SELECT DISTINCT 'interface:'||s_suppkey AS id, CAST(s_suppkey%211 AS VARCHAR) AS event FROM supplier), ee AS (SELECT * FROM e WHERE event IN (SELECT event FROM e GROUP BY 1 HAVING count(*)<=6)), hh AS (SELECT * FROM h WHERE event IN (SELECT event FROM h GROUP BY 1 HAVING count(*)<=6)) SELECT ee.id AS source, hh.id AS target, event FROM ee JOIN hh USING(event)", graph=False)
+@query("y5_j14_channel", "e AS (SELECT DISTINCT 'class:'||c_custkey AS id, CAST(c_custkey//5 AS VARCHAR) AS event FROM customer), h AS (SELECT DISTINCT 'interface:'||s_suppkey AS id, CAST(s_suppkey//2 AS VARCHAR) AS event FROM supplier), ee AS (SELECT * FROM e WHERE event IN (SELECT event FROM e GROUP BY 1 HAVING count(*)<=6)), hh AS (SELECT * FROM h WHERE event IN (SELECT event FROM h GROUP BY 1 HAVING count(*)<=6)) SELECT ee.id AS source, hh.id AS target, event FROM ee JOIN hh USING(event)", graph=False)
 def _(spark, sf):
-    c = T.read(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("class:"), F.col("c_custkey").cast("string")).alias("id"), (F.col("c_custkey") % 211).cast("string").alias("event"), F.lit(1).alias("line"))
-    s = T.read(spark, sf, "supplier").select(F.concat(F.lit("interface:"), F.col("s_suppkey").cast("string")).alias("id"), (F.col("s_suppkey") % 211).cast("string").alias("event"))
+    c = T.read(spark, sf, "customer").select(F.concat(F.lit("class:"), F.col("c_custkey").cast("string")).alias("id"), F.expr("c_custkey div 5").cast("string").alias("event"), F.lit(1).alias("line"))
+    s = T.read(spark, sf, "supplier").select(F.concat(F.lit("interface:"), F.col("s_suppkey").cast("string")).alias("id"), F.expr("s_suppkey div 2").cast("string").alias("event"))
     return Y.channel(c, s).select("source", "target", F.element_at("metadata", "event").alias("event"))
 
 
@@ -183,7 +182,7 @@ def _c_parts(spark, sf):
     return p.select(F.concat(F.lit("f:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("function").alias("kind"), F.concat("p_brand", "p_name").alias("name"), F.concat(F.lit("p"), (F.col("p_partkey") % 9).cast("string"), F.when(decl, ".h").otherwise(".c")).alias("file_path"), F.lit("c").alias("language"), decl.alias("is_declaration"))
 
 
-@query("y10_declarations", "n AS (SELECT 'f:'||p_partkey AS id, p_brand||p_name AS name, p_size%5=0 AS d FROM part), dd AS (SELECT * FROM n WHERE d AND name IN (SELECT name FROM n WHERE d GROUP BY 1 HAVING count(*)<=40)), ff AS (SELECT * FROM n WHERE NOT d AND name IN (SELECT name FROM n WHERE NOT d GROUP BY 1 HAVING count(*)<=40)) SELECT dd.id AS source, ff.id AS target FROM dd JOIN ff USING(name)", graph=False)
+@query("y10_declarations", "n AS (SELECT 'f:'||p_partkey AS id, p_brand||p_name AS name, p_size%5=0 AS d FROM part), dd AS (SELECT * FROM n WHERE d), ff AS (SELECT * FROM n WHERE NOT d) SELECT dd.id AS source, ff.id AS target FROM dd JOIN ff USING(name)", graph=False)
 def _(spark, sf):
     g = Graph(conform(_c_parts(spark, sf), NODES), conform(spark.createDataFrame([], "source string"), EDGES))
     return Y.declarations(g).select("source", "target")
@@ -213,9 +212,9 @@ def _(spark, sf):
     return Y.cross_platform(Graph(conform(n, NODES), None)).select("source", "target")
 
 
-@query("y13_expect_actual", "n AS (SELECT 'm:'||p_partkey AS id, p_name AS q, p_partkey%3=0 AS e, p_partkey%7 AS f FROM part WHERE p_partkey<=150) SELECT a.id AS source, b.id AS target FROM n a JOIN n b ON a.q=b.q AND a.e AND NOT b.e AND a.f<>b.f", graph=False)
+@query("y13_expect_actual", "n AS (SELECT 'm:'||p_partkey AS id, p_name AS q, p_partkey%3=0 AS e, p_partkey%7 AS f FROM part) SELECT a.id AS source, b.id AS target FROM n a JOIN n b ON a.q=b.q AND a.e AND NOT b.e AND a.f<>b.f", graph=False)
 def _(spark, sf):
-    p, key = T.read(spark, sf, "part").filter("p_partkey <= 150"), F.col("p_partkey")
+    p, key = T.read(spark, sf, "part"), F.col("p_partkey")
     n = p.select(F.concat(F.lit("m:"), key.cast("string")).alias("id"), F.lit("method").alias("kind"), F.col("p_name").alias("name"), F.col("p_name").alias("qualified_name"), F.concat(F.lit("f"), (key % 7).cast("string")).alias("file_path"), F.lit("kotlin").alias("language"), F.array(F.when(key % 3 == 0, "expect").otherwise("actual")).alias("decorators"))
     return Y.expect_actual(Graph(conform(n, NODES), None)).select("source", "target")
 

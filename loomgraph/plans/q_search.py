@@ -173,11 +173,11 @@ def _(spark, sf):
     return C.definitions_of(hits, Graph(n, g.edges)).select("id", "score")
 
 
-@query("t17s_code_blocks", "n AS (SELECT doc_id, source||'/'||doc_id||'.txt' AS file_path, text FROM documents WHERE doc_id%7=0 ORDER BY doc_id LIMIT 5) SELECT 'd:'||doc_id AS id, file_path, CASE WHEN length(s)<=300 THEN s WHEN contains(substr(s,1,300),chr(10)) THEN regexp_replace(substr(s,1,300), '\\n[^\\n]*\\z','') ELSE substr(s,1,300) END AS source FROM (SELECT *, array_to_string(string_split(text,chr(10))[1:3],chr(10)) AS s FROM n)")
+@query("t17s_code_blocks", "n AS (SELECT doc_id, source||'/'||doc_id||'.txt' AS file_path, text FROM documents) SELECT 'd:'||doc_id AS id, file_path, CASE WHEN length(s)<=300 THEN s WHEN contains(substr(s,1,300),chr(10)) THEN regexp_replace(substr(s,1,300), '\\n[^\\n]*\\z','') ELSE substr(s,1,300) END AS source FROM (SELECT *, array_to_string(string_split(text,chr(10))[1:3],chr(10)) AS s FROM n) ORDER BY id LIMIT 50")
 def _(spark, sf):
-    d = T.read(spark, sf, "documents").filter("doc_id % 7 = 0").orderBy("doc_id").limit(5)
+    d = T.read(spark, sf, "documents")
     n = d.select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"), F.lit("x").alias("name"), F.lit("function").alias("kind"), F.lit("text").alias("language"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.lit(1).alias("start_line"), F.lit(3).alias("end_line"), F.lit(True).alias("root"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("qualified_name"))
-    return C.code_blocks(n, _contents(spark, sf), 5, 300).select("id", "file_path", "source")
+    return C.code_blocks(n, _contents(spark, sf), 50, 300).select("id", "file_path", "source")
 
 
 @query("t20s_explore")

@@ -33,8 +33,10 @@ class Pack:
         def extract(path: str, text: str):
             nodes, refs = [], []
             for kind, p in compiled:
-                for m in p.finditer(text):
-                    line = text.count("\n", 0, m.start()) + 1
+                at, line = 0, 1
+                for m in p.finditer(text):  # matches are in order: lines are counted on
+                    line += text.count("\n", at, m.start())
+                    at = m.start()
                     nodes.append((kind, m[1], line))
                     if p.groups > 1 and m[2]:
                         refs.append((m[2], "references", line))
@@ -103,6 +105,22 @@ def setter_property(selector: Column) -> Column:
     return F.when(name != "", F.concat(F.lower(F.substring(name, 1, 1)), F.substr(name, F.lit(2))))
 
 
+def property_setter(name: Column) -> Column:
+    """The selector that sets a property: ``name`` gives ``setName:``."""
+    return F.concat(F.lit("set"), F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2)), F.lit(":"))
+
+
+def selectors_of(name: Column, labels: Column) -> Column:
+    """The selectors that a Swift function of these argument labels may have in
+    Objective-C: the base name with each label, the first behind ``With`` or a
+    preposition, or as a part of its own; a base without labels is itself."""
+    first = F.element_at(labels, 1)
+    head = F.concat(F.upper(F.substring(first, 1, 1)), F.substr(first, F.lit(2)))
+    rest = F.array_join(F.transform(F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: F.concat(x, F.lit(":"))), "")
+    with_first = F.array(F.concat(name, F.lit("With"), head, F.lit(":"), rest), F.concat(name, head, F.lit(":"), rest), F.concat(name, F.lit(":"), first, F.lit(":"), rest))
+    return F.when(F.size(labels) == 0, F.array(name)).when(first == "_", F.array(F.concat(name, F.lit(":"), rest))).otherwise(with_first)
+
+
 def receiver_types(source: DataFrame) -> DataFrame:
     """source: (id, text). (id, receiver, type_name): declared types of locals and
     fields, in the forms ``Type name``, ``name: Type``, ``name = new Type(``,

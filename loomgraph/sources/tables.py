@@ -65,10 +65,18 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(out, NODES)
 
 
-def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("contains", "calls", "references", "extends", "imports")) -> DataFrame:
-    """Only the tables of the wanted kinds are read."""
+def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("contains", "calls", "references", "extends", "imports"), near: str | None = None) -> DataFrame:
+    """Only the tables of the wanted kinds are read; with ``near``, a node's id, only
+    rows of which it is an end: its key is compared with the tables' own columns, so
+    the comparison reaches the Parquet scan."""
+    at, _, number = near.partition(":") if near else ("", "", "")
 
     def edge(df, kind, a, source, b, target, line=None):
+        if near:
+            mine = F.lit(False)
+            for prefix, key in ((a, source), (b, target)):
+                mine = mine | (key == int(number)) if prefix == at else mine
+            df = df.filter(mine)
         return df.select(
             F.concat(F.lit(f"{a}:"), source.cast("string")).alias("source"), F.concat(F.lit(f"{b}:"), target.cast("string")).alias("target"),
             F.lit(kind).alias("kind"), (F.lit(None) if line is None else line).cast("int").alias("line"),

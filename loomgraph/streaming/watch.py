@@ -49,6 +49,18 @@ def backoff_ms(base_ms: int, failures: int) -> int:
     return min(base_ms * 2 ** max(0, failures - 1), BACKOFF_MOST_MS)
 
 
+def reconcile(paths: DataFrame, most: int = SCOPED) -> DataFrame:
+    """(mode, paths): ``none``, ``scoped`` for at most ``most`` changed paths, ``full``."""
+    n = F.count(F.lit(1))
+    return paths.agg(F.when(n == 0, "none").when(n <= most, "scoped").otherwise("full").alias("mode"), n.alias("paths"))
+
+
+def retry_after(failures: Column, base_ms: int = GAP_MS) -> Column:
+    """:func:`backoff_ms` as a column."""
+    doubled = F.lit(base_ms) * F.pow(F.lit(2), F.least(F.greatest(failures - 1, F.lit(0)), F.lit(30)))
+    return F.least(doubled, F.lit(BACKOFF_MOST_MS)).cast("long")
+
+
 def latest(events: DataFrame) -> DataFrame:
     """One row of each path of a micro-batch: its last event."""
     return events.groupBy("path").agg(F.max_by("event", F.struct("ts", "event")).alias("event"), F.max("ts").alias("ts"))

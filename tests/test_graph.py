@@ -187,8 +187,8 @@ def test_rules_on_text(spark):
 def test_parameter_keys(spark):
     from loomgraph.functions.cpp import parameter_key, without_comments
 
-    df = spark.createDataFrame([("void f(const int a, std::map<K, V> *m)",), ("f(int, std::map<K,V>* other = nullptr)",), ("f(void)",), ("f",), (None,)], "s string")
-    assert [r[0] for r in df.select(parameter_key("s")).collect()] == ["int,std::map<K,V>*", "int,std::map<K,V>*", "", None, None]
+    df = spark.createDataFrame([("void f(const int a, std::map<K, V> *m)", "f"), ("f(int, std::map<K,V>* other = nullptr)", None), ("f(void)", "f"), ("f", "f"), (None, "f"), ("bool operator()(int)", "operator()"), ("bool operator()(double x)", "operator()")], "s string, n string")
+    assert [r[0] for r in df.select(parameter_key("s", "n")).collect()] == ["int,std::map<K,V>*", "int,std::map<K,V>*", "", None, None, "int", "double"]
     code = spark.createDataFrame([('x = "# no" # yes', "python"), ("a /* b\nc */ d // e", "go"), (None, "go")], "t string, l string")
     assert [r[0] for r in code.select(without_comments("t", "l")).collect()] == ['x = "# no"      ', "a     \n     d     ", None]
 
