@@ -557,6 +557,22 @@ def _(spark, sf):
     return out.edges.select("source", "target", "kind")
 
 
+@query("build_index_imports", "SELECT 'u:'||s_suppkey AS source, unnest(['n:'||s_suppkey,'h:'||s_suppkey]) AS target, unnest(['import','event-emitter']) AS by FROM supplier", graph=False)
+def _(spark, sf):
+    """An index of files that import from each other, with rules over their text."""
+    s, k = T.read(spark, sf, "supplier"), key("s_suppkey")
+    main, lib = text("src/m", k, ".ts"), text("src/lib", k, ".ts")
+    one = lambda pre, name, at: rows(s, NODES, id=text(pre, k), kind="function", name=text(name, k), qualified_name=text(name, k), file_path=at, language="typescript", start_line=1, is_exported=True)
+    nodes = one("u:", "use", main).unionByName(one("h:", "hear", main)).unionByName(one("n:", "fn", lib))
+    refs = rows(s, REFS, ref_id=F.col("s_suppkey"), from_node_id=text("u:", k), reference_name=text("f", k), reference_kind="calls", line=F.lit(3), col=F.lit(0), file_path=main, language="typescript", status="pending")
+    files = conform(nodes.select(F.col("file_path").alias("path"), "language").distinct(), FILES)
+    contents = s.select(main.alias("file_path"), F.lit("typescript").alias("language"), text("import { fn", k, " as f", k, " } from './lib", k, "'\n").alias("text"))
+    source = s.select(text("u:", k).alias("id"), main.alias("file_path"), text("bus.emit('e", k, "')").alias("text")).unionByName(s.select(text("h:", k).alias("id"), main.alias("file_path"), text("bus.on('e", k, "', hear", k, ")").alias("text")))
+    out = build.index(Graph(nodes, no_edges(spark), files, refs), I.Imports(I.bindings(contents)), source)
+    m = F.col("metadata")
+    return out.edges.select("source", "target", F.coalesce(F.try_element_at(m, F.lit("resolvedBy")), F.try_element_at(m, F.lit("synthesizedBy"))).alias("by"))
+
+
 # -- terms, parser, prose -----------------------------------------------------
 
 

@@ -345,7 +345,7 @@ def _(spark, sf):
     return S.extract(p, [rule]).select("path", "name", "kind")
 
 
-@query("build_index")
+@query("build_index", f"{_QUALIFIED}, {_SCORED}, found AS (SELECT ref_id FROM qual UNION SELECT ref_id FROM exact) SELECT kind, '' AS provenance, count(*) AS n FROM (SELECT kind FROM edges UNION ALL SELECT reference_kind FROM refs JOIN found USING (ref_id)) GROUP BY 1")
 def _(spark, sf):
     g = graph(spark, sf)
     out = build.index(g)
