@@ -679,3 +679,20 @@ def _(spark, sf):
         found = SF.extract(contents, rule).select(F.lit(pack).alias("pack"), "what", "kind", "name")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+@query("fw_detected", "SELECT unnest(['express','react','rails','django','rust-web','cargo-workspace']) AS pack", graph=False)
+def _(spark, sf):
+    """Manifests among as many other files as there are documents."""
+    d = T.read(spark, sf, "documents").select(text("docs/d", key("doc_id"), ".md").alias("path"), "text")
+    own = [("web/package.json", '{"dependencies": {"express": "4", "react": "18"}}'), ("Gemfile", "gem 'rails'"), ("app/manage.py", "import django"), ("Cargo.toml", "[workspace]\n[dependencies]\naxum = 1\n"), ("notes/package.txt", '"vue"')]
+    return FW.detected(d.unionByName(spark.createDataFrame(own, "path string, text string")))
+
+
+@query("fw_handlers", "SELECT n_nationkey AS ref_id, unnest_t AS target FROM (SELECT n_nationkey, CASE n_nationkey%3 WHEN 0 THEN 'r:'||n_nationkey WHEN 1 THEN 'l:'||n_nationkey ELSE 'd:'||n_nationkey END AS unnest_t FROM nation)", graph=False)
+def _(spark, sf):
+    n, k, i = T.read(spark, sf, "nation"), key("n_nationkey"), F.col("n_nationkey")
+    one = lambda pre, kind, qualified, at: rows(n, NODES, id=text(pre, k), kind=kind, name=text("show", k), qualified_name=qualified, file_path=at, language="x")
+    nodes = one("r:", "method", text("UserItemsController::show", k), "c.rb").unionByName(one("l:", "method", text("PostController::show", k), "c.php")).unionByName(one("d:", "function", text("show", k), "blog/views.py"))
+    refs = rows(n, REFS, ref_id=i, reference_kind="references", reference_name=F.when(i % 3 == 0, text("admin/user_items#show", k)).when(i % 3 == 1, text("PostController@show", k)).otherwise(text("blog.views.show", k)))
+    return FW.resolved_handlers(refs, nodes, ("rails", "laravel", "django")).select("ref_id", "target")

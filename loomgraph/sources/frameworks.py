@@ -81,6 +81,80 @@ def install(names: tuple[str, ...] | None = None) -> list[Rule]:
     return made
 
 
+# -- hooks: which packs apply, which references they answer --------------------
+
+#: What in a project's files says that it uses a framework: a pattern of paths and
+#: one of text (this library's own choice of signs).
+SIGNS = {
+    "laravel": (r"(^|/)composer\.json$|(^|/)artisan$", r"laravel/framework|#!/usr/bin/env php"),
+    "drupal": (r"\.info\.yml$", r"core_version_requirement"),
+    "express": (r"(^|/)package\.json$", r"\"express\""),
+    "nestjs": (r"(^|/)package\.json$", r"\"@nestjs/core\""),
+    "react": (r"(^|/)package\.json$", r"\"react\""),
+    "svelte": (r"(^|/)package\.json$", r"\"svelte\""),
+    "vue": (r"(^|/)package\.json$", r"\"(vue|nuxt)\""),
+    "django": (r"(^|/)(manage\.py|requirements\.txt|pyproject\.toml)$", r"(?i)django"),
+    "flask": (r"\.(py|txt|toml)$", r"(?i)\bflask\b"),
+    "fastapi": (r"\.(py|txt|toml)$", r"(?i)\bfastapi\b"),
+    "rails": (r"(^|/)Gemfile$", r"['\"]rails['\"]"),
+    "spring": (r"(^|/)(pom\.xml|build\.gradle(\.kts)?)$", r"springframework"),
+    "play": (r"(^|/)(build\.sbt|plugins\.sbt|conf/routes)$", r"(?s)."),
+    "go-web": (r"(^|/)go\.mod$", r"gin-gonic/gin|labstack/echo|go-chi/chi|gorilla/mux|gofiber/fiber"),
+    "rust-web": (r"(^|/)Cargo\.toml$", r"(?m)^(actix-web|axum|rocket|warp)\b"),
+    "aspnet": (r"\.csproj$", r"Microsoft\.NET\.Sdk\.Web|AspNetCore"),
+    "swiftui": (r"\.swift$", r"(?m)^import SwiftUI"),
+    "uikit": (r"\.swift$", r"(?m)^import UIKit"),
+    "vapor": (r"(^|/)Package\.swift$", r"vapor/vapor"),
+    "react-native": (r"(^|/)package\.json$", r"\"react-native\""),
+    "expo-modules": (r"(^|/)(package|expo-module\.config)\.json$", r"expo-modules-core|\"platforms\""),
+    "fabric": (r"\.[jt]sx?$", r"codegenNativeComponent"),
+    "cargo-workspace": (r"(^|/)Cargo\.toml$", r"(?m)^\[workspace\]"),
+}
+#: Forms of handler names that a framework's routes have: a pattern with the owner and
+#: the member, and how the owner's class or file is called.
+HANDLERS = {
+    "rails": (r"^(?:\w+/)*(\w+)#(\w+)$", "pascal-controller"),
+    "laravel": (r"^(?:\w+\\\\)*(\w+)@(\w+)$", "class"),
+    "django": (r"^(?:\w+\.)*(\w+)\.(\w+)$", "file"),
+    "play": (r"^(?:\w+\.)*(\w+)\.(\w+)$", "class"),
+    "drupal": (r"^(?:\\\\?\w+\\\\)*(\w+)::(\w+)$", "class"),
+}
+
+
+def detected(contents: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """contents: (path, text). (pack): the packs whose sign some file shows. One scan
+    for all packs."""
+    hits = [F.when(F.col("path").rlike(at) & F.col("text").rlike(says), F.lit(name)) for name, (at, says) in SIGNS.items() if names is None or name in names]
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return contents.select(F.explode(found).alias("pack")).distinct()
+
+
+def claimed(refs: DataFrame, packs: tuple[str, ...]) -> DataFrame:
+    """(ref_id, pack, owner, member) of references in the form of a pack's handlers;
+    they are not to be dropped as unknown names before the pack has seen them."""
+    out = None
+    for name in packs:
+        pattern, _ = HANDLERS[name]
+        owner, member = (F.regexp_extract("reference_name", pattern, i) for i in (1, 2))
+        rows = refs.select("ref_id", F.lit(name).alias("pack"), owner.alias("owner"), member.alias("member")).filter("member <> ''")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def resolved_handlers(refs: DataFrame, nodes: DataFrame, packs: tuple[str, ...]) -> DataFrame:
+    """(ref_id, target, confidence, resolved_by): claimed references to the member of
+    that class, or in that file; rows for the index's ``claims``."""
+    claims = claimed(refs, packs)
+    camel = F.array_join(F.transform(F.split("owner", "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+    ways = {name: HANDLERS[name][1] for name in packs}
+    way = F.try_element_at(F.create_map(*(F.lit(x) for pair in ways.items() for x in pair)), F.col("pack"))
+    asked = claims.withColumn("way", way).withColumn("key", F.when(F.col("way") == "pascal-controller", F.concat(camel, F.lit("Controller"))).otherwise(F.col("owner")))
+    n = nodes.filter(F.col("kind").isin("method", "function")).select("name", F.col("id").alias("target"), F.regexp_extract(F.coalesce("qualified_name", "name"), r"(\w+)(?:::|\.)\w+$", 1).alias("class"), F.regexp_extract("file_path", r"(\w+)\.\w+$", 1).alias("file"))
+    met = asked.join(n, F.col("member") == F.col("name")).filter(F.when(F.col("way") == "file", F.col("key") == F.col("file")).otherwise(F.col("key") == F.col("class")))
+    best = met.groupBy("ref_id").agg(F.min("target").alias("target"))
+    return best.select("ref_id", "target", F.lit(0.9).alias("confidence"), F.lit("framework").alias("resolved_by"))
+
+
 def prefixed_routes(routes: DataFrame, prefixes: DataFrame) -> DataFrame:
     """routes: (path, name, ...), prefixes: (path, prefix). Routes of a file with the
     prefix that its controller has, joined by one slash."""
