@@ -6,17 +6,21 @@ vectors, permuted by two, one and no places; a document is the bundle (sum) of
 its trigrams, and a language the bundle of its documents, each of length one.
 A document gets the language of the largest cosine; ties go to the smaller name.
 
-Letters are lower-cased; whatever is no letter is a boundary, which takes part
-in a trigram at its first or last place only.
+Letters are lower-cased; marks that combine with letters go with them. Whatever
+else is a boundary, which takes part in a trigram at its first or last place only.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as
 is every text where nothing could be learned. A null doc_id counts as the empty
 text in the fold rule, so it is held out. Repeated rows are learned as often as
-they occur. An empty table gives an empty result.
+they occur. Of more than ``MOST_LANGUAGES`` names in ``lang`` the most frequent are
+learned, the smaller in a tie. Very long texts are bundled in blocks of whole texts,
+their vectors 8192 trigrams at a time. Extra columns are ignored, and kept by
+:func:`keep`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,7 @@ FOLDS = 5
 #: are below).
 LEAST_SCORE = 0.3
 #: Languages that may be learned; their profiles are sent to the executors.
-MOST_LANGUAGES = 20_000
+MOST_LANGUAGES = 10_000
 _SCALE = 1 << 20
 #: Trigram vectors that a worker keeps.
 _KEPT = 30_000
@@ -45,7 +49,7 @@ class Bundler:
 
     def __init__(self, dim: int = DIM):
         self.dim, self.letters = dim, {}
-        self.alpha = np.zeros(0x110000, bool)
+        self.alpha = np.zeros(0x110000, np.int8)  # 1 for letters, 2 for marks
         self.known = np.zeros(0x110000, bool)
         self._reset()
 
@@ -81,9 +85,9 @@ class Bundler:
     def _letters(self, cp: np.ndarray) -> np.ndarray:
         new = np.unique(cp[~self.known[cp]])
         for x in new.tolist():
-            self.alpha[x] = chr(x).isalpha()
+            self.alpha[x] = 1 if chr(x).isalpha() else 2 if unicodedata.category(chr(x))[0] == "M" else 0
         self.known[new] = True
-        return np.where(self.alpha[cp], cp, 0).astype(np.int64)
+        return np.where(self.alpha[cp] > 0, cp, 0).astype(np.int64)
 
     def trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of the text and the key of every trigram."""
@@ -92,6 +96,9 @@ class Bundler:
         text = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
         code = self._letters(cp)
         text = np.concatenate([[0], text])
+        if (self.alpha[cp] == 2).any():  # marks alone make no text
+            spoken = np.bincount(text[self.alpha[cp] == 1], minlength=len(low)) > 0
+            code = np.where(spoken[np.minimum(text, len(low) - 1)], code, 0)
         stays = np.concatenate([[True], (code[1:] != 0) | (code[:-1] != 0)])
         code, text = code[stays], text[stays]
         if len(code) < 3:
@@ -169,13 +176,16 @@ def learn(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
 
     taught = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
     if taught.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: lang holds something else")
+        most = taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+        taught = taught.join(most.select("lang"), "lang", "left_semi").select("text", "lang")
     cells = taught.mapInArrow(bundled, "lang string, place int, total long").groupBy("lang", "place").agg(F.sum("total").alias("total"))
-    got = cells.toPandas()
-    names = sorted(set(got["lang"]))
-    profiles = np.zeros((len(names), dim))
-    profiles[np.searchsorted(names, got["lang"]) if names else [], got["place"].astype(int)] = got["total"]
-    return names, profiles
+    # a row of ``dim`` floats for each language
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("place", "total"))), lambda c: c["total"].cast("float"))
+    got = cells.groupBy("lang").agg(whole.alias("profile")).toArrow()
+    names = got.column("lang").to_pylist()
+    profiles = got.column("profile").combine_chunks().flatten().to_numpy().astype(np.float32).reshape(len(names), dim)
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return [names[i] for i in order], profiles[order]
 
 
 def predict(texts: list[str], names: list[str], profiles: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -183,7 +193,7 @@ def predict(texts: list[str], names: list[str], profiles: np.ndarray) -> tuple[l
     size = np.linalg.norm(d, axis=1)
     if not names:
         return ["und"] * len(texts), np.zeros(len(texts))
-    near = d @ (profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-300)).T / np.maximum(size, 1e-300)[:, None]
+    near = d @ (profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-30)).T / np.maximum(size, 1e-300)[:, None]
     best = near.argmax(1)
     found = size > 0
     score = np.where(found, np.clip(near[np.arange(len(texts)), best], 0, 1), 0.0)

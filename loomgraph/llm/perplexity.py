@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import weakref
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,7 +62,7 @@ SHORT = 400
 BINS = 4096
 #: Entries of a part of the model, parts that a worker keeps, characters that it
 #: scores under part after part.
-PART, KEPT, HELD = 1 << 20, 4, 1 << 22
+PART, KEPT, HELD = 1 << 19, 1, 1 << 22
 #: Unicode's noncharacters, which stand for the begin and the end of a text.
 BEGIN, END = "\uffff", "\ufffe"
 _AGAIN = str.maketrans({BEGIN: "\ufffd", END: "\ufffd"})
@@ -230,7 +231,7 @@ class Counter:
             self.rows -= sum(len(p[0]) for p in parts)
             self.held[key] = [self._merged(parts)]
             self.rows += len(self.held[key][0][0])
-        if self.rows > 1 << 22:  # bounded, whatever the alphabet
+        if self.rows > 1 << 21:  # bounded, whatever the alphabet
             yield from self.rest()
 
     @staticmethod
@@ -427,12 +428,12 @@ class Known:
     (model, gram): what is not or no longer there is computed again."""
 
     def __init__(self, bits: int = 21):
-        self.model, self.mask = None, np.uint64((1 << bits) - 1)
+        self.model, self.mask = lambda: None, np.uint64((1 << bits) - 1)
         self.keys, self.lp = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
 
     def of(self, model) -> "Known":
-        if self.model is not model:
-            self.model = model
+        if self.model() is not model:  # held weakly, so that a worker lets go of old models
+            self.model = weakref.ref(model)
             self.keys[:] = 0
         return self
 

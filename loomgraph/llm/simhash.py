@@ -54,7 +54,7 @@ MATCHES = 8 - BITS
 #: those above which a list is dealt out.
 ROWS, HOT = 2048, 16384
 #: The stage's word prints, and the bits and shingle of the print that verifies.
-SEEDS, CHECK, CHECK_WORDS = 4, 256, 5
+SEEDS, CHECK, CHECK_WORDS = 3, 256, 5
 #: Least estimated similarity: 0.8 less about twice the error of CHECK bits.
 LEAST = 0.7
 _POSTED = "list int, key long, id long, fp long"

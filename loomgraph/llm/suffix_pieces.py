@@ -13,8 +13,16 @@ BPE never forms are left out. Words are cut where no piece goes across: before a
 space mark that follows another character, and around characters that no piece
 has, which become byte pieces.
 
-Defined cases: a null text is empty and has no tokens. Repeated rows give repeated
-rows. An empty table gives an empty result. Special strings in a text are text.
+A run longer than ``INDEXED`` characters is indexed window by window: what is
+relaxed at a position depends on the positions before it alone, so windows that
+overlap by the longest piece give the same path in bounded memory.
+
+Defined cases: a null text is empty and has no tokens. Very long texts and texts
+without a space are encoded whole, in memory in proportion to their tokens. Of pieces
+of equal score the one of smaller id is preferred, as the library does. Repeated rows
+give repeated rows; extra columns are ignored by :func:`encode` and kept by
+:func:`decode`. An empty table gives an empty result. Special strings in a text are
+text.
 """
 
 from __future__ import annotations
@@ -36,6 +44,8 @@ SPACE = "▁"
 #: Characters of texts that are cut at once, and of new words that are indexed
 #: together; entries of a worker's tables.
 BLOCK, INDEXED, WORDS, PAIRS = 1 << 21, 1 << 18, 400_000, 400_000
+#: Characters of the longest word that the table keeps.
+LONG = 256
 _NEVER = 1 << 40
 
 
@@ -171,6 +181,34 @@ class Pieces:
         stops = (4 * np.cumsum(np.bincount(w, minlength=len(words)))).tolist()
         return [raw[x:y] for x, y in zip([0, *stops], stops)]
 
+    def encode_long(self, run: str) -> bytes:
+        """As :func:`encode_words` for one run of known characters, by windows."""
+        ended, n, lengths = array("i", [-1]) * (len(run) + 1), len(self.text), self.lengths.tolist()
+        known = self.pairs
+        for a in range(0, len(run), INDEXED):
+            window = run[a : a + INDEXED + self.longest]
+            start, rank = self.edges(np.frombuffer(window.encode("utf-32-le"), np.uint32))
+            mine = start < INDEXED
+            start, rank = start[mine], rank[mine]
+            by = np.argsort(start + self.lengths[rank], kind="stable")
+            if len(known) > PAIRS:
+                known.clear()
+            for s, r in zip((start[by] + a).tolist(), rank[by].tolist()):
+                ok = not s
+                if s and (before := ended[s]) >= 0:
+                    ok = known.get(before * n + r)
+                    if ok is None:
+                        ok = known[before * n + r] = self.together(before, r)
+                if ok:
+                    ended[s + lengths[r]] = r
+        found, at = array("i"), len(run)
+        while at:
+            if ended[at] < 0:
+                raise AssertionError(f"no path to {at} of {run[:40]!r}")
+            found.append(ended[at])
+            at -= lengths[ended[at]]
+        return self.ids[np.frombuffer(found, np.int32)[::-1]].astype("<u4").tobytes()
+
     def _learn(self, new: list[str]) -> None:
         parts: dict[str, list[str]] = {}
         runs: set[str] = set()
@@ -183,6 +221,8 @@ class Pieces:
                 runs.add(w)
         runs = list(runs)
         made: dict[str, bytes] = {}
+        made.update((r, self.encode_long(r)) for r in runs if len(r) > INDEXED)
+        runs = [r for r in runs if len(r) <= INDEXED]
         for a, b in common.blocks([len(r) + 1 for r in runs], INDEXED):
             made.update(zip(runs[a:b], self.encode_words(runs[a:b])))
         for w in new:
@@ -210,6 +250,9 @@ class Pieces:
             get = self.table.__getitem__
             for words in cut:
                 yield b"".join(map(get, words))
+            for w in new:
+                if len(w) > LONG:  # not worth their memory
+                    del self.table[w]
 
     def decode(self, raw: bytes) -> str:
         """The text of ids: byte pieces as UTF-8, space marks as spaces, without the

@@ -8,12 +8,14 @@ frequencies to that table and adds up; token ids are never kept. The table is
 bounded by characters; when full it is begun anew, which costs time, not results.
 
 A join of all (document, pre-token) pairs through a shuffle would move more
-bytes than the input has (about as many pairs as there are words), so the join
-is made where the documents are.
+bytes than the input has: 317 distinct pre-tokens a document on the check data, 81
+million pairs of some 16 bytes, 1.3 GB for 0.51 GB. So the join is made where the
+documents are.
 
 Defined cases: a null text is empty and has no tokens. Special strings inside a
-text are special tokens, the library's default. Repeated rows give repeated
-rows. An empty table gives an empty result.
+text are special tokens, the library's default. Very long texts are counted whole, in
+blocks of whole texts. Ties do not arise. Repeated rows give repeated rows; extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

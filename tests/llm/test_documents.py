@@ -494,22 +494,27 @@ def test_rows_that_repeat_an_id_are_judged_by_themselves(spark):
     assert {(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()} == {(3, t1), (5, t2), (None, "alone and without an id it stays")}
 
 
-def slow_jaccard(a, b, n=5):
-    sh = [{tuple(t.lower().split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b)]
-    return len(sh[0] & sh[1]) / max(1, len(sh[0] | sh[1]))
+def five_words(t):
+    w = t.lower().split()
+    return set(zip(*(w[k:] for k in range(5))))
+
+
+def slow_jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
 
 
 def test_the_stage_finds_near_copies_and_leaves_others(spark):
     """Copies of which some words are changed, against exact five-word similarity."""
     source = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en' and length(text) between 800 and 4000").orderBy("doc_id").dropDuplicates(["text"]).limit(160).collect()]
-    source = [t for i, t in enumerate(source) if all(slow_jaccard(t, x) < 0.3 for x in source[:i])][:120]
+    sets = [five_words(t) for t in source]
+    source = [t for i, t in enumerate(source) if all(slow_jaccard(sets[i], s) < 0.3 for s in sets[:i])][:120]
     rng = np.random.default_rng(1)
     own, pairs = list(source), []
     for i, t in enumerate(source[:90]):
         w = t.split()
         for at in rng.choice(len(w), max(1, int(len(w) * (0.002, 0.01, 0.1)[i % 3])), replace=False):
             w[at] = f"new{at}"
-        pairs.append((i, len(own), slow_jaccard(t, " ".join(w))))
+        pairs.append((i, len(own), slow_jaccard(five_words(t), five_words(" ".join(w)))))
         own.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
@@ -564,6 +569,19 @@ def test_bundles(t):
     assert np.array_equal(language.bundles([t, "zz", t])[2], slow_bundle(t))
 
 
+def test_marks_go_with_letters_but_are_none():
+    hindi = "हिन्दी"
+    assert np.any(language.bundles([hindi])[0] != language.bundles([hindi.replace("\u093f", " ")])[0])
+    assert not language.bundles(["\u0301\u0302 \u0303", "12"]).any()
+
+
+def test_the_most_frequent_of_too_many_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows_ = [(i, f"some words {i}", ("aa", "bb", "bb", "cc", "cc", "cc")[i % 6]) for i in range(60)]
+    names, profiles = language.learn(spark.createDataFrame(rows_, "doc_id long, text string, lang string"))
+    assert names == ["bb", "cc"] and profiles.shape == (2, language.DIM)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -692,6 +710,14 @@ def test_pieces_are_those_of_the_library(t):
         assert tool.decode(raw) == sp.decode(sp.encode(text)) and ("▁" in t or tool.decode(raw) == text)
 
 
+@pytest.mark.parametrize("t", ["ab" * 400, "".join("abcdefghij"[i * i % 10] for i in range(900)), "word" * 50 + "😀" + "x" * 300, "漢字仮名" * 90])
+def test_long_runs_are_encoded_by_windows(t, monkeypatch):
+    monkeypatch.setattr(suffix_pieces, "INDEXED", 64)
+    tool, sp = suffix_pieces.Pieces(suffix_pieces.vocabulary(suffix_pieces.MODEL)), library()
+    assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode([t, t + " a", t])] == [sp.encode(x) for x in (t, t + " a", t)]
+    assert not any(len(w) > suffix_pieces.LONG for w in tool.table)
+
+
 def test_pieces_of_tables(docs, none, real, monkeypatch):
     sp = library()
     for df in (docs, real):
