@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch that crosses into Python. Very long texts then come
 #: a few at a time, whatever the number of rows in a batch would be.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Characters that a worker handles at once with vector operations.
 BLOCK_CHARS = 1 << 21
 
@@ -53,9 +56,18 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    """Delete a stashed table when the program ends, if its session is still there."""
+    with contextlib.suppress(Exception):
+        sc = spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bound_batches(spark: SparkSession, rows: int = 4096) -> None:
     """Bound the Arrow batches of this session by bytes as well as by rows, and
     let Python workers of this machine find the package (on a cluster it is sent
@@ -83,6 +95,47 @@ def ddl(schema: StructType, more: str) -> StructType:
     return out
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system, where that can be
+    asked for: workers are reused, and the next stage may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+Batches = Iterator[pa.RecordBatch]
+#: What a worker keeps from task to task, by the module that keeps it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, forget: Callable[[], None]) -> None:
+    """Say how to forget what ``module`` keeps in a worker from task to task."""
+    _kept[module] = forget
+
+
+def begin(module: str) -> None:
+    """A worker that served another operator before forgets what that one kept."""
+    for other, forget in _kept.items():
+        if other != module:
+            forget()
+    give_back()
+
+
+def lean(f: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``f`` over a partition's batches, with the memory of other operators and of
+    earlier tasks given back first."""
+    module = f.__module__
+
+    def run(batches: Batches) -> Batches:
+        begin(module)
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,7 +14,7 @@ is every text where nothing could be learned. A null doc_id counts as the empty
 text in the fold rule, so it is held out. Repeated rows are learned as often as
 they occur. Of more than ``MOST_LANGUAGES`` names in ``lang`` the most frequent are
 learned, the smaller in a tie. Very long texts are bundled in blocks of whole texts,
-their vectors 8192 trigrams at a time. Extra columns are ignored, and kept by
+their vectors 2048 trigrams at a time. Extra columns are ignored, and kept by
 :func:`keep`. An empty table gives an empty result.
 """
 
@@ -40,8 +40,8 @@ LEAST_SCORE = 0.3
 #: Languages that may be learned; their profiles are sent to the executors.
 MOST_LANGUAGES = 10_000
 _SCALE = 1 << 20
-#: Trigram vectors that a worker keeps.
-_KEPT = 30_000
+#: Trigram vectors that a worker keeps, and that it multiplies at once.
+_KEPT, WIDE = 30_000, 2048
 
 
 class Bundler:
@@ -113,9 +113,9 @@ class Bundler:
         out = np.zeros((len(texts), self.dim), np.float32)
         if len(keys):
             grams, at = _distinct(keys)
-            for a in range(0, len(grams), 8192):
-                part = (at >= a) & (at < a + 8192) if len(grams) > 8192 else slice(None)
-                wide = min(8192, len(grams) - a)
+            for a in range(0, len(grams), WIDE):
+                part = (at >= a) & (at < a + WIDE) if len(grams) > WIDE else slice(None)
+                wide = min(WIDE, len(grams) - a)
                 counts = np.bincount(of[part] * wide + at[part] - a, minlength=len(texts) * wide).astype(np.float32)
                 out += counts.reshape(len(texts), wide) @ self.vectors(grams[a : a + wide]).astype(np.float32)
         return out
@@ -141,6 +141,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _own: dict[int, Bundler] = {}
+common.keeps(__name__, _own.clear)
 
 
 def bundler(dim: int = DIM) -> Bundler:
@@ -178,7 +179,7 @@ def learn(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     if taught.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         most = taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
         taught = taught.join(most.select("lang"), "lang", "left_semi").select("text", "lang")
-    cells = taught.mapInArrow(bundled, "lang string, place int, total long").groupBy("lang", "place").agg(F.sum("total").alias("total"))
+    cells = taught.mapInArrow(common.lean(bundled), "lang string, place int, total long").groupBy("lang", "place").agg(F.sum("total").alias("total"))
     # a row of ``dim`` floats for each language
     whole = F.transform(F.sort_array(F.collect_list(F.struct("place", "total"))), lambda c: c["total"].cast("float"))
     got = cells.groupBy("lang").agg(whole.alias("profile")).toArrow()
@@ -211,7 +212,7 @@ def identify(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    return chosen.mapInArrow(found, "doc_id long, held_out boolean, lang_pred string, score double")
+    return chosen.mapInArrow(common.lean(found), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -227,4 +228,4 @@ def keep(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
             lang, score = predict([t or "" for t in batch.column(text).to_pylist()], *sent.value)
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(common.lean(kept), docs.schema)

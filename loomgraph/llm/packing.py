@@ -43,7 +43,7 @@ from .token_counts import vocabulary
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
 OPEN, MERGE, FULL = 64, 32, 0.95
 #: Entries of a worker's table of encoded words.
-TABLE = 800_000
+TABLE = 450_000
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, part int"
 _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 
@@ -109,9 +109,10 @@ class Words:
             runs = [_runs(t) for t in texts[a:b]]
             met = set().union(*runs)
             new = met.difference(self.table)
-            if len(self.table) + len(new) > TABLE:
+            if len(self.table) + len(new) > TABLE:  # begun anew with the words at hand
+                at_hand = {w: self.table[w] for w in met.difference(new)}
                 self.table.clear()
-                new = met
+                self.table.update(at_hand)
             self._learn(list(new))
             get = self.table.__getitem__
             for r in runs:
@@ -137,6 +138,7 @@ def _runs(text: str) -> list[bytes]:
 
 
 _own: dict[str, Words] = {}
+common.keeps(__name__, _own.clear)
 
 
 def words(path: str) -> Words:
@@ -215,7 +217,7 @@ def open_windows(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
         yield _rows(done + [(part << 32 | n, part, w) for n, w in pack.rest()])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return chosen.mapInArrow(packed, _PIECES)
+    return chosen.mapInArrow(common.lean(packed), _PIECES)
 
 
 def _placed(capacity: int):

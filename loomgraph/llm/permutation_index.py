@@ -9,7 +9,7 @@ by row; a pivot that one of the two orders lacks counts as if it came just after
 the prefix. The rows of least footrule are ranked again by exact Euclidean
 distance: ``WIDE`` times the square root of the number of rows, over all segments.
 
-A query so reads PREFIX**2 / PIVOTS (8) places for each row and the vectors of a
+A query so reads PREFIX**2 / PIVOTS (18) places for each row and the vectors of a
 number of rows that falls, as a share, with the size of the table. Pivots are a
 bounded sample: the ``PIVOTS`` vectors of least hash. Every row is indexed. The
 query set meets the index in blocks of ``BLOCK``: each lane of segments gets the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PIVOTS, PREFIX, WIDE, NEAREST = 512, 64, 11.0, 10
+PIVOTS, PREFIX, WIDE, NEAREST = 512, 96, 11.0, 10
 #: Rows of a segment and their bytes, queries of a block.
 SEGMENT, SEGMENT_BYTES, BLOCK = 16384, 1 << 24, 1024
 _INDEX = "lane int, segment long, ids binary, vectors binary, starts binary, rows binary, places binary"
@@ -135,7 +135,7 @@ def build(fit: DataFrame, pivot: np.ndarray, prefix: int, lanes: int) -> DataFra
             cells = [pa.array([v.tobytes()], pa.binary()) for v in (ids, x, *files)]
             yield pa.RecordBatch.from_arrays([pa.array([part % lanes], pa.int32()), pa.array([part << 32 | n]), *cells], names=[c.split()[0] for c in _INDEX.split(", ")])
 
-    return fit.repartition(lanes, "vec_id").mapInArrow(made, _INDEX)
+    return fit.repartition(lanes, "vec_id").mapInArrow(common.lean(made), _INDEX)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = NEAREST, pivots: int = PIVOTS, prefix: int = PREFIX, wide: float = WIDE) -> DataFrame:
@@ -161,7 +161,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEAREST, pivots: int =
             yield pa.RecordBatch.from_arrays(cells, names=["query_ids", "queries", "prefixes"])
 
     wanted = asked.count()
-    blocks = common.cut(asked.repartition(max(1, -(-wanted // BLOCK)), "query_id").mapInArrow(blocked, "query_ids binary, queries binary, prefixes binary"))
+    blocks = common.cut(asked.repartition(max(1, -(-wanted // BLOCK)), "query_id").mapInArrow(common.lean(blocked), "query_ids binary, queries binary, prefixes binary"))
     blocks = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +176,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEAREST, pivots: int =
                     names=["query_id", "vec_id", "score"],
                 )
 
-    met = index.join(blocks, "lane").select("ids", "vectors", "starts", "rows", "places", "query_ids", "queries", "prefixes").mapInArrow(found, _FOUND)
+    met = index.join(blocks, "lane").select("ids", "vectors", "starts", "rows", "places", "query_ids", "queries", "prefixes").mapInArrow(common.lean(found), _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

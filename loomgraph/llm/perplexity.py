@@ -62,7 +62,7 @@ SHORT = 400
 BINS = 4096
 #: Entries of a part of the model, parts that a worker keeps, characters that it
 #: scores under part after part.
-PART, KEPT, HELD = 1 << 19, 1, 1 << 22
+PART, KEPT, HELD = 1 << 19, 1, 1 << 20
 #: Unicode's noncharacters, which stand for the begin and the end of a text.
 BEGIN, END = "\uffff", "\ufffe"
 _AGAIN = str.maketrans({BEGIN: "\ufffd", END: "\ufffd"})
@@ -328,10 +328,12 @@ def _scored(asked: list[tuple], model: Model) -> list[np.ndarray]:
     out = [np.zeros(len(w)) for _, w, _, _ in asked]
     which = [part_of(c, seed_of(lang, h), len(model.parts)) for c, _, lang, h in asked]
     for k, sent in enumerate(model.parts):
+        mine = [np.flatnonzero(at == k) for at in which]
+        if not any(map(len, mine)):
+            continue
         part = sent.value
-        for (context, w, lang, h), lp, at in zip(asked, out, which):
-            mine = np.flatnonzero(at == k) if len(model.parts) > 1 else slice(None)
-            lp[mine] = part.log_prob(context[mine], w[mine], seed_of(lang, h), model.symbols.get((lang, h), 0) + 1)
+        for (context, w, lang, h), lp, at in zip(asked, out, mine):
+            lp[at] = part.log_prob(context[at], w[at], seed_of(lang, h), model.symbols.get((lang, h), 0) + 1)
         if len(model.parts) > KEPT and hasattr(sent, "_value") and hasattr(sent, "_path"):
             del part, sent._value  # read again from the executor's disk for the next texts
     return out
@@ -343,7 +345,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     rows = docs.select("text", common.language(F.col("lang")).alias("lang"), F.xxhash64("text").alias("of"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"))
     copies = common.stash(rows.groupBy("of").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")).filter("copies > 1").select("of", "first"))
     once = rows.join(copies, "of", "left").filter("first is null or first = doc_id")
-    found = once.select("text", "lang", F.pmod("of", F.lit(2)).cast("int").alias("half")).mapInArrow(_count, _GRAMS)
+    found = once.select("text", "lang", F.pmod("of", F.lit(2)).cast("int").alias("half")).mapInArrow(common.lean(_count), _GRAMS)
     return found.groupBy("lang", "half", "context", "w").agg(F.sum("n").alias("n"))
 
 
@@ -412,7 +414,7 @@ def fit(docs: DataFrame) -> Model:
                 out[name] = pa.array([values[mine].tobytes()], pa.binary())
         return pa.table(out)
 
-    dealt = of_grams.unionByName(of_contexts).mapInArrow(entries, _ENTRIES).repartition(parts, "part")
+    dealt = of_grams.unionByName(of_contexts).mapInArrow(common.lean(entries), _ENTRIES).repartition(parts, "part")
     table = common.cut(dealt.groupBy("part").applyInArrow(packed, "part int, g binary, d binary, c binary, total binary, weight binary"))
     sent = [None] * parts
     for r in table.toLocalIterator():  # one part at a time
@@ -438,13 +440,15 @@ class Known:
         return self
 
 
-_known = Known()
+_own: dict[str, Known] = {}
+common.keeps(__name__, _own.clear)
 
 
 def log_perplexities(texts: list[str], langs: list[str], halves: list[int], model: Model) -> np.ndarray:
     """Mean negative log-probability of a character, for each text, under the model
     of the half that the text is not in."""
-    out, known = np.zeros(len(texts)), _known.of(model.parts[0])
+    known = (_own.get("known") or _own.setdefault("known", Known())).of(model.parts[0])
+    out = np.zeros(len(texts))
     for first, last in common.blocks([len(t) for t in texts], HELD):
         lots, places = [], []
         here = range(first, last)
@@ -498,7 +502,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *found], names=["doc_id", "lang", "of", *_SCORES])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", common.language(F.col("lang")).alias("lang"), F.xxhash64("text").alias("of"), half(F.col("text")).alias("half"))
-    return chosen.mapInArrow(scored, f"doc_id long, lang string, of long, {_SCORE_TYPES}")
+    return chosen.mapInArrow(common.lean(scored), f"doc_id long, lang string, of long, {_SCORE_TYPES}")
 
 
 def breadth(n_chars: Column) -> Column:
@@ -572,7 +576,7 @@ def keep(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFra
             found = scores(texts, batch.column(at).to_pylist(), batch.column(at + 2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *(f"{own}_{c}" for c in _SCORES)])
 
-    made = ready.mapInArrow(scored, common.ddl(ready.schema, types))
+    made = ready.mapInArrow(common.lean(scored), common.ddl(ready.schema, types))
     rows = common.stash(made)
     of = rows.select(*(F.col(f"{own}_{c}").alias(c) for c in ("lang", "of", "n_chars", "teaches", "log_ppl")))
     sides = _bounds(spark, bands(of))

@@ -348,7 +348,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "spans", "base_spans"])
 
     kind = "array<struct<kind: string, start: bigint, end: bigint>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, f"doc_id long, spans {kind}, base_spans {kind}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.lean(found), f"doc_id long, spans {kind}, base_spans {kind}")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def mask(docs: DataFrame) -> DataFrame:
             new = [t and redact(t, spans_of(t)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(masked, docs.schema)
+    out = docs.mapInArrow(common.lean(masked), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -52,7 +52,7 @@ WORDS, SEED, BITS = 3, 42, 3
 MATCHES = 8 - BITS
 #: Members of a list that are compared at once with all others of the list, and
 #: those above which a list is dealt out.
-ROWS, HOT = 2048, 16384
+ROWS, HOT = 1024, 16384
 #: The stage's word prints, and the bits and shingle of the print that verifies.
 SEEDS, CHECK, CHECK_WORDS = 3, 256, 5
 #: Least estimated similarity: 0.8 less about twice the error of CHECK bits.
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fp = np.array([fingerprint(t, words) for t in common.texts_of(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.lean(made), "doc_id long, fp long")
 
 
 def mixed(h: np.ndarray, turn: int) -> np.ndarray:
@@ -291,7 +291,7 @@ def _listed(posted: DataFrame, bits: int, limit: int, hot: int) -> DataFrame:
             yield from written(of(joined(held)))
 
     lists = posted.repartition("list", "key").sortWithinPartitions("list", "key")
-    return lists.mapInArrow(found, "list int, key long, a long, b long" + "".join(f", {c} long" for c in more))
+    return lists.mapInArrow(common.lean(found), "list int, key long, a long, b long" + "".join(f", {c} long" for c in more))
 
 
 def links(prints: DataFrame, bits: int = BITS, limit: int = 0, hot: int = HOT) -> DataFrame:
@@ -356,7 +356,7 @@ def near_texts(rows: DataFrame, least: float = LEAST) -> DataFrame:
             p = np.array([stage_prints(t) for t in common.texts_of(batch)], np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(names)))], names=["id", *names])
 
-    prints = rows.mapInArrow(made, "id long" + "".join(f", {n} long" for n in names)).groupBy("id").agg(*(F.first(n).alias(n) for n in names))
+    prints = rows.mapInArrow(common.lean(made), "id long" + "".join(f", {n} long" for n in names)).groupBy("id").agg(*(F.first(n).alias(n) for n in names))
     prints = common.cut(prints)
     seeds = F.posexplode(F.array(*names[:SEEDS])).alias("seed", "fp")
     found = components(links(prints.select("id", seeds, *checks), BITS, bits_at(least)))

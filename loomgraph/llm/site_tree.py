@@ -454,7 +454,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     # exact copies of a page in a host share a weight of one
     own = pages.select("html", host(F.col("url")).alias("host"), F.xxhash64("html").alias("of"))
     copies = common.stash(own.groupBy("host", "of").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
-    found = own.join(copies, ["host", "of"], "left").select("html", "host", "copies").mapInArrow(parsed, "host string, node long, parent long, kind int, value long, n double")
+    found = own.join(copies, ["host", "of"], "left").select("html", "host", "copies").mapInArrow(common.lean(parsed), "host string, node long, parent long, kind int, value long, n double")
     cells = found.groupBy("host", "node", "parent", "kind", "value").agg(F.round(F.sum("n"), 6).alias("n"))
     n, plogp = F.col("n"), F.col("n") * F.ln("n")
     style, feature = F.col("kind") == 0, F.col("kind") == 1
@@ -542,4 +542,4 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEA
                 texts.append(main_text(root, frozenset(low or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(model, "host", "left").select("page_id", "url", "html", "noise").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return rows.join(model, "host", "left").select("page_id", "url", "html", "noise").mapInArrow(common.lean(read), "page_id long, url string, text string, n_chars long")

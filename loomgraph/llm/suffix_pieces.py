@@ -265,6 +265,7 @@ class Pieces:
 
 
 _own: dict[str, Pieces] = {}
+common.keeps(__name__, _own.clear)
 
 
 def pieces(path: str) -> Pieces:
@@ -284,7 +285,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids], names=["doc_id", "n_bytes", "ids"])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", size).mapInArrow(made, "doc_id long, n_bytes long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", size).mapInArrow(common.lean(made), "doc_id long, n_bytes long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -299,7 +300,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             text = pa.array([tool.decode(raw) for raw in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(made, schema)
+    return encoded.mapInArrow(common.lean(made), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -109,6 +109,7 @@ class Pieces:
 
 
 _own: dict[str, Pieces] = {}
+common.keeps(__name__, _own.clear)
 
 
 def pieces(path: str) -> Pieces:
@@ -135,5 +136,5 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", size).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", size).mapInArrow(common.lean(counted), "doc_id long, n_bytes long, n_tokens long")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
