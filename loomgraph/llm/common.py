@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch that crosses into Python. Very long texts then come
 #: a few at a time, whatever the number of rows in a batch would be.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Characters that a worker handles at once with vector operations.
 BLOCK_CHARS = 1 << 21
 

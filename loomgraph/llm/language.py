@@ -55,7 +55,7 @@ class Bundler:
 
     def _reset(self) -> None:
         self.rows: dict[int, int] = {}
-        self.table = np.empty((1 << 10, self.dim), np.int8)
+        self.table = np.empty((_KEPT + WIDE, self.dim), np.int8)  # memory comes as rows are used
 
     def letter(self, cp: int) -> np.ndarray:
         v = self.letters.get(cp)
@@ -76,8 +76,6 @@ class Bundler:
             row = self.rows.get(key)
             if row is None:
                 row = self.rows[key] = len(self.rows)
-                if row == len(self.table):
-                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
                 self.table[row] = self.trigram(key)
             at[i] = row
         return self.table[at]
@@ -123,20 +121,23 @@ class Bundler:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As np.unique with the inverse; by counting where the alphabet is small."""
-    seen = np.zeros(1 << 21, bool)
-    parts = keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF
-    for p in parts:
-        seen[p] = True
+    seen, low = np.zeros(1 << 21, bool), (1 << 21) - 1
+    seen[keys >> 42] = seen[keys >> 21 & low] = seen[keys & low] = True
     letters = np.flatnonzero(seen)
     n = len(letters)
     if n > 160:
         return np.unique(keys, return_inverse=True)
-    place = np.zeros(1 << 21, np.int64)
-    place[letters] = np.arange(n)
-    ids = (place[parts[0]] * n + place[parts[1]]) * n + place[parts[2]]
-    there = np.flatnonzero(np.bincount(ids, minlength=1))
-    back = np.zeros(n**3, np.int64)
-    back[there] = np.arange(len(there))
+    place = np.zeros(1 << 21, np.int32)
+    place[letters] = np.arange(n, dtype=np.int32)
+    ids = place[keys >> 42]
+    for part in (keys >> 21 & low, keys & low):
+        ids *= n
+        ids += place[part]
+    met = np.zeros(n**3, bool)
+    met[ids] = True
+    there = np.flatnonzero(met)
+    back = np.zeros(n**3, np.int32)
+    back[there] = np.arange(len(there), dtype=np.int32)
     return letters[there // (n * n)] << 42 | letters[there // n % n] << 21 | letters[there % n], back[ids]
 
 
@@ -150,7 +151,7 @@ def bundler(dim: int = DIM) -> Bundler:
 
 def bundles(texts: list[str], dim: int = DIM) -> np.ndarray:
     tool, out = bundler(dim), np.empty((len(texts), dim), np.float32)
-    for a, b in common.blocks([len(t) for t in texts], 1 << 20):
+    for a, b in common.blocks([len(t) for t in texts], 1 << 18):
         out[a:b] = tool.bundle(texts[a:b])
     return out
 

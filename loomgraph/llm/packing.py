@@ -43,7 +43,7 @@ from .token_counts import vocabulary
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
 OPEN, MERGE, FULL = 64, 32, 0.95
 #: Entries of a worker's table of encoded words.
-TABLE = 450_000
+TABLE = 400_000
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, part int"
 _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 

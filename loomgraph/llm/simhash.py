@@ -52,7 +52,7 @@ WORDS, SEED, BITS = 3, 42, 3
 MATCHES = 8 - BITS
 #: Members of a list that are compared at once with all others of the list, and
 #: those above which a list is dealt out.
-ROWS, HOT = 1024, 16384
+ROWS, HOT = 512, 16384
 #: The stage's word prints, and the bits and shingle of the print that verifies.
 SEEDS, CHECK, CHECK_WORDS = 3, 256, 5
 #: Least estimated similarity: 0.8 less about twice the error of CHECK bits.
