@@ -15,7 +15,9 @@ consecutive.
 
 Token ids come from a word-level table: the tokenizer drops white space and
 works on each run of other characters alone, so a run is encoded once and its
-ids are kept, as little-endian bytes, while the table has room.
+ids are kept, as little-endian bytes, while the table has room. Arrow numbers the
+distinct runs of a block, each is looked up once, and the texts' ids are gathered
+by those numbers.
 
 Defined cases: a null or empty text is the end token alone. Repeated rows are
 packed as often as they occur. A very long text is held once, as its ids. Windows of
@@ -26,13 +28,17 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import codecs
+import itertools
 import re
+import string
 import unicodedata
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +50,8 @@ TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
 OPEN, MERGE, FULL = 64, 32, 0.95
 #: Entries of a worker's table of encoded words.
 TABLE = 400_000
+#: Words whose ids are gathered at once: a block's, or a part of a very long text's.
+WORDS = 1 << 19
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, part int"
 _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 
@@ -53,21 +61,16 @@ class Words:
 
     The tokenizer takes letters and signs apart, drops white space and
     lower-cases. So a text is lower-cased first, a sign after a word is set apart,
-    and what white space separates is looked up whole. Runs of letters that were
-    not met before are encoded many at a time by the model alone, and told apart
-    by the tokens that end a word.
+    and what white space separates is looked up whole, each distinct word of a
+    block once. Letters that were not met before, and signs behind them, go to the
+    model alone; anything else goes to the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.plain.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.table: dict[bytes, bytes] = {}
 
     def _whole(self, runs: list[str]) -> list[bytes]:
@@ -76,65 +79,89 @@ class Words:
             out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(runs[a : a + 2048], add_special_tokens=False)]
         return out
 
-    def _joined(self, runs: list[str]) -> list[bytes]:
-        """Runs of lower-case letters."""
-        out = []
-        for a in range(0, len(runs), 512):
-            part = runs[a : a + 512]
-            text = " ".join(part)
-            if text.isascii() or unicodedata.is_normalized("NFC", text):
-                ids = self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
-                stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-                raw = array("I", ids).tobytes()
-                found = [raw[x:y] for x, y in zip([0, *stops], stops)]
-            else:
-                found = self._whole(part)
-            out += found if len(found) == len(part) else self._whole(part)
-        return out
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain, letters, other = [], [], []
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of words that are not in the table."""
+        out, other, model = [], [], self.model.tokenize
         for run in new:
             low = run.decode()
-            if low.isalpha() and low == low.lower():
-                plain.append(run)
-                letters.append(low)
+            stem = low.rstrip(_SIGNS)
+            if stem and not stem.isalpha() or low != low.lower() or not unicodedata.is_normalized("NFC", low):
+                other.append(len(out))
+                out.append(low)
+                continue
+            tail = low[len(stem) :]
+            if not stem.isascii():
+                stem = codecs.charmap_decode(run[: len(run) - len(tail)], "strict", _BYTES)[0]
+            ids = [t.id for t in model(stem)]
+            if tail:
+                ids += [t.id for t in model(tail)]
+            out.append(array("I", ids).tobytes())
+        for i, ids in zip(other, self._whole([out[i] for i in other])):
+            out[i] = ids
+        return out
+
+    def _known(self, met: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, which the table then holds."""
+        known = list(map(self.table.get, met))
+        missing = [i for i, ids in enumerate(known) if ids is None]
+        if missing:
+            for i, ids in zip(missing, self._learn([met[i] for i in missing])):
+                known[i] = ids
+            if len(self.table) + len(missing) > TABLE:  # begun anew with the words at hand and the first of those before
+                older = dict(itertools.islice(self.table.items(), max(0, TABLE // 2 - len(met))))
+                self.table.clear()
+                self.table.update(zip(met, known))
+                self.table.update(older)
             else:
-                other.append(run)
-        self.table.update(zip(plain, self._joined(letters)))
-        self.table.update(zip(other, self._whole([w.decode() for w in other])))
+                self.table.update((met[i], known[i]) for i in missing)
+        return known
+
+    def _block(self, texts: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of all texts, and where each text's begin and end."""
+        split = pc.ascii_split_whitespace(pa.array([_clean(t) for t in texts], pa.large_string()))
+        stops, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        known = self._known(coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        words, ids = coded.indices.to_numpy(), np.frombuffer(b"".join(known), np.uint32)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first, raw = np.cumsum(size) - size, []
+        for a in range(0, len(words), WORDS):
+            w = words[a : a + WORDS]
+            n = size[w]
+            at = np.repeat(first[w] - np.cumsum(n) + n, n)
+            at += np.arange(len(at))
+            raw.append(ids[at].tobytes())
+        ends = np.concatenate(([0], np.cumsum(size[words])))[stops - stops[0]]
+        return b"".join(raw), (4 * ends).tolist()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for a, b in common.blocks([len(t) for t in texts], 1 << 20):
-            runs = [_runs(t) for t in texts[a:b]]
-            met = set().union(*runs)
-            new = met.difference(self.table)
-            if len(self.table) + len(new) > TABLE:  # begun anew with the words at hand
-                at_hand = {w: self.table[w] for w in met.difference(new)}
-                self.table.clear()
-                self.table.update(at_hand)
-            self._learn(list(new))
-            get = self.table.__getitem__
-            for r in runs:
-                yield b"".join(map(get, r))
+            ids, ends = self._block(texts[a:b])
+            for x, y in zip(ends, ends[1:]):
+                yield ids[x:y]
 
 
+#: Signs of which a run is one token or more by itself; those of a special string
+#: have letters between them.
+_SIGNS = string.punctuation
 #: A sign between a letter or digit and white space, which is a token of its own.
-_SIGN = re.compile(r"(?<=[^\W_])([.,;:!?])(?=[ \n])")
-_SIGN_BYTES = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[ \n])")
+_SIGN = re.compile(r"([.,;:!?])(?<=[^\W_].)(?=[ \n])")
+_SIGN_BYTES = re.compile(rb"([.,;:!?])(?<=[a-z0-9].)(?=[ \n])")
+#: The character by which a byte-level tokenizer writes each byte.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = "".join(chr(b if b in _PLAIN else 256 + sum(o not in _PLAIN for o in range(b))) for b in range(256))
 
 
-def _runs(text: str) -> list[bytes]:
-    """The words of a text, lower-cased and without such signs, where this leaves
-    the tokens as they are: special strings are so in their own case only, a capital
-    sigma depends on its place, and composition comes before lower case."""
+def _clean(text: str) -> bytes:
+    """A text lower-cased and with such signs apart, where this leaves the tokens as
+    they are: special strings are so in their own case only, a capital sigma depends
+    on its place, and composition comes before lower case."""
     if "<|" in text:
-        return text.encode().split()
+        return text.encode()
     if text.isascii():
-        return _SIGN_BYTES.sub(rb" \1", text.encode().lower()).split()
+        return _SIGN_BYTES.sub(rb" \1", text.encode().lower())
     if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
-        return text.encode().split()
-    return _SIGN.sub(r" \1", text.lower()).encode().split()
+        return text.encode()
+    return _SIGN.sub(r" \1", text.lower()).encode()
 
 
 _own: dict[str, Words] = {}

@@ -255,6 +255,41 @@ def test_words_are_those_of_the_tokenizer(t):
         assert np.frombuffer(next(tool.encode([text])), "<u4").tolist() == tokenizer(packing.TOKENIZER).encode(text, add_special_tokens=False).ids
 
 
+def test_distinct_words_are_looked_up_once(monkeypatch):
+    """Neither repeated words nor letters with signs behind them cost a call each."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    tool, whole = packing.Words(packing.vocabulary(packing.TOKENIZER)), []
+    monkeypatch.setattr(tool, "_whole", lambda runs, f=tool._whole: whole.extend(runs) or f(runs))
+    monkeypatch.setattr(packing, "WORDS", 7, raising=False)
+    tool.table = Counted()
+    text = "Grobly ondtion, blehá ... thwhan!!! été### O'Neil's 12\u00bd\n"
+    texts = [text * 500, "", " \n", "\u1100\u1161*** x<|endoftext|>!!! \u03a3 <|, it's", text]
+    t = tokenizer(packing.TOKENIZER)
+    assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert tool.table.asked < 40
+    assert not any(w.strip(".,!#").isalpha() for w in whole if w.islower() and w.isascii())
+
+
+def test_a_full_table_keeps_the_first_words(monkeypatch):
+    tool, t = packing.Words(packing.vocabulary(packing.TOKENIZER)), tokenizer(packing.TOKENIZER)
+    monkeypatch.setattr(packing, "TABLE", 100)
+    for i in range(20):  # the table is full three times
+        text = "the first words " * (i == 0) + " ".join(f"w{i}x{n}" for n in range(12))
+        assert np.frombuffer(next(tool.encode([text])), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert len(tool.table) <= 100 and {b"the", b"first", b"words"} <= tool.table.keys()
+
+
 # -- personal data ------------------------------------------------------------
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
