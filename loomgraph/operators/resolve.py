@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import CALLABLE, Graph
-from .storage import cut
+from .storage import cut, stored
 
 #: Languages that share a type system (fixed values).
 FAMILIES = {"java": "jvm", "kotlin": "jvm", "scala": "jvm", "swift": "apple", "objc": "apple", "typescript": "web", "tsx": "web", "javascript": "web", "jsx": "web", "c": "c", "cpp": "c", "csharp": "dotnet", "razor": "dotnet"}
@@ -140,6 +140,17 @@ def _candidates(refs: DataFrame, nodes: DataFrame, on: Column | str, by: str) ->
     return r.join(c, "_key").drop("_key").filter(gates())
 
 
+def _sole(refs: DataFrame, nodes: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """(ref_id, language, c_id, c_language) of references that one node alone fits.
+    ``on``: columns of the nodes, with what of the references must equal them. Nodes
+    are counted by what the gates look at and the counts joined, so a name that many
+    have costs as much as one that few have."""
+    c = nodes.groupBy(*on, F.col("kind").alias("c_kind"), F.col("language").alias("c_language")).agg(F.count(F.lit(1)).alias("_m"), F.min("id").alias("c_id"))
+    r = refs.select("ref_id", "reference_kind", "language", "file_path", *(v.alias(k) for k, v in on.items()))
+    hit = r.join(c, list(on)).filter(gates()).groupBy("ref_id").agg(F.sum("_m").alias("n"), *(F.min(x).alias(x) for x in ("language", "c_id", "c_language")))
+    return hit.filter("n = 1").drop("n")
+
+
 def score(proximity: Column | None = None) -> Column:
     """How well a candidate fits: file, directories, language, kind, export, and
     nearness within the file."""
@@ -186,19 +197,25 @@ def exact_name(refs: DataFrame, nodes: DataFrame, hot: int = HOT) -> DataFrame:
     kept = ["ref_id", "n", "score", "language", "file_path", *(f"c_{c}" for c in _CAND)]
     every = plain.select(*kept)
     if not many.isEmpty():
-        r = cut(refs.join(many.withColumnRenamed("name", "reference_name"), "reference_name", "left_semi"))
+        r = refs.join(many.withColumnRenamed("name", "reference_name"), "reference_name", "left_semi")
         own = nodes.join(many, "name", "left_semi")
+        # from outside its file a node's score does not depend on the line: each such question is answered once
+        asks = ["reference_name", "reference_kind", "language", "file_path"]
+        r = r.withColumn("_ask", F.struct(*asks))  # of which parts may be null
+        each = cut(r.select("_ask", *asks).distinct())
         c = counts.join(many, "name", "left_semi").select(F.col("name").alias("reference_name"), F.col("language").alias("c_language"), F.col("kind").alias("c_kind"), F.col("n").alias("m"))
-        total = r.join(c, "reference_name").filter(gates()).groupBy("ref_id").agg(F.sum("m").alias("n"))
+        total = each.join(c, "reference_name").filter(gates()).groupBy("_ask").agg(F.sum("m").alias("n"))
         first = F.min(F.struct("name", "qualified_name", "kind", "file_path", "start_line", "id")).alias("_first")
         far = own.withColumn("_branch", F.explode(_branches("file_path"))).groupBy("name", "_branch", "language", "kind", "is_exported").agg(first)
         far = far.select(F.col("name").alias("reference_name"), "_branch", F.col("language").alias("c_language"), F.col("kind").alias("c_kind"), F.col("is_exported").alias("c_is_exported"), *(F.col(f"_first.{x}").alias(f"c_{x}") for x in ("name", "qualified_name", "file_path", "start_line", "id")))
-        paths = r.select("*", F.posexplode(_branches("file_path")).alias("_depth", "_branch"))
+        paths = each.select("*", F.lit(None).cast("int").alias("line"), F.posexplode(_branches("file_path")).alias("_depth", "_branch"))
         met = paths.join(far, ["reference_name", "_branch"]).filter("c_file_path <> file_path").filter(gates()).withColumn("score", score(F.least(F.col("_depth") * 15, F.lit(80))))
+        top = met.withColumn("r", F.row_number().over(Window.partitionBy("_ask").orderBy(F.desc("score"), *_order()))).filter("r = 1")
+        answers = cut(total.join(top.select("_ask", "score", *(f"c_{c}" for c in _CAND)), "_ask"))
         here = own.select(F.col("name").alias("reference_name"), *(F.col(x).alias(f"c_{x}") for x in _CAND))
-        near = r.join(here.withColumn("file_path", F.col("c_file_path")), ["reference_name", "file_path"]).filter(gates()).withColumn("score", score())
-        hot_rows = met.join(total, "ref_id").select(*kept).unionByName(near.join(total, "ref_id").select(*kept))
-        every = every.unionByName(hot_rows)
+        near = r.join(here.withColumn("file_path", F.col("c_file_path")), ["reference_name", "file_path"]).filter(gates()).withColumn("score", score()).join(total, "_ask")
+        hot_rows = r.select("ref_id", "language", "file_path", "_ask").join(answers, "_ask")
+        every = every.unionByName(hot_rows.select(*kept)).unionByName(near.select(*kept))
     best = every.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), *_order()))).filter("r = 1")
     same = F.col("c_language") == F.col("language")
     sole = F.when(same, 0.9).otherwise(0.5)
@@ -209,16 +226,14 @@ def exact_name(refs: DataFrame, nodes: DataFrame, hot: int = HOT) -> DataFrame:
 def qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The sole node of a qualified name, or the sole one whose qualified name ends
     in it at a segment."""
-    q = refs.filter(F.col("reference_name").rlike(r"::|\.")).withColumn("_wanted", X.canonical("reference_name"))
-    n = nodes.withColumn("_canonical", X.canonical("qualified_name"))
-    whole = _candidates(q, n, "_wanted", "_canonical").withColumn("confidence", F.lit(0.95))
-    # a suffix has the same last segment: joined by that, then compared
-    cols = ("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "is_exported")
-    c = n.select(F.col("name").alias("_key"), F.col("_canonical"), *(F.col(x).alias(f"c_{x}") for x in cols))
-    part = q.withColumn("_key", X.last_qualifier("reference_name")).join(c, "_key").filter(F.col("_canonical").endswith(F.concat(F.lit("::"), F.col("_wanted")))).drop("_key", "_canonical").filter(gates()).withColumn("confidence", F.lit(0.85))
-    w = Window.partitionBy("ref_id", "confidence")
-    every = whole.select("ref_id", "c_id", "confidence").unionByName(part.select("ref_id", "c_id", "confidence"))
-    sole = every.withColumn("n", F.count(F.lit(1)).over(w)).filter("n = 1")
+    q = refs.filter(F.col("reference_name").rlike(r"::|\.")).withColumn("_wanted", X.canonical("reference_name")).withColumn("_last", X.last_qualifier("reference_name"))
+    n = nodes.select("id", "kind", "language", "name", X.canonical("qualified_name").alias("_canonical"))
+    whole = _sole(q, n, {"_canonical": F.col("_wanted")})
+    # a suffix has the same last segment; every suffix of such a node is a key of its own
+    near = n.join(q.select(F.col("_last").alias("name")).distinct(), "name", "left_semi").filter(F.contains("_canonical", F.lit("::")))
+    at = F.filter(F.sequence(F.lit(1), F.length("_canonical")), lambda i: F.substr("_canonical", i, F.lit(2)) == "::")
+    part = _sole(q, near.withColumn("_suffix", F.explode(F.transform(at, lambda i: F.substr("_canonical", i + 2)))), {"name": F.col("_last"), "_suffix": F.col("_wanted")})
+    sole = whole.withColumn("confidence", F.lit(0.95)).unionByName(part.withColumn("confidence", F.lit(0.85)))
     best = sole.withColumn("r", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("confidence")))).filter("r = 1")
     return best.select("ref_id", F.col("c_id").alias("target"), "confidence", F.lit("qualified-name").alias("resolved_by"))
 
@@ -236,10 +251,11 @@ def file_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return ranked.withColumn("r", F.row_number().over(w)).filter("r = 1").select("ref_id", F.col("c_id").alias("target"), "confidence", F.lit("file-path").alias("resolved_by"))
 
 
-def supertypes(g: Graph, most: int = 4) -> DataFrame:
-    """(type, super, depth) within ``most`` steps, the type itself at 0."""
+def supertypes(g: Graph, most: int = 4, of: DataFrame | None = None) -> DataFrame:
+    """(type, super, depth) within ``most`` steps, the type itself at 0; with ``of``
+    (type), of these types only."""
     up = g.edges.filter(F.col("kind").isin("extends", "implements")).select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
-    types = g.nodes.filter(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("type"))
+    types = g.nodes.filter(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("type")) if of is None else of
     out = front = types.select("type", F.col("type").alias("super"), F.lit(0).alias("depth"))
     for d in range(1, most + 1):
         front = front.join(up, F.col("super") == F.col("a")).select("type", F.col("b").alias("super"), F.lit(d).alias("depth")).distinct()
@@ -298,7 +314,7 @@ def chain(refs: DataFrame, g: Graph) -> DataFrame:
 def fuzzy(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The sole callable of the name without regard to case."""
     low = nodes.filter(F.col("kind").isin(*CALLABLE, "class")).withColumn("_low", F.lower("name"))
-    c = _candidates(refs, low, F.lower("reference_name"), "_low").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ref_id"))).filter("n = 1")
+    c = _sole(refs, low, {"_low": F.lower("reference_name")})
     return c.select("ref_id", F.col("c_id").alias("target"), F.when(F.col("c_language") == F.col("language"), 0.5).otherwise(0.3).alias("confidence"), F.lit("fuzzy").alias("resolved_by"))
 
 
@@ -348,7 +364,7 @@ def resolve(g: Graph, more: tuple[DataFrame, ...] = ()) -> DataFrame:
     be resolved. ``more``: rows of import and framework strategies. References and
     nodes are cut once, not planned again for each strategy."""
     wanted = ("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "is_exported", "return_type", "signature")
-    nodes = cut(g.nodes.select(*wanted))
+    nodes = stored(g.nodes, *wanted)
     refs = cut(known(external(g.refs.filter(F.col("status") == "pending"), nodes), nodes))
     g = Graph(nodes, g.edges, g.files, refs)
     made = F.col("reference_kind") == "instantiates"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +37,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stored: weakref.WeakSet = weakref.WeakSet()
+
+
+def stored(df: DataFrame, *columns: str) -> DataFrame:
+    """Like :func:`cut`, for large tables that are read many times: kept as Parquet, so
+    they are compressed and readers take the columns and row groups that they need.
+    What is stored already is not stored again. The files go when the process ends."""
+    if any(df is s for s in _stored):
+        return df.select(*columns) if columns else df
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df = df.select(*columns) if columns else df
+    df.write.parquet(at)
+    atexit.register(_forget, spark, at)
+    out = spark.read.schema(df.schema).parquet(at)
+    _stored.add(out)
+    return out
+
+
+def _forget(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended: its folder is its own
+        pass
+
+
 def newest(df: DataFrame, keys: Iterable[str], order: str) -> DataFrame:
     """One row of each key: that of the greatest ``order``."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
