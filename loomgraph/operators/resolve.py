@@ -269,23 +269,48 @@ def members(g: Graph) -> DataFrame:
     return e.join(g.nodes.filter(F.col("kind").isin(*CALLABLE)).select("id", "name", "return_type", "language"), "id")
 
 
+def _owners(g: Graph) -> DataFrame:
+    return g.nodes.filter(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("type"), F.col("name").alias("type_name"), F.col("language").alias("type_language"))
+
+
+def _inherited(g: Graph, asked: DataFrame) -> DataFrame:
+    """asked: (type_name, member). (type_name, type_language, member, depth, target):
+    the nearest member of that name which types of that name have or inherit, the
+    least id of equally near ones: one row however many types and members there are."""
+    owners = _owners(g).join(asked.select("type_name").distinct(), "type_name", "left_semi")
+    has = members(g).select(F.col("owner").alias("super"), F.col("id").alias("target"), F.col("name").alias("member"))
+    has = has.join(asked.select("member").distinct(), "member", "left_semi").groupBy("super", "member").agg(F.min("target").alias("target"))
+    via = supertypes(g, of=owners.select("type").distinct()).join(has, "super").join(owners, "type")
+    best = via.groupBy("type_name", "type_language", "member").agg(F.min(F.struct("depth", "target")).alias("_b"))
+    return best.select("type_name", "type_language", "member", "_b.depth", "_b.target")
+
+
+def _word_pairs(name: str) -> Column:
+    """Every two distinct words of a name; names share two words where they share a pair."""
+    words = F.array_sort(F.array_distinct(X.camel_words(name)))
+    return F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.concat_ws("\0", a, b))))
+
+
 def method(refs: DataFrame, g: Graph, types: DataFrame | None = None) -> DataFrame:
     """``receiver.member``: on the class of that name, a capitalised receiver, the
     receiver's inferred type (types: ref_id, type_name), a member that is the only
     one of its name, or one whose class shares two words with the receiver."""
-    r = refs.withColumn("receiver", F.regexp_extract("reference_name", r"([A-Za-z_]\w*)(?:\.|::|->)\w+$", 1)).withColumn("member", F.regexp_extract("reference_name", r"(\w+)$", 1)).filter("receiver <> ''")
-    owners = g.nodes.filter(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("type"), F.col("name").alias("type_name"), F.col("language").alias("type_language"))
-    has = members(g).select(F.col("owner").alias("super"), F.col("id").alias("target"), F.col("name").alias("member"))
-    via = supertypes(g).join(has, "super").select("type", "depth", "target", "member")
-    wants = [(F.col("receiver"), 0.85), (F.concat(F.upper(F.substring("receiver", 1, 1)), F.substr("receiver", F.lit(2))), 0.8)]
-    found = [r.withColumn("type_name", want).join(owners, "type_name").filter(same_family("type_language", "language")).join(via, ["type", "member"]).select("ref_id", "target", F.lit(conf).alias("confidence"), "depth") for want, conf in wants]
+    r = refs.withColumn("receiver", F.regexp_extract("reference_name", r"([A-Za-z_]\w*)(?:\.|::|->)\w+$", 1)).withColumn("member", F.regexp_extract("reference_name", r"(\w+)$", 1)).filter("receiver <> ''").select("ref_id", "language", "receiver", "member")
+    capital = F.concat(F.upper(F.substring("receiver", 1, 1)), F.substr("receiver", F.lit(2)))
+    asks = r.select("ref_id", "language", "member", F.explode(F.array(*(F.struct(n.alias("type_name"), F.lit(c).alias("confidence"), F.lit(False).alias("inferred")) for n, c in ((F.col("receiver"), 0.85), (capital, 0.8))))).alias("_a")).select("ref_id", "language", "member", "_a.*")
     if types is not None:
-        found.append(r.join(types, "ref_id").join(owners, "type_name").join(via, ["type", "member"]).select("ref_id", "target", F.lit(0.9).alias("confidence"), "depth"))
-    named = members(g).join(owners, F.col("owner") == F.col("type")).select(F.col("name").alias("member"), F.col("id").alias("target"), "type_name", "type_language")
-    cand = r.join(named, "member").filter(same_family("type_language", "language")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ref_id")))
-    overlap = F.size(F.array_intersect(X.camel_words("receiver"), X.camel_words("type_name")))
-    found.append(cand.filter("n = 1").select("ref_id", "target", F.lit(0.7).alias("confidence"), F.lit(0).alias("depth")))
-    found.append(cand.filter(overlap >= 2).select("ref_id", "target", F.lit(0.65).alias("confidence"), F.lit(0).alias("depth")))
+        asks = asks.unionByName(r.join(types, "ref_id").select("ref_id", "language", "member", "type_name", F.lit(0.9).alias("confidence"), F.lit(True).alias("inferred")))
+    asks = cut(asks)
+    via = _inherited(g, asks.select("type_name", "member").distinct())
+    found = [asks.join(via, ["type_name", "member"]).filter(F.col("inferred") | same_family("type_language", "language")).select("ref_id", "target", "confidence", "depth")]
+    named = members(g).select(F.col("owner").alias("type"), F.col("name").alias("member"), F.col("id").alias("target")).join(r.select("member").distinct(), "member", "left_semi").join(_owners(g), "type")
+    # members are counted by name and language, and the counts joined
+    few = named.groupBy("member", "type_language").agg(F.count(F.lit(1)).alias("_m"), F.min("target").alias("target"))
+    sole = r.join(few, "member").filter(same_family("type_language", "language")).groupBy("ref_id").agg(F.sum("_m").alias("n"), F.min("target").alias("target")).filter("n = 1")
+    found.append(sole.select("ref_id", "target", F.lit(0.7).alias("confidence"), F.lit(0).alias("depth")))
+    alike = named.select("member", "type_language", "target", F.explode(_word_pairs("type_name")).alias("_pair")).groupBy("member", "_pair", "type_language").agg(F.min("target").alias("target"))
+    shared = r.select("ref_id", "language", "member", F.explode(_word_pairs("receiver")).alias("_pair")).join(alike, ["member", "_pair"]).filter(same_family("type_language", "language"))
+    found.append(shared.groupBy("ref_id").agg(F.min("target").alias("target")).select("ref_id", "target", F.lit(0.65).alias("confidence"), F.lit(0).alias("depth")))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
@@ -302,13 +327,13 @@ def return_types(g: Graph) -> DataFrame:
 def chain(refs: DataFrame, g: Graph) -> DataFrame:
     """``inner().member``: a member of what ``inner`` returns, or of its supertypes."""
     r = refs.withColumn("inner_name", F.regexp_extract("reference_name", r"(\w+)\(\)(?:\.|::|->)\w+$", 1)).withColumn("member", F.regexp_extract("reference_name", r"(\w+)$", 1)).filter("inner_name <> ''")
-    inner = return_types(g)
-    owners = g.nodes.filter(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("type"), F.col("name").alias("type_name"), F.col("language").alias("type_language"))
-    has = members(g).select(F.col("owner").alias("super"), F.col("id").alias("target"), F.col("name").alias("member"))
-    via = supertypes(g).join(has, "super").select("type", "depth", "target", "member")
-    hit = r.join(inner, "inner_name").join(owners, "type_name").filter(same_family("type_language", "language")).join(via, ["type", "member"])
-    w = Window.partitionBy("ref_id").orderBy("depth", "target")
-    return hit.withColumn("r", F.row_number().over(w)).filter("r = 1").select("ref_id", "target", F.lit(0.85).alias("confidence"), F.lit("chain").alias("resolved_by"))
+    r = r.select("ref_id", "language", "inner_name", "member")
+    # equal questions are answered once
+    asks = cut(r.select("inner_name", "member", "language").distinct().join(return_types(g), "inner_name"))
+    hit = asks.join(_inherited(g, asks.select("type_name", "member").distinct()), ["type_name", "member"]).filter(same_family("type_language", "language"))
+    best = hit.groupBy("inner_name", "member", "language").agg(F.min(F.struct("depth", "target")).alias("_b"))
+    near = r.join(best, ["inner_name", "member", "language"]).groupBy("ref_id").agg(F.min("_b").alias("_b"))
+    return near.select("ref_id", F.col("_b.target").alias("target"), F.lit(0.85).alias("confidence"), F.lit("chain").alias("resolved_by"))
 
 
 def fuzzy(refs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -50,6 +50,19 @@ def test_fuzzy_names_that_many_share(spark):
     assert not rows and most < 10 * N
 
 
+def test_members_that_many_types_have(spark):
+    i = F.col("id").cast("string")
+    t = conform(spark.range(N).select(F.concat(F.lit("class:"), i).alias("id"), F.lit("class").alias("kind"), F.concat(F.lit("BigShop"), i).alias("name"), F.lit("f").alias("file_path"), F.lit("java").alias("language")), NODES)
+    m = conform(spark.range(N).select(F.concat(F.lit("method:"), i).alias("id"), F.lit("method").alias("kind"), F.lit("run").alias("name"), F.lit("f").alias("file_path"), F.lit("java").alias("language")), NODES)
+    e = conform(spark.range(N).select(F.concat(F.lit("class:"), i).alias("source"), F.concat(F.lit("method:"), i).alias("target"), F.lit("contains").alias("kind")), EDGES)
+    name = F.when(F.col("id") == 0, "bigShopHelper.run").otherwise(F.concat(F.lit("bigShop"), i, F.lit(".run")))
+    r = conform(spark.range(N).select(F.col("id").alias("ref_id"), name.alias("reference_name"), F.lit("calls").alias("reference_kind"), F.lit("java").alias("language")), REFS)
+    rows, most = most_rows(R.method(r, Graph(t.unionByName(m), e)))
+    got = {r["ref_id"]: (r["target"], float(r["confidence"])) for r in rows}
+    assert got == {k: (f"method:{k}", 0.8) for k in range(1, N)}
+    assert most < 10 * N
+
+
 def test_references_of_unknown_language_meet_names_that_many_have(spark):
     nodes, refs = _same_names(spark)
     rows = R.exact_name(refs.withColumn("reference_name", F.lit("run")).withColumn("language", F.lit(None).cast("string")).withColumn("file_path", F.lit("f")), nodes).collect()
