@@ -37,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that are sent to every executor, sooner than that a large table is shuffled to meet them.
+FEW = 200_000
+
+
+def sent(df: DataFrame, n: int) -> DataFrame:
+    """``df``, of ``n`` rows, as a side of a join: broadcast if these are few."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 _stored: weakref.WeakSet = weakref.WeakSet()
 
 
@@ -95,6 +104,28 @@ def insert_edges(g: Graph, new: DataFrame) -> DataFrame:
     return identity(g.edges.unionByName(kept.select(*g.edges.columns)))
 
 
+def absent(new: DataFrame, old: DataFrame, *on: str) -> DataFrame:
+    """Rows of ``new`` whose columns ``on`` (nulls are equal) no row of ``old`` has; of
+    ``old``, which may be large, only rows that share the first of them are compared."""
+    new = stored(new)
+    n = new.count()
+    if not n:
+        return new
+    marked = lambda df: df.withColumns({f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(on)})
+    if n <= FEW:
+        old = old.join(F.broadcast(new.select(on[0]).distinct()), on[0], "left_semi")
+    keys = [f"_k{i}" for i in range(len(on))]
+    return stored(marked(new).join(marked(old.select(*on)).select(*keys), keys, "left_anti").select(*new.columns))
+
+
+def add_edges(g: Graph, new: DataFrame) -> DataFrame:
+    """As :func:`insert_edges` where the graph's edges hold each identity once: these
+    are not sorted out again, only what is new is."""
+    ids = g.nodes.select("id")
+    kept = new.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return g.edges.unionByName(absent(identity(kept.select(*g.edges.columns)), g.edges, *EDGE_KEY))
+
+
 def without(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     return df.join(keys.select(*on).distinct(), list(on), "left_anti")
 

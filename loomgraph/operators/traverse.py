@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CALL_KINDS, CONTAINERS, HIERARCHY_KINDS, Graph
-from .storage import cut
+from .storage import cut, sent, stored
 
 #: Levels that are unrolled into one plan.
 UNROLLED = 3
@@ -36,6 +36,13 @@ def arcs(g: Graph, kinds: Iterable[str] = (), direction: str = "outgoing", where
     return out if direction == "outgoing" else back if direction == "incoming" else out.unionByName(back)
 
 
+def onward(steps: DataFrame, front: DataFrame, n: int | None = None) -> DataFrame:
+    """Steps (a, b) from what is in ``front`` (id), of ``n`` rows. A semi-join with few
+    ids is pushed below unions and distinct rows into the scans of the tables."""
+    a = front.select(F.col("id").alias("a"))
+    return steps.join(a if n is None else sent(a, n), "a", "left_semi")
+
+
 def levels(start: DataFrame, steps: DataFrame, most: int | None = None, limit: int | None = None, expand: Column | None = None, enough: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """(id, depth, parent): what ``steps`` reach from ``start``, at least depth.
 
@@ -47,19 +54,23 @@ def levels(start: DataFrame, steps: DataFrame, most: int | None = None, limit: i
     unrolled = most is not None and most <= UNROLLED and limit is None and expand is None
     seen = seen if unrolled else cut(seen)
     front, found, depth = seen, seen, 0
+    width = total = None if unrolled else seen.count()
     while most is None or depth < most:
         depth += 1
         begin = front if expand is None else front.filter(expand | (F.col("depth") == 0))
-        near = begin.select(F.col("id").alias("a")).join(steps, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
-        new = near.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent")
+        near = onward(steps, begin, width).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        old = found.select("id")
+        new = near.join(old if unrolled else sent(old, total), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent")
         if not unrolled:
             new = cut(new)
-            if new.isEmpty():
+            width = new.count()
+            if not width:
                 break
             if limit is not None:
-                room = limit - found.count()
-                if new.count() >= room:
+                room = limit - total
+                if width >= room:
                     return found.unionByName(new.orderBy("id").limit(max(room, 0)))
+            total += width
         found, front = found.unionByName(new), new
         if not unrolled and depth % 8 == 0:
             found = cut(found)
@@ -80,26 +91,45 @@ def bfs(g: Graph, start: str, most: int | None = None, kinds: Iterable[str] = ()
     return out if include_start else out.filter("depth > 0")
 
 
-def dfs(g: Graph, start: str, most: int | None = None, kinds: Iterable[str] = (), direction: str = "outgoing", bound: int = 10_000) -> list[str]:
-    """Ids in depth-first order, neighbours in order of id. The order is
-    sequential by nature: the reachable subgraph is brought to the driver. Raises if
-    it has more than ``bound`` nodes; take :func:`bfs` for such."""
-    reached = cut(levels(seed(g, start), arcs(g, kinds, direction), most))
-    if reached.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} nodes can be reached from {start}")
-    near: dict[str, list[str]] = {}
-    for r in arcs(g, kinds, direction).join(reached.select(F.col("id").alias("a")), "a", "left_semi").join(reached.select(F.col("id").alias("b")), "b", "left_semi").distinct().orderBy("a", "b").collect():
-        near.setdefault(r["a"], []).append(r["b"])
-    out, known, todo = [], set(), [(start, 0)]
+def depth_first(g: Graph, start: str, most: int | None = None, kinds: Iterable[str] = (), direction: str = "outgoing", bound: int = 20_000_000) -> DataFrame:
+    """(id, place) in depth-first order, neighbours in order of id. The order is
+    sequential by nature: the steps of the reachable subgraph are brought to the driver
+    as pairs of numbers, 16 bytes each, and the ids stay where they are. Raises if these
+    are more than ``bound``; take :func:`bfs` for such."""
+    import numpy as np
+    import pyarrow as pa
+
+    steps = arcs(g, kinds, direction)
+    # numbers in order of id
+    ids = stored(levels(seed(g, start), steps, most).select("id").orderBy("id").withColumn("n", F.monotonically_increasing_id()))
+    near = onward(steps, ids, ids.count()).distinct().join(ids.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(ids.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").select("na", "nb")
+    near = cut(near)
+    if near.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} steps can be taken from {start}")
+    n = np.sort(ids.select("n").toArrow()["n"].to_numpy())
+    pairs = near.toArrow()
+    a, b = np.searchsorted(n, pairs["na"].to_numpy()), np.searchsorted(n, pairs["nb"].to_numpy())
+    del pairs
+    order = np.lexsort((-b, a))  # last neighbour first, as it goes onto a stack
+    b, first = b[order], np.searchsorted(a[order], np.arange(len(n) + 1))
+    del a, order
+    todo = [(int(np.searchsorted(n, ids.filter(F.col("id") == start).first()["n"])), 0)]
+    known, out = bytearray(len(n)), []
     while todo:
         at, depth = todo.pop()
-        if at in known:
+        if known[at]:
             continue
-        known.add(at)
+        known[at] = 1
         out.append(at)
         if most is None or depth < most:
-            todo += [(b, depth + 1) for b in reversed(near.get(at, [])) if b not in known]
-    return out
+            todo += [(x, depth + 1) for x in b[first[at] : first[at + 1]].tolist() if not known[x]]
+    places = g.spark.createDataFrame(pa.table({"n": n[np.array(out)], "place": np.arange(len(out))}))
+    return ids.join(places, "n").select("id", "place")
+
+
+def dfs(g: Graph, start: str, most: int | None = None, kinds: Iterable[str] = (), direction: str = "outgoing") -> list[str]:
+    """Ids in depth-first order, as a list; :func:`depth_first` leaves them distributed."""
+    return [r["id"] for r in depth_first(g, start, most, kinds, direction).orderBy("place").collect()]
 
 
 def callers(g: Graph, ids: str | Iterable[str] | DataFrame, depth: int = 1) -> DataFrame:
@@ -148,16 +178,20 @@ def usages(g: Graph, node_id: str) -> DataFrame:
     return e.join(g.nodes, "id")
 
 
-def impact(g: Graph, node_id: str, depth: int = 3) -> DataFrame:
-    """(id, depth): what may break. Edges but containment count one against their
+def impact(g: Graph, node_id: str | Iterable[str], depth: int = 3) -> DataFrame:
+    """(id, depth): what may break, by any of the nodes. Edges but containment count one against their
     direction; the members of a container come with it at no cost."""
     steps = arcs(g, direction="incoming", where=F.col("kind") != "contains")
-    owners = g.nodes.filter(F.col("kind").isin(*CONTAINERS)).select("id")
-    members = g.edges.filter(F.col("kind") == "contains").join(owners.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    owners = g.nodes.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    members = arcs(g, ("contains",))
 
     def closed(found: DataFrame, front: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
         while True:  # members of members
-            more = cut(front.select(F.col("id").alias("a")).join(members, "a").select(F.col("b").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(at)))
+            own = cut(onward(owners, front, front.count()).select(F.col("a").alias("id")).distinct())
+            n = own.count()
+            if not n:
+                return found, found.filter(F.col("depth") == at)
+            more = cut(onward(members, own, n).select(F.col("b").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(at)))
             if more.isEmpty():
                 return found, found.filter(F.col("depth") == at)
             found, front = cut(found.unionByName(more)), more
@@ -165,7 +199,7 @@ def impact(g: Graph, node_id: str, depth: int = 3) -> DataFrame:
     found = cut(seed(g, node_id).withColumn("depth", F.lit(0)))
     found, front = closed(found, found, 0)
     for at in range(1, depth + 1):
-        new = front.select(F.col("id").alias("a")).join(steps, "a").select(F.col("b").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(at))
+        new = onward(steps, front, front.count()).select(F.col("b").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(at))
         new = cut(new)
         if new.isEmpty():
             break
@@ -176,11 +210,7 @@ def impact(g: Graph, node_id: str, depth: int = 3) -> DataFrame:
 def impact_of_all(g: Graph, ids: Iterable[str], depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """What may break by any of several nodes, as overloads of a name: (id, depth) at
     least depth, and the edges among them, each (source, target, kind) once."""
-    every = None
-    for i in dict.fromkeys(ids):
-        one = impact(g, i, depth).select("id", "depth")
-        every = one if every is None else every.unionByName(one)
-    found = cut(every.groupBy("id").agg(F.min("depth").alias("depth")))
+    found = impact(g, ids, depth)
     ends = found.select("id")
     edges = g.edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
     return found, edges.dropDuplicates(["source", "target", "kind"])

@@ -269,7 +269,7 @@ def _(spark, sf):
 @query("g2_dfs", f"{reach('r', 'method:3', 'in', 30, ('extends',))} SELECT DISTINCT id FROM r")
 def _(spark, sf):
     g = graph(spark, sf, "extends")
-    return spark.createDataFrame([(i,) for i in V.dfs(g, "method:3", kinds=("extends",), direction="incoming")], "id string")
+    return V.depth_first(g, "method:3", kinds=("extends",), direction="incoming").select("id")
 
 
 @query("g3_callers", f"SELECT n.id, n.name, n.file_path, e.kind AS edge_kind, e.line AS edge_line FROM edges e JOIN nodes n ON n.id=e.source WHERE e.target='method:1' AND e.kind IN {CALLS} AND e.source<>e.target")

@@ -67,3 +67,60 @@ def test_references_of_unknown_language_meet_names_that_many_have(spark):
     nodes, refs = _same_names(spark)
     rows = R.exact_name(refs.withColumn("reference_name", F.lit("run")).withColumn("language", F.lit(None).cast("string")).withColumn("file_path", F.lit("f")), nodes).collect()
     assert len(rows) == N and {r["target"] for r in rows} == {"method:0"}
+
+
+def test_lines_that_many_ranges_have(spark):
+    from loomgraph.operators import synth as Y
+
+    i = F.col("id")
+    n = spark.range(N).select(F.concat(F.lit("function:"), i.cast("string")).alias("id"), F.lit("function").alias("kind"), F.lit("f").alias("name"), F.lit("a.c").alias("file_path"), (i % 10 * 100).alias("start_line"), (i % 10 * 100 + 50 - i % 2).alias("end_line"))
+    outer = spark.createDataFrame([("function:x", "function", "f", "a.c", 0, 5000)], "id string, kind string, name string, file_path string, start_line int, end_line int")
+    g = Graph(conform(n, NODES).unionByName(conform(outer, NODES)), None)
+    points = spark.range(N).select(i.alias("point_id"), F.lit("a.c").alias("file_path"), (i % 10 * 100 + 20 + F.when(i < 10, 60).otherwise(0)).alias("line"))
+    rows, most = most_rows(Y.enclosing(points, g))
+    want = {k: "function:x" if k < 10 else min(f"function:{j}" for j in range(k % 10, N, 10)) for k in range(N)}
+    assert {r["point_id"]: r["id"] for r in rows} == want
+    assert most < 10 * N
+
+
+def _star(spark, n):
+    i = F.col("id").cast("string")
+    nodes = spark.range(n).select(F.concat(F.lit("m:"), i).alias("id"), F.lit("method").alias("kind"), F.lit("m").alias("name"), F.lit("f").alias("file_path"), F.lit("go").alias("language"))
+    edges = spark.range(1, n).select(F.concat(F.lit("m:"), F.floor(F.col("id") / 2).cast("string")).alias("source"), F.concat(F.lit("m:"), i).alias("target"), F.lit("calls").alias("kind"))
+    return Graph(conform(nodes, NODES), conform(edges, EDGES))
+
+
+def test_depth_first_order_of_many_nodes(spark):
+    from loomgraph.operators import traverse as V
+
+    n = 12_000
+    got = {r["id"]: r["place"] for r in V.depth_first(_star(spark, n), "m:1").collect()}
+    assert set(got) == {f"m:{k}" for k in range(1, n)} and sorted(got.values()) == list(range(n - 1))
+    want, todo = [], [1]
+    while todo:
+        k = todo.pop()
+        want.append(f"m:{k}")
+        todo += sorted((x for x in (2 * k, 2 * k + 1) if x < n), key=lambda x: f"m:{x}", reverse=True)
+    assert sorted(got, key=got.get) == want
+
+
+def test_few_ids_reach_the_scan_below_distinct_edges(spark):
+    from loomgraph.operators import traverse as V
+
+    g = _star(spark, 50)
+    g = g.with_edges(g.edges.select("source", "target", "kind").distinct())
+    front = V.cut(spark.createDataFrame([("m:3",)], "id string"))
+    plan = V.onward(V.arcs(g, (), "both"), front, 1)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Aggregate") < text.index("LeftSemi")
+    assert {(r["a"], r["b"]) for r in plan.collect()} == {("m:3", "m:6"), ("m:3", "m:7"), ("m:3", "m:1")}
+
+
+def test_impact_of_several_nodes_is_one_traversal(spark, monkeypatch):
+    from loomgraph.operators import traverse as V
+
+    runs, one = [], V.impact
+    monkeypatch.setattr(V, "impact", lambda *a: runs.append(a) or one(*a))
+    found, _ = V.impact_of_all(_star(spark, 30), ["m:28", "m:5", "m:28"], 2)
+    assert {r["id"]: r["depth"] for r in found.collect()} == {"m:28": 0, "m:5": 0, "m:14": 1, "m:7": 2, "m:2": 1, "m:1": 2}
+    assert len(runs) == 1
