@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import EDGES, Graph, conform
 from .resolve import TYPE_KINDS
-from .storage import cut
+from .storage import absent, cut
 
 FANOUT, EVENT_FANOUT, CHANNEL = 40, 6, 8
 
@@ -326,16 +326,15 @@ def synthesize(g: Graph, source: DataFrame | None = None) -> DataFrame:
     where ``source`` (id, file_path, text) of the callables is given. Receiver
     containment and satisfied interfaces come first, as later rules build on them."""
     have = {r["language"] for r in g.nodes.select("language").distinct().collect()}  # a closed set
-    early = receiver_contains(g) if "go" in have else None
+    early = cut(receiver_contains(g)) if "go" in have else None  # read by every rule
     if early is not None:
         g = g.with_edges(g.edges.unionByName(early))
-        also = satisfies(g)
+        also = cut(satisfies(g))
         g, early = g.with_edges(g.edges.unionByName(also)), early.unionByName(also)
     passes = [rule(g) for rule, languages in RULES if languages is None or have & set(languages)]
     if source is not None:
         passes += [rule(g, source) for rule, languages in TEXT_RULES if languages is None or have & set(languages)]
-    known = g.edges.select("source", "target").distinct()
-    late = merge(*passes).join(known, ["source", "target"], "left_anti").select(*EDGES.names)
+    late = absent(merge(*passes).select(*EDGES.names), g.edges, "source", "target")
     return late if early is None else early.unionByName(late)
 
 
@@ -348,9 +347,12 @@ def scoped_declarations(g: Graph, changed: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, g: Graph, kinds: tuple[str, ...] = ("function", "method")) -> DataFrame:
-    """points: (point_id, file_path, line). The innermost callable around each: an
-    interval join on the file, the latest start winning."""
-    n = g.nodes.filter(F.col("kind").isin(*kinds)).select("id", "file_path", "start_line", "end_line")
-    hit = points.join(n, "file_path").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    w = Window.partitionBy("point_id").orderBy(F.desc("start_line"), "end_line", "id")
-    return hit.withColumn("r", F.row_number().over(w)).filter("r = 1").select("point_id", "id")
+    """points: (point_id, file_path, line). The innermost callable around each, the
+    latest start winning. Each line of a file is asked for once, and meets each range of
+    lines once: a range falls into one or two bins as wide as the next power of two."""
+    n = g.nodes.filter(F.col("kind").isin(*kinds)).groupBy("file_path", "start_line", "end_line").agg(F.min("id").alias("id")).filter("start_line <= end_line")
+    n = n.withColumn("_k", F.length(F.bin(F.col("end_line").cast("long") - F.col("start_line")))).withColumn("_bin", F.explode(F.expr("sequence(shiftright(cast(start_line as bigint), _k), shiftright(cast(end_line as bigint), _k))")))
+    asked = points.select("file_path", "line").distinct().join(n.select("file_path", "_k").distinct(), "file_path").withColumn("_bin", F.expr("shiftright(cast(line as bigint), _k)"))
+    hit = asked.join(n, ["file_path", "_k", "_bin"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    best = hit.groupBy("file_path", "line").agg(F.min(F.struct((-F.col("start_line").cast("long")).alias("from"), "end_line", "id")).alias("_b"))
+    return points.join(best, ["file_path", "line"]).groupBy("point_id").agg(F.min("_b").alias("_b")).select("point_id", "_b.id")
