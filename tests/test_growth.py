@@ -124,3 +124,17 @@ def test_impact_of_several_nodes_is_one_traversal(spark, monkeypatch):
     found, _ = V.impact_of_all(_star(spark, 30), ["m:28", "m:5", "m:28"], 2)
     assert {r["id"]: r["depth"] for r in found.collect()} == {"m:28": 0, "m:5": 0, "m:14": 1, "m:7": 2, "m:2": 1, "m:1": 2}
     assert len(runs) == 1
+
+
+def test_rank_works_out_only_what_the_walk_can_reach(spark, monkeypatch):
+    from loomgraph.operators import algorithms as G
+
+    two = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string").unionByName(spark.range(N).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("source"), F.concat(F.lit("x"), (F.col("id") + 1).cast("string")).alias("target")))
+    e = conform(two.withColumn("kind", F.lit("calls")), EDGES)
+    ids = two.select(F.col("source").alias("id")).unionByName(two.select(F.col("target").alias("id"))).distinct()
+    sizes, real = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df, *c: sizes.append((out := real(df, *c)).count()) or out)
+    got = {r["id"]: r["rank"] for r in G.personal_rank(Graph(conform(ids, NODES), e), ["a"], ("calls",)).collect()}
+    assert len(got) == N + 4 and abs(sum(got.values()) - 1) < 1e-9 and {k for k, v in got.items() if v} == {"a", "b", "c"}
+    assert abs(got["b"] - 0.75 * (got["a"] + got["c"])) < 1e-3
+    assert sizes == [N + 4, 3, 4]  # all ids, those within reach, their steps
