@@ -138,3 +138,35 @@ def test_rank_works_out_only_what_the_walk_can_reach(spark, monkeypatch):
     assert len(got) == N + 4 and abs(sum(got.values()) - 1) < 1e-9 and {k for k, v in got.items() if v} == {"a", "b", "c"}
     assert abs(got["b"] - 0.75 * (got["a"] + got["c"])) < 1e-3
     assert sizes == [N + 4, 3, 4]  # all ids, those within reach, their steps
+
+
+def test_pairs_of_one_name_are_dealt_out(spark):
+    from loomgraph.operators import synth as Y
+
+    i = F.col("id")
+    n = spark.range(4 * N).select(F.concat(F.lit("m:"), i.cast("string")).alias("id"), F.lit("method").alias("kind"), F.lit("m").alias("name"), F.when(i < 4 * N - 2, "q").otherwise("r").alias("qualified_name"), F.concat(F.lit("f"), (i % 7).cast("string")).alias("file_path"), F.lit("kotlin").alias("language"), F.array(F.when(i % 2 == 0, "expect").otherwise("actual")).alias("decorators"))
+    df = Y.expect_actual(Graph(conform(n, NODES), None)).select("source", "target")
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pa" in text and "_pb" in text
+    want = sum(1 for a in range(0, 4 * N - 2, 2) for r in range(7) if r != a % 7 for _ in range(len(range(1, 4 * N - 2, 2)[((r - 1) * 4) % 7 :: 7])))
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source", "target").alias("d")).first()
+    assert got["n"] == got["d"] == want + 1
+
+
+def test_parameters_are_worked_out_once_a_node(spark):
+    from loomgraph.operators import synth as Y
+
+    cols = "id string, name string, qualified_name string, file_path string, is_declaration boolean, signature string"
+    rows = [("d1", "run", "T::run", "a.hpp", True, "void run(int a)"), ("d2", "run", "T::run", "a.hpp", True, None), ("d3", "run", "T::run", "a.hpp", True, "void run"), ("x1", "run", "n::T::run", "a.cpp", False, "void run(int)"), ("x2", "run", "n::T::run", "a.cpp", False, "void run(double)"), ("x3", "run", "n::T::run", "a.cpp", False, None), ("x4", "run", "n::T::run", "a.hpp", False, "void run(int)"), ("x1", "run", "n::T::run", "b.cpp", False, "void run(int)")]
+    n = conform(spark.createDataFrame(rows, cols).withColumn("kind", F.lit("method")).withColumn("language", F.lit("cpp")), NODES)
+    df = Y.cpp_declarations(Graph(n, conform(spark.createDataFrame([], "source string"), EDGES))).select("source", "target")
+    got = sorted((r["source"], r["target"]) for r in df.collect())
+    assert got == [("d1", "x1"), ("d1", "x3"), ("d2", "x1"), ("d2", "x2"), ("d2", "x3"), ("d3", "x3")]
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parameters_after_the_name():
+    from loomgraph.functions.cpp import _parameters
+
+    assert _parameters("A run$(char) my_run(x) run (int a, T<b, c> d = {1})", "run") == "int,T<b,c>"
+    assert _parameters("operator()(int) const", "operator()") == "int" and _parameters("f(double)", "g") == "double" and _parameters("f", "f") is None
