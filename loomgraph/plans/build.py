@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import imports as I
 from ..operators import resolve as R
 from ..operators import synth
-from ..operators.storage import cut, delete_files, insert_edges, insert_nodes, insert_refs, upsert
+from ..operators.storage import add_edges, cut, delete_files, identity, insert_edges, insert_nodes, insert_refs, stored, upsert
 from ..schema import EDGES, REFS, Graph, conform
 
 
@@ -19,14 +19,15 @@ def index(g: Graph, imports: I.Imports | None = None, source: DataFrame | None =
     ``imports`` brings in what files import; ``source`` (id, file_path, text) of the
     callables lets rules over text take part; ``claims`` are rows (ref_id, target,
     confidence, resolved_by) of frameworks that know their own references."""
+    g = Graph(stored(g.nodes), stored(identity(g.edges)), g.files, g.refs)
     waiting = g.refs.filter(F.col("status") == "pending")
     more = claims + ((I.strategy(g, imports),) if imports is not None else ())
     resolved = cut(R.final_gates(R.resolve(g, more), g))
-    now = g.with_edges(cut(insert_edges(g, conform(R.promoted(resolved, g), EDGES))))
-    now = now.with_edges(cut(insert_edges(now, synth.synthesize(now, source))))
+    now = g.with_edges(add_edges(g, conform(R.promoted(resolved, g), EDGES)))
+    now = now.with_edges(add_edges(now, synth.synthesize(now, source)))
     left = R.parked(waiting, resolved)
     late = cut(R.conformance(now, left))
-    now = now.with_edges(cut(insert_edges(now, conform(R.promoted(late, now), EDGES))))
+    now = now.with_edges(add_edges(now, conform(R.promoted(late, now), EDGES)))
     failed = g.refs.filter(F.col("status") != "pending").unionByName(R.parked(left, late).select(*g.refs.columns))
     return Graph(now.nodes, now.edges, g.files, failed)
 
