@@ -15,7 +15,7 @@ from . import search as S
 from .aggregates import blast_radius, file_pairs
 from .algorithms import ordered_within, personal_rank
 from .lookup import induced
-from .storage import cut
+from .storage import cut, stored
 from .traverse import arcs, callees, callers, levels
 
 # -- symbols in prose (patterns and common words are this library's own) --------
@@ -96,6 +96,7 @@ def capped_by_file(nodes: DataFrame, most_nodes: int) -> DataFrame:
 
 def relevant(g: Graph, query: str, options: Options = Options()) -> Found:
     """Nodes for a task in prose, with what is near them."""
+    g = Graph(stored(g.nodes), g.edges, g.files, g.refs)  # every channel reads them
     terms = S.terms(query, with_stems=False)
     named = symbols(query)
     channels = [S.ranked(g.nodes, S.terms(query))] if terms else []
